@@ -218,11 +218,11 @@ def threshold_sweep(preds: DataFrame, thresholds: Sequence[float], truth: Column
     ordered = sorted(thresholds)
     reached = reduce(lambda a, t: a + (F.col(score) >= t).cast("int"), ordered, F.lit(0))
     counts = preds.groupBy(reached.alias("reached")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    spark = preds.sparkSession
-    grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(ordered)], "rank int, threshold double")
-    s = counts.join(F.broadcast(grid), F.lit(True))  # a row for each of the few counts and thresholds
-    above = F.col("reached") >= F.col("rank")
-    s = s.groupBy("threshold").agg(*[F.sum(F.when(c, F.col(v)).otherwise(0)).alias(n) for n, c, v in (("tp", above, "pos"), ("fp", above, "neg"), ("fn", ~above, "pos"), ("tn", ~above, "neg"))])
+    grid = preds.sparkSession.createDataFrame([(0, None), *[(i + 1, float(t)) for i, t in enumerate(ordered)]], "reached int, threshold double")
+    s = grid.join(counts, "reached", "left").na.fill(0, ["pos", "neg"])
+    from_here, every = W.orderBy(F.desc("reached")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
+    s = s.select("threshold", *[F.sum(v).over(from_here).alias(n) for n, v in (("tp", "pos"), ("fp", "neg"))], *[F.sum(v).over(every).alias(f"all_{v}") for v in ("pos", "neg")])
+    s = s.filter("threshold is not null").select("threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     recall, specificity = ratio0(tp, tp + fn), ratio0(tn, tn + fp)
     return s.select("*", ratio0(tp, tp + fp).alias("precision"), recall.alias("recall"), specificity.alias("specificity"), ratio0(2 * tp, 2 * tp + fp + fn).alias("f1"), (recall + specificity - 1).alias("youden"))
