@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,18 +112,21 @@ def array_mean(a: Column) -> Column:
     return F.try_divide(array_sum(a), F.size(a))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, not at each of its uses inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def array_std(a: Column) -> Column:
     """Population standard deviation."""
-    m = array_mean(a)
-    return F.sqrt(array_mean(F.transform(a, lambda x: (x - m) * (x - m))))
+    return let(array_mean(a), lambda m: F.sqrt(array_mean(F.transform(a, lambda x: (x - m) * (x - m)))))
 
 
 def zscore(trace: Column, baseline: Column | None = None) -> Column:
     """A trace less its mean (or its baseline's) over the deviation; a deviation of 0 counts as 1."""
     b = trace if baseline is None else baseline
-    m, s = array_mean(b), array_std(b)
-    s = F.when(s == 0, 1.0).otherwise(s)
-    return F.transform(trace, lambda x: (x - m) / s)
+    fit = F.struct(array_mean(b).alias("m"), F.coalesce(F.nullif(array_std(b), F.lit(0.0)), F.lit(1.0)).alias("s"))
+    return let(fit, lambda p: F.transform(trace, lambda x: (x - p["m"]) / p["s"]))
 
 
 def array_area(a: Column) -> Column:
