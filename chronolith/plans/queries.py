@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, frame_queries, function_queries, join_queries, ml_queries, stat_queries, window_queries  # noqa: F401
+from . import aggregate_queries, frame_queries, function_queries, io_queries, join_queries, ml_queries, stat_queries, window_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
