@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,24 +114,39 @@ def ends(matrices: list[list[list[int]]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of one key each from frames in which rows of a key follow one another."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        frame = frame.reset_index(drop=True)
-        if not len(frame):
-            continue
-        number = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-        for _, at in groupby(range(len(frame)), number.__getitem__):
-            at = list(at)
-            part = frame.iloc[at[0] : at[-1] + 1]
-            same = held and all(pd.isna(a) and pd.isna(b) or a == b for a, b in zip(held[0][keys].iloc[0], part[keys].iloc[0], strict=True))
-            if held and not same:
-                yield pd.concat(held)
-                held = []
-            held.append(part)
+def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of one key each, from batches in which rows of a key follow one another; the key comes first."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+    for _, group in groupby(rows, lambda r: r[:keys]):
+        yield list(group)
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
     if held:
-        yield pd.concat(held)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _rendered(group: list[tuple]) -> Iterator[tuple]:
+    """(conv, turn, action, inserted, repaired, rendered) of the rows (conv, piece, turn, role, text, before, after, last) of a piece."""
+    before, after, last = group[0][5:8]
+    given = [role_number(r[3]) for r in group]
+    for i, (row, was, (role, inserted, merged)) in enumerate(zip(group, given, repair(given, before, after), strict=True)):
+        end = last and i + 1 == len(group)
+        at_end = ENDS[after][1] if end else ()
+        empty = "".join(_HEAD.format(NAMES[r]) + _TAIL for r in inserted)
+        # A turn's end is written by what follows it, or by the conversation's end.
+        start = "" if i == 0 and before == START else _TAIL
+        shown = ("\n" if merged else start + empty + _HEAD.format(NAMES[role])) + row[4]
+        if end:
+            shown += _TAIL + "".join(_HEAD.format(NAMES[r]) + _TAIL for r in at_end)
+        action = "+".join(x for x, is_so in (("relabel", role != was), ("merge", merged)) if is_so) or "keep"
+        yield row[0], row[2], action, len(inserted) + len(at_end), NAMES[role], shown
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece: int = PIECE) -> DataFrame:
@@ -152,11 +168,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     order = ["conv", "piece", "turn", "role", "text"]
     dealt = rows.repartition(*sides).sortWithinPartitions(*order)
 
-    def measure(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = [[g["conv"].iloc[0], g["piece"].iloc[0], sum(costs([role_number(r) for r in g["role"]]), [])] for g in _groups(frames, sides)]
-        yield pd.DataFrame(out, columns=["conv", "piece", "costs"]).astype({"conv": "Int64"})
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("conv", pa.int64()), ("piece", pa.int64()), ("costs", pa.list_(pa.int64()))])
+        yield from _batches(((*g[0][:2], sum(costs([role_number(r[2]) for r in g]), [])) for g in _groups(batches, 2)), schema)
 
-    pieces = dealt.select("conv", "piece", "turn", "role", F.lit("").alias("text")).mapInPandas(measure, "conv long, piece long, costs array<long>")
+    pieces = dealt.select("conv", "piece", "role").mapInArrow(measure, "conv long, piece long, costs array<long>")
     listed = pieces.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("piece", "costs"))).alias("parts"))
 
     @F.pandas_udf("array<struct<piece:long,before:int,after:int,last:boolean>>")
@@ -170,26 +186,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     states = listed.select("conv", F.explode(path("parts")).alias("s")).select(F.col("conv").alias("c"), "s.*").withColumnRenamed("piece", "p")
     joined = rows.join(states, rows["conv"].eqNullSafe(states["c"]) & (rows["piece"] == states["p"])).drop("c", "p")
 
-    def render(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(frames, sides):
-            given = [role_number(r) for r in g["role"]]
-            done = repair(given, int(g["before"].iloc[0]), int(g["after"].iloc[0]))
-            last, after = bool(g["last"].iloc[0]), int(g["after"].iloc[0])
-            out = []
-            for i, (was, (role, inserted, merged), text) in enumerate(zip(given, done, g["text"], strict=True)):
-                at_end = ENDS[after][1] if last and i + 1 == len(done) else ()
-                empty = [_HEAD.format(NAMES[r]) + _TAIL for r in inserted]
-                first = i == 0 and int(g["before"].iloc[0]) == START
-                # A turn's end is written by what follows it, or by the conversation's end.
-                shown = ("\n" if merged else ("" if first else _TAIL) + "".join(empty) + _HEAD.format(NAMES[role])) + text
-                if last and i + 1 == len(done):
-                    shown += _TAIL + "".join(_HEAD.format(NAMES[r]) + _TAIL for r in at_end)
-                action = "+".join(x for x, is_so in (("relabel", role != was), ("merge", merged)) if is_so) or "keep"
-                out.append((action, len(inserted) + len(at_end), NAMES[role], shown))
-            frame = pd.DataFrame(out, columns=["action", "inserted", "repaired", "rendered"])
-            frame.insert(0, "turn", g["turn"].astype("Int64").to_numpy())
-            frame.insert(0, "conv", g["conv"].astype("Int64").to_numpy())
-            yield frame
-
-    out = joined.repartition(*sides).sortWithinPartitions(*order).mapInPandas(render, "conv long, turn long, action string, inserted int, repaired string, rendered string")
+    def render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        schema = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("action", text), ("inserted", pa.int32()), ("repaired", text), ("rendered", text)])
+        yield from _batches((r for g in _groups(batches, 2) for r in _rendered(g)), schema)
+
+    columns = [*order, "before", "after", "last"]
+    out = joined.select(*columns).repartition(*sides).sortWithinPartitions(*order).mapInArrow(render, "conv long, turn long, action string, inserted int, repaired string, rendered string")
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("repaired").alias("role"), "action", "inserted", "rendered")
