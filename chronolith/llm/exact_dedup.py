@@ -19,12 +19,12 @@ def _bucket(prefix, depth):
     return F.expr(f"shiftleft(1L, {depth}) + shiftright({prefix}, {DIRECTORY_BITS} - {depth})")
 
 
-def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
-    """Directory (prefix, depth, bucket) for keys(h long), by doubling.
+def build_directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(entries(entry, bucket), bits) of a directory for keys(h long), by doubling.
 
-    One entry for each prefix of DIRECTORY_BITS bits that has keys. It starts with
-    the number of buckets that the keys need if they fall evenly; while a bucket has
-    more than `capacity` keys, its entries take one more bit.
+    It starts with the number of buckets that the keys need if they fall evenly; while
+    a bucket has more than `capacity` keys it is split by one more bit. An entry is a
+    key's first `bits` bits, as many as the deepest bucket has.
     """
     prefixes = written(
         keys.groupBy(F.shiftrightunsigned("h", 64 - DIRECTORY_BITS).alias("prefix")).agg(F.count("*").alias("n")), "prefixes"
@@ -41,7 +41,8 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
             .select("bucket", F.lit(1).alias("splits"))
         )
         if overfull.isEmpty():
-            return directory.select("prefix", "depth", "bucket")
+            bits = directory.agg(F.max("depth")).first()[0] or 0
+            return directory.select(F.shiftright("prefix", DIRECTORY_BITS - bits).alias("entry"), "bucket").distinct(), bits
         directory = written(
             directory.join(overfull, "bucket", "left").select("prefix", "n", (F.col("depth") + F.coalesce("splits", F.lit(0))).alias("depth")),
             "directory",
@@ -64,8 +65,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"),
         "groups",
     )
-    directory = build_directory(groups, capacity)
-    owned = groups.withColumn("prefix", F.shiftrightunsigned("h", 64 - DIRECTORY_BITS)).join(small(directory), "prefix").repartition("bucket")
+    directory, bits = build_directory(groups, capacity)
+    entry = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+    owned = groups.withColumn("entry", entry).join(small(directory), "entry").repartition("bucket")
     chain = F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha"))
     return written(owned.select("bucket", "h", chain.alias("chain"), "sha", "keep_id", "group_size"), "index")
 
