@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

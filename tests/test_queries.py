@@ -1,8 +1,7 @@
 """Every query of the time-series operators runs, and equals its SQL twin where there is one."""
 
 import pytest
-from conftest import DATA
-from oracle import assert_same, duck
+from oracle import DATA, assert_same, duck
 
 from chronolith.plans import queries as plans
 
