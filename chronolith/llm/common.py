@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,6 +52,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def first_of_each(df: DataFrame, keys: Sequence[str], k: int, id_col: str = "id", parts: int = 64) -> DataFrame:
+    """Of each key the k rows whose id's hash comes first.
+
+    A key's rows are dealt over `parts` groups, and what each of them puts first meets
+    in one: no task gets more than parts * k rows of a key.
+    """
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(parts)))
+    some = dealt.withColumn("__n", place(*keys, "__part")).filter(F.col("__n") <= k)
+    return some.withColumn("__n", place(*keys)).filter(F.col("__n") <= k).drop("__part", "__n")
+
+
 _FOLD: np.ndarray | None = None
 
 

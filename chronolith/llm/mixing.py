@@ -15,10 +15,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import first_of_each, written
 
 #: Most labelled rows of one domain that are learned from; most domains; most words of a domain.
 PER_DOMAIN, MAX_DOMAINS, MAX_WORDS = 2000, 32, 3000
@@ -49,8 +48,7 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, do
     number = F.array_position(F.array(*map(F.lit, names)), F.col(domain_col)) - 1
     known = labels.select(F.col(id_col).alias("id"), number.cast("int").alias("label")).filter("id is not null and label >= 0").dropDuplicates(["id"])
     sizes = known.groupBy("label").agg(F.count("*").alias("all"))
-    order = W.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    taken = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_DOMAIN).drop("n").join(F.broadcast(sizes), "label")
+    taken = first_of_each(known, ["label"], PER_DOMAIN).join(F.broadcast(sizes), "label")
     taken = taken.withColumn("weight", F.col("all") / F.least(F.col("all"), F.lit(PER_DOMAIN)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")
     return written(_features(rows, "text").drop("text"), "labelled")
