@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fly_and_trial(path: Column) -> tuple[Column, Column]:
+def subject_and_trial(path: Column) -> tuple[Column, Column]:
     """Subject and trial numbers from a file path: its last two runs of digits."""
     digits = F.regexp_extract_all(path, F.lit(r"(\d+)"), 1)
     last = lambda n: F.try_element_at(digits, F.lit(-n)).cast("long")

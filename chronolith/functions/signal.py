@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,11 @@ def _traces(s: pd.Series) -> list[np.ndarray]:
 def savgol(trace: Column, window: int, order: int) -> Column:
     """Savitzky-Golay smoothing; the ends are the end windows' own fits. Shorter traces stay."""
     m = savgol_matrix(window, order)
-    half = window // 2
+    return _savgol_udf(m)(trace)
+
+
+def _savgol_udf(m: np.ndarray):
+    window, half = len(m), len(m) // 2
 
     @F.pandas_udf(DOUBLES)
     def run(s: pd.Series) -> pd.Series:
@@ -45,7 +50,7 @@ def savgol(trace: Column, window: int, order: int) -> Column:
             out.append(x)
         return pd.Series(out)
 
-    return run(trace)
+    return run
 
 
 def savgol_native(trace: Column, window: int, order: int) -> Column:
@@ -79,6 +84,10 @@ def _filtered(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> n
 
 def lowpass(trace: Column, cutoff: float, fps: float) -> Column:
     """Zero-phase third-order Butterworth low-pass: forward, then backward, ends mirrored about their value."""
+    return _lowpass_udf(cutoff, fps)(trace)
+
+
+def _lowpass_udf(cutoff: float, fps: float):
     sections = butterworth(cutoff, fps)
 
     @F.pandas_udf(DOUBLES)
@@ -92,7 +101,7 @@ def lowpass(trace: Column, cutoff: float, fps: float) -> Column:
             out.append(x)
         return pd.Series(out)
 
-    return run(trace)
+    return run
 
 
 def _envelope(x: np.ndarray) -> np.ndarray:
@@ -107,12 +116,16 @@ def _envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(np.fft.fft(x) * h))
 
 
-def hilbert_envelope(trace: Column) -> Column:
+def _envelope_udf():
     @F.pandas_udf(DOUBLES)
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([_envelope(np.nan_to_num(x)) for x in _traces(s)])
 
-    return run(trace)
+    return run
+
+
+def hilbert_envelope(trace: Column) -> Column:
+    return _envelope_udf()(trace)
 
 
 def clipped_envelope(trace: Column, fps: float, seconds: float = 0.25) -> Column:
@@ -147,7 +160,10 @@ def _welch(x: np.ndarray, fps: float, segment: int = 256) -> tuple[np.ndarray, n
 
 def welch_bands(trace: Column, fps: float, bands: list[tuple[float, float]]) -> Column:
     """Power of each band, then its share of all: Hann, half overlap, constant detrend, one-sided."""
+    return _welch_udf(fps, bands)(trace)
+
 
+def _welch_udf(fps: float, bands: list[tuple[float, float]]):
     @F.pandas_udf(DOUBLES)
     def run(s: pd.Series) -> pd.Series:
         out = []
@@ -161,36 +177,21 @@ def welch_bands(trace: Column, fps: float, bands: list[tuple[float, float]]) ->
             out.append(power + [v / total if total > 0 else math.nan for v in power])
         return pd.Series(out)
 
-    return run(trace)
+    return run
 
 
-def register(spark) -> None:
-    """The kernels and table functions for SQL: savgol, lowpass, hilbert_envelope, welch_bands, hankel, segments."""
-    from pyspark.sql.functions import pandas_udf, udtf
-
-    m = savgol_matrix(5, 2)
-
-    @pandas_udf(DOUBLES)
-    def savgol_sql(s: pd.Series) -> pd.Series:
-        out = []
-        for x in _traces(s):
-            out.append(np.r_[(m @ x[:5])[:2], np.lib.stride_tricks.sliding_window_view(x, 5) @ m[2], (m @ x[-5:])[3:]] if len(x) >= 5 else x)
-        return pd.Series(out)
-
-    @pandas_udf(DOUBLES)
-    def envelope_sql(s: pd.Series) -> pd.Series:
-        return pd.Series([_envelope(np.nan_to_num(x)) for x in _traces(s)])
-
-    spark.udf.register("savgol", savgol_sql)
-    spark.udf.register("hilbert_envelope", envelope_sql)
+def register(spark, fps: float = 40.0, window: int = 5, order: int = 2, cutoff: float = 5.0, bands: Sequence[tuple[float, float]] = ((0.0, 5.0), (5.0, 20.0))) -> None:
+    """For SQL: savgol, lowpass, hilbert_envelope, welch_bands with these settings; hankel and segments as table functions; normal, chi-square and t tails."""
+    for name, kernel in {"savgol": _savgol_udf(savgol_matrix(window, order)), "lowpass": _lowpass_udf(cutoff, fps), "hilbert_envelope": _envelope_udf(), "welch_bands": _welch_udf(fps, [*bands])}.items():
+        spark.udf.register(name, kernel)
 
-    @udtf(returnType="start: int, window: array<double>")
+    @F.udtf(returnType="start: int, window: array<double>")
     class Hankel:
         def eval(self, trace: list, length: int):
             for i in range(len(trace or []) - length + 1):
                 yield i, trace[i : i + length]
 
-    @udtf(returnType="segment: string, first: int, last: int")
+    @F.udtf(returnType="segment: string, first: int, last: int")
     class Segments:
         def eval(self, fps: float, latency: float, frames: int):
             clamp = lambda f: max(0, min(frames, int(f)))
@@ -208,3 +209,8 @@ def register(spark) -> None:
     p = f"(exp(-z * z / 2) / sqrt(2 * pi()) * {k} * {poly})"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normal_sf(z DOUBLE) RETURNS DOUBLE RETURN CASE WHEN z >= 0 THEN {p} ELSE 1 - {p} END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION chi2_1_sf(x DOUBLE) RETURNS DOUBLE RETURN 2 * normal_sf(sqrt(x))")
+    theta = "atan(abs(t) / sqrt(df))"
+    terms = f"transform(sequence(0, 200), i -> CASE WHEN i IN (0, 200) THEN 1D WHEN i % 2 = 1 THEN 4D ELSE 2D END * pow(cos({theta} * i / 200), df - 1))"
+    whole = "transform(sequence(0, 200), i -> CASE WHEN i IN (0, 200) THEN 1D WHEN i % 2 = 1 THEN 4D ELSE 2D END * pow(cos(pi() / 2 * i / 200), df - 1))"
+    total = lambda a: f"aggregate({a}, 0D, (s, x) -> s + x)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION t_two_sided(t DOUBLE, df DOUBLE) RETURNS DOUBLE RETURN 1 - {total(terms)} * {theta} / ({total(whole)} * pi() / 2)")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-_ID_LIKE = re.compile(r"(^|_)(id|index|number|num|label|trial|fly|subject|cluster)($|_)", re.I)
+_ID_LIKE = re.compile(r"(^|_)(id|index|number|num|label|trial|subject|cluster)($|_)", re.I)
 
 
 class DataError(ValueError):

@@ -25,9 +25,9 @@ def p02_rename(spark, sf):
     return P.rename(X.table(spark, sf, "events").select("user_id", "event_type", "event_id"), {"user_id": "subject"}, {"event_type": "kind", "absent": "x"})
 
 
-@query("SELECT user_id AS fly, CAST(NULL AS VARCHAR) AS rig, event_id FROM events")
+@query("SELECT user_id AS animal, CAST(NULL AS VARCHAR) AS rig, event_id FROM events")
 def p03_legacy_identifier(spark, sf):
-    df = P.legacy_identifier(X.table(spark, sf, "events").select("user_id", "event_id"), "fly", "user_id")
+    df = P.legacy_identifier(X.table(spark, sf, "events").select("user_id", "event_id"), "animal", "user_id")
     return P.legacy_identifier(df, "rig", "old_rig")
 
 

@@ -22,20 +22,20 @@ def f01_clean_text(spark, sf):
 
 @query("SELECT event_id, user_id AS subject, event_id AS trial FROM events")
 def f02_path_digits(spark, sf):
-    path = F.format_string("/data/rec/fly_%s/trial-%s.csv", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
-    subject, trial = S.fly_and_trial(path)
+    path = F.format_string("/data/rec/subject_%s/trial-%s.csv", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    subject, trial = S.subject_and_trial(path)
     return X.table(spark, sf, "events").select("event_id", subject.alias("subject"), trial.alias("trial"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'testing_' || user_id END AS core FROM events")
 def f03_core_label(spark, sf):
-    text = F.concat(F.when(F.col("event_id") % 2 == 0, "testing_").otherwise("training_"), F.col("user_id").cast("string"), F.lit("_fly_2"))
+    text = F.concat(F.when(F.col("event_id") % 2 == 0, "testing_").otherwise("training_"), F.col("user_id").cast("string"), F.lit("_subject_2"))
     return X.table(spark, sf, "events").select("event_id", S.core_label(text).alias("core"))
 
 
-@query("SELECT event_id, CAST(month(ts) AS VARCHAR) || '-' || day(ts) || '-fly' AS plain FROM events")
+@query("SELECT event_id, CAST(month(ts) AS VARCHAR) || '-' || day(ts) || '-rec' AS plain FROM events")
 def f04_plain_dates(spark, sf):
-    text = F.concat(F.date_format("ts", "MM-dd"), F.lit("-fly_rig_2"))
+    text = F.concat(F.date_format("ts", "MM-dd"), F.lit("-rec_rig_2"))
     return X.table(spark, sf, "events").select("event_id", S.plain_dates(text).alias("plain"))
 
 

@@ -85,14 +85,14 @@ def s08_load_trials(spark, sf):
     return wide.unionByName(_sums(S.load_trials(e, "dir_val_", "trial", "time", "v")))
 
 
-@query(f"SELECT vec_id AS row, 'fly' || vec_id AS fly, label, {R('embedding[1]', 'first')} FROM embeddings")
+@query(f"SELECT vec_id AS row, 's' || vec_id AS animal, label, {R('embedding[1]', 'first')} FROM embeddings")
 def s09_matrix_metadata(spark, sf):
     e = X.table(spark, sf, "embeddings")
-    entry = F.format_string('{"row_id": %s, "fly": "fly%s", "label": %s}', F.col("vec_id").cast("string"), F.col("vec_id").cast("string"), F.col("label").cast("string"))
+    entry = F.format_string('{"row_id": %s, "animal": "s%s", "label": %s}', F.col("vec_id").cast("string"), F.col("vec_id").cast("string"), F.col("label").cast("string"))
     texts = e.groupBy(F.expr("vec_id div 50").alias("part")).agg(F.concat(F.lit('{"rows": ['), F.array_join(F.collect_list(entry), ", "), F.lit("]}")).alias("meta"))
-    meta = S.metadata_rows(texts, "meta", "row_id: bigint, fly: string, label: int").drop("row").withColumnRenamed("row_id", "row")
+    meta = S.metadata_rows(texts, "meta", "row_id: bigint, animal: string, label: int").drop("row").withColumnRenamed("row_id", "row")
     matrix = X.traces(spark, sf).select(F.col("trial").alias("row"), F.col("trace")[0].alias("first"))
-    return S.matrix_with_metadata(matrix, meta).select("row", "fly", "label", "first")
+    return S.matrix_with_metadata(matrix, meta).select("row", "animal", "label", "first")
 
 
 @query(with_(TRACES) + f"SELECT trial, CAST(i AS INTEGER) AS t, {R('trace[i + 1]', 'c0')}, {R('trace[i + 33]', 'c1')} FROM traces, range(0, 32) r(i)")

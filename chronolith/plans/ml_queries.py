@@ -416,17 +416,34 @@ def ml32_pseudo_labels(spark, sf):
     return M.pseudo_labels(X.predictions(spark, sf), "prob").select(*X.KEYS, "pseudo")
 
 
-@query(f"SELECT vec_id AS trial, CAST(57 AS BIGINT) AS windows, {R('list_sum(list_transform(range(1, 58), lambda i: CAST(embedding[i] AS DOUBLE)))', 'firsts')} FROM embeddings")
-def ud2_hankel(spark, sf):
+def _views(spark, sf) -> None:
     G.register(spark)
     X.traces(spark, sf).createOrReplaceTempView("chronolith_traces")
+
+
+@query(f"SELECT vec_id AS trial, CAST(57 AS BIGINT) AS windows, {R('list_sum(list_transform(range(1, 58), lambda i: CAST(embedding[i] AS DOUBLE)))', 'firsts')} FROM embeddings")
+def ud2_hankel(spark, sf):
+    _views(spark, sf)
     return spark.sql("SELECT trial, count(*) AS windows, sum(h.window[0]) AS firsts FROM chronolith_traces, LATERAL hankel(trace, 8) h GROUP BY trial")
 
 
-@query(f"SELECT vec_id AS trial, {R('0.3173105079', 'p1')}, {R('0.0455002639', 'p2')} FROM embeddings".replace("0.3173105079", "round(0.3173105079, 4)").replace("0.0455002639", "round(0.0455002639, 4)"))
-def ud4_tails(spark, sf):
-    G.register(spark)
-    X.traces(spark, sf).createOrReplaceTempView("chronolith_traces")
-    return spark.sql("SELECT trial, round(chi2_1_sf(1.0D), 4) AS p1, round(2 * normal_sf(2.0D), 4) AS p2 FROM chronolith_traces")
+@query(_savgol_sql())
+def ud1_kernels(spark, sf):
+    _views(spark, sf)
+    s = spark.sql("SELECT trial, savgol(trace) AS s, lowpass(trace) AS l, hilbert_envelope(trace) AS h, welch_bands(trace) AS w FROM chronolith_traces")
+    return _summed(s.filter("size(l) = 64 and size(h) = 64 and size(w) = 4"), "s")
+
+
+_SEGMENTS = "SELECT vec_id AS trial, 'baseline' AS segment, 0 AS first, least(1000 + label, 1200) AS last FROM embeddings UNION ALL SELECT vec_id, 'odor', least(1000 + label, 1280), least(1000 + label, 2560) FROM embeddings UNION ALL SELECT vec_id, 'post', least(1000 + label, 2560), 1000 + label FROM embeddings"
 
 
+@query(_SEGMENTS)
+def ud2_segments(spark, sf):
+    _views(spark, sf)
+    return spark.sql("SELECT trial, s.* FROM chronolith_traces, LATERAL segments(40.0D, 2.0D, 1000 + cluster) s")
+
+
+@query("SELECT vec_id AS trial, round(0.3173105, 4) AS p1, round(0.0455003, 4) AS p2, round(0.0500, 4) AS p3 FROM embeddings")
+def ud4_tails(spark, sf):
+    _views(spark, sf)
+    return spark.sql("SELECT trial, round(chi2_1_sf(1.0D), 4) AS p1, round(2 * normal_sf(2.0D), 4) AS p2, round(t_two_sided(2.228139D, 10D), 4) AS p3 FROM chronolith_traces")

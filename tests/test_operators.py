@@ -34,12 +34,12 @@ def test_epoch_flags(spark):
 
 
 def test_keys_and_labels(spark):
-    df = spark.createDataFrame([(" a ", "3", "2"), ("b", "4.0", "0")], "fly string, number string, score string")
-    assert [tuple(r) for r in IO.read_labels(df, ["fly"], ["number"], "score").orderBy("number").collect()] == [("a", 3, 2), ("b", 4, 0)]
+    df = spark.createDataFrame([(" a ", "3", "2"), ("b", "4.0", "0")], "animal string, number string, score string")
+    assert [tuple(r) for r in IO.read_labels(df, ["animal"], ["number"], "score").orderBy("number").collect()] == [("a", 3, 2), ("b", 4, 0)]
     with pytest.raises(Exception, match="whole number"):
-        IO.read_labels(spark.createDataFrame([("a", "1", "-1")], df.schema), ["fly"], ["number"], "score").collect()
+        IO.read_labels(spark.createDataFrame([("a", "1", "-1")], df.schema), ["animal"], ["number"], "score").collect()
     with pytest.raises(DataError):
-        IO.read_labels(df.union(df), ["fly"], ["number"], "score")
+        IO.read_labels(df.union(df), ["animal"], ["number"], "score")
     with pytest.raises(DataError):
         P.require(df, ["absent"])
 
