@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -15,35 +15,39 @@ LG_K = 10
 BAND = 4.0
 
 
-def _line_keys(text: str):
-    """Keys of the lines of a text column; null for a line without anything but white space."""
-    line = lambda x: F.regexp_replace(F.trim(x), "\\s+", " ")
-    key = lambda x: F.when(line(x) != "", F.xxhash64(line(x)))
-    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), key)
+def _line_keys(text: str) -> Column:
+    """Keys of the lines of a text column; a line of white space alone has that of the empty string."""
+    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.xxhash64(F.regexp_replace(F.trim(x), "\\s+", " ")))
 
 
-def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys (k, sites) of the lines that stand on min_sites sites or more.
+def _blank() -> Column:
+    return F.xxhash64(F.lit(""))
+
+
+def keyed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """(id, site, keys): the keys of each row's lines, a number each, written once for all that reads them."""
+    site = F.when(F.col(site_col).isNotNull(), F.xxhash64(site_col))
+    return written(docs.select(F.col(id_col).alias("id"), site.alias("site"), F.array_distinct(_line_keys(text_col)).alias("keys")), "lines")
+
+
+def boilerplate_lines(keyed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Keys (k, sites) of the lines of keyed_lines that stand on min_sites sites or more.
 
     A line whose smallest and largest site agree has one site and needs no sketch. The
     others get a HyperLogLog sketch of their sites, merged by aggregation; sites are
     counted exactly where the estimate is near the threshold. Lines far above it keep
     the estimate. A null site is no site.
     """
-    lines = docs.select(F.explode(_line_keys(text_col)).alias("k"), F.xxhash64(site_col).alias("site"), F.col(site_col).isNotNull().alias("has")).filter("k is not null and has")
-    spread = lines.groupBy("k").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).filter("lo <> hi").select("k")
-    spread = spread if min_sites > 1 else lines.select("k").distinct()
-    shared = lines.join(spread, "k", "left_semi").groupBy("k", "site").agg(F.count("*").alias("n"))
-    sketched = written(
-        shared.groupBy("k").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("k", F.hll_sketch_estimate("sketch").alias("estimate")), "sketches"
-    )
+    lines = keyed.filter("site is not null").select("site", F.explode("keys").alias("k")).filter(F.col("k") != _blank())
+    ends = lines.groupBy("k").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
+    spread = small(written((ends.filter("lo <> hi") if min_sites > 1 else ends).select("k"), "spread"))
+    sketches = lines.join(spread, "k", "left_semi").groupBy("k").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    sketched = written(sketches.select("k", F.hll_sketch_estimate("sketch").alias("estimate")), "sketches")
     margin = max(1.0, BAND * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.col("estimate").between(min_sites - margin, min_sites + margin)
-    exact = (
-        lines.join(small(sketched.filter(near).select("k")), "k", "left_semi").groupBy("k").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    )
+    counted = lines.join(small(sketched.filter(near).select("k")), "k", "left_semi").groupBy("k").agg(F.count_distinct("site").alias("sites"))
     far = sketched.filter(~near & (F.col("estimate") > min_sites)).select("k", F.col("estimate").alias("sites"))
-    return far.unionByName(exact)
+    return far.unionByName(counted.filter(F.col("sites") >= min_sites))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -53,21 +57,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never removed. Null text gives null text and 0. Rows of one id share the look-up of
     their lines, not their lines. An empty table gives no rows.
     """
-    bad = written(boilerplate_lines(docs, text_col, site_col, min_sites).select("k"), "boilerplate")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = keyed_lines(docs, id_col, text_col, site_col)
+    bad = written(boilerplate_lines(keyed, min_sites).select("k"), "boilerplate")
     hits = (
-        rows.select("id", F.explode(F.array_distinct(_line_keys("text"))).alias("k"))
+        keyed.select("id", F.explode("keys").alias("k"))
         .join(small(bad), "k", "left_semi")
         .groupBy("id")
         .agg(F.collect_set("k").alias("bad"))
         .select(F.col("id").alias("hit"), "bad")
     )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.join(hits.hint("shuffle_hash"), rows["id"].eqNullSafe(hits["hit"]), "left")
-    keys = _line_keys("text")
-    kept = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), keys.alias("k")), lambda x: x["k"].isNull() | ~F.array_contains(F.col("bad"), x["k"]))
-    removed = F.when(F.col("bad").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")) - F.size(kept))
-    text = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return found.select(F.col("id").alias(id_col), text.alias(text_col), removed.cast("long").alias("n_removed"))
+    lines = F.split("text", "\n")
+    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), _line_keys("text").alias("k")), lambda x: ~F.array_contains(F.col("bad"), x["k"])), lambda x: x["line"])
+    # Only texts with a line to remove are looked at again.
+    some = F.col("bad").isNotNull() & F.col("text").isNotNull()
+    found = found.select("id", "text", F.when(some, kept).alias("kept"))
+    removed = F.when(F.col("kept").isNotNull(), F.size(lines) - F.size("kept")).otherwise(0).cast("long")
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
+    return found.select(F.col("id").alias(id_col), text.alias(text_col), removed.alias("n_removed"))
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
