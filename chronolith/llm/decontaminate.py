@@ -22,11 +22,12 @@ Q = 8
 #: Edits allowed, as a share of a passage's characters.
 EDITS = 0.1
 #: Longer items are cut into passages of so many characters, half of each shared with the next.
-PASSAGE = 512
+PASSAGE = 160
 #: Folded characters of passages that one pass over the documents looks for.
 BLOCK_CHARS = 1 << 22
 #: Folded characters of documents that are looked at together.
 PIECE = 1 << 18
+FAR = 1 << 30
 _FILTER_BITS = 22
 _HIT = "array<struct<item:long,distance:int>>"
 
@@ -58,20 +59,31 @@ def passages(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def banded(passage: np.ndarray, region: np.ndarray) -> np.ndarray:
-    """Least edit distance of passage to a part of each row of region, within the band.
+def banded(passage: np.ndarray, region: np.ndarray, most: int) -> np.ndarray:
+    """Least edit distance of passage to a part of each row of region, within the band; FAR if over `most`.
 
     region[:, i] stands beside passage[j] on diagonal i - j, of which there are
-    region's columns - passage's length + 1.
+    region's columns - passage's length + 1. Distances only grow along the passage, so
+    that rows over the limit are left out as it goes on.
     """
     wide = region.shape[1] - len(passage) + 1
-    along = np.arange(wide, dtype=np.int32)
-    d = np.zeros((len(region), wide), np.int32)
+    along = np.arange(wide, dtype=np.int16)
+    d = np.zeros((len(region), wide), np.int16)
+    out, rows = np.full(len(region), FAR), np.arange(len(region))
     for j, c in enumerate(passage):
+        if j % 16 == 15:
+            near = d.min(1) <= most
+            if not near.all():
+                rows, d, region = rows[near], d[near], region[near]
+                if not len(rows):
+                    return out
         new = d + (region[:, j : j + wide] != c)
         new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
-        d = np.minimum.accumulate(new - along, axis=1) + along
-    return d.min(1)
+        new -= along
+        d = np.minimum.accumulate(new, axis=1) + along
+    best = d.min(1)
+    out[rows] = np.where(best <= most, best, FAR)
+    return out
 
 
 @dataclass
@@ -137,9 +149,9 @@ class Index:
                 r[a - low : b - low] = x[a:b]
             texts = (keys[group] >> 32) // many
             for i in range(0, len(group), 256):
-                for t, d in zip(texts[i : i + 256], banded(passage, regions[i : i + 256]), strict=True):
-                    if d <= self.edits[p]:
-                        found[int(t), p] = min(int(d), found.get((int(t), p), 1 << 30))
+                for t, d in zip(texts[i : i + 256], banded(passage, regions[i : i + 256], self.edits[p]), strict=True):
+                    if d < FAR:
+                        found[int(t), p] = min(int(d), found.get((int(t), p), FAR))
         return found
 
 
@@ -163,7 +175,7 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int]]]:
             x[s : s + len(p)] = p
         for (t, p), d in index.search(x, start).items():
             item = int(index.items[p])
-            best[rows[t]][item] = min(d, best[rows[t]].get(item, 1 << 30))
+            best[rows[t]][item] = min(d, best[rows[t]].get(item, FAR))
 
     for row, text in enumerate(texts):
         x = fold(text)[0] if text else np.zeros(0, np.uint32)
