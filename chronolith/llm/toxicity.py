@@ -18,10 +18,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import first_of_each, written
 
 #: Columns of labels, with the value that means the category, in the order of the chain.
 CATEGORIES = (("quality", 0), ("toxic", 1))
@@ -90,8 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """
     labelled = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(c) for c in columns]).filter(F.col("id").isNotNull()).dropDuplicates(["id"])
     sizes = labelled.groupBy(*columns).agg(F.count("*").alias("all")).orderBy(F.desc("all"), *columns).limit(CLASSES)
-    order = W.partitionBy(*columns).orderBy(F.xxhash64("id"), "id")
-    taken = labelled.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_CLASS).drop("n")
+    taken = first_of_each(labelled, columns, PER_CLASS)
     same = reduce(lambda a, b: a & b, [taken[c].eqNullSafe(sizes[c]) for c in columns])
     weight = (F.col("all") / F.least(F.col("all"), F.lit(PER_CLASS))).alias("weight")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold")
