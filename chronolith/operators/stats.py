@@ -101,11 +101,11 @@ def wilcoxon(diffs: DataFrame, by: str = "frame", value: str = "diff") -> DataFr
 
 def signed_rank_counts(n: int) -> list[int]:
     """How many of the 2^n sign choices give each sum of ranks 1..n."""
-    counts = np.zeros(n * (n + 1) // 2 + 1, dtype=object)
-    counts[0] = 1
+    counts = [1]
     for r in range(1, n + 1):
-        counts[r:] = counts[r:] + counts[:-r].copy() if r else counts
-    return [int(c) for c in counts]
+        with_r = [0] * r + counts
+        counts = [a + b for a, b in zip(with_r, counts + [0] * r, strict=True)]
+    return counts
 
 
 def wilcoxon_exact(tests: DataFrame, most: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import aggregate as A
 from ..operators import frames as P
 from ..operators.joins import duplicate_keys
 from . import fixtures as X
-from .fixtures import FRAMES, LABELS, PREDICTIONS, SAMPLES, with_
+from .fixtures import FRAMES, PREDICTIONS, SAMPLES, with_
 from .join_queries import _CMP, _REV, revisions
 from .registry import R, query
 

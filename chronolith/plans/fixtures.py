@@ -53,22 +53,18 @@ LABELS = "labels5 AS (SELECT dataset, subject, trial, CAST(least(5, count(*) FIL
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scored row per trial: label, probability from the mean value, decision, weight, split."""
     mean = frames(spark, sf_dir).groupBy(*KEYS).agg(F.avg("value").alias("m"), F.least(F.lit(5), F.count_if(F.col("event_type") == "purchase")).cast("int").alias("intensity"))
-    p = 1 / (1 + F.exp(-(F.col("m") - 50) / 20))
+    p = F.round(1 / (1 + F.exp(-(F.col("m") - 50) / 20)), 9)
     return mean.select(
         *KEYS,
         "intensity",
         (F.col("intensity") > 1).cast("int").alias("label"),
-        r_(p).alias("prob"),
-        (r_(p) >= 0.5).cast("int").alias("predicted"),
+        p.alias("prob"),
+        (p >= 0.5).cast("int").alias("predicted"),
         F.greatest(F.lit(1), "intensity").cast("double").alias("weight"),
         F.when(F.col("subject") % 4 == 0, "test").when(F.col("subject") % 4 == 1, "validation").otherwise("train").alias("split"),
     )
 
 
-def r_(c):
-    return F.round(c, 9)
-
-
 PREDICTIONS = """means AS (SELECT dataset, subject, trial, avg(value) AS m, CAST(least(5, count(*) FILTER (WHERE event_type = 'purchase')) AS INTEGER) AS intensity FROM frames GROUP BY ALL),
 scored AS (SELECT *, round(1 / (1 + exp(-(m - 50) / 20)), 9) AS prob FROM means),
 preds AS (SELECT dataset, subject, trial, intensity, CAST(intensity > 1 AS INTEGER) AS label, prob, CAST(prob >= 0.5 AS INTEGER) AS predicted, CAST(greatest(1, intensity) AS DOUBLE) AS weight,

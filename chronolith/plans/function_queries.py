@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.frames import clean_text
 from . import fixtures as X
-from .fixtures import FRAMES, LABELS, SAMPLES, TRACES, with_
+from .fixtures import FRAMES, LABELS, SAMPLES, with_
 from .registry import R, query
 
 _K = "dataset, subject, trial"
@@ -123,10 +123,6 @@ def f18_json(spark, sf):
     return X.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-def _z(base: str) -> str:
-    return f"(list_transform(trace, lambda x: (x - list_avg({base})) / CASE WHEN list_stddev_pop({base}) = 0 THEN 1 ELSE list_stddev_pop({base}) END))"
-
-
 @query(with_(SAMPLES) + f"SELECT trial, CAST(t AS INTEGER) AS t, {R('(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w = 0 THEN 1 ELSE stddev_pop(v) OVER w END', 'z')} FROM samples WINDOW w AS (PARTITION BY trial)")
 def f19_zscore(spark, sf):
     return X.traces(spark, sf).select("trial", F.posexplode(S.zscore(F.col("trace"))).alias("t", "z"))
