@@ -82,7 +82,11 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: Column, out: str = "r
 
 
 def wilcoxon(diffs: DataFrame, by: str = "frame", value: str = "diff") -> DataFrame:
-    """(by, n, zeros, w_plus, z, p): signed ranks, zeros ranked and left out of the sums (Pratt), continuity corrected."""
+    """(by, n, zeros, w_plus, z, p): signed ranks, zeros ranked and left out of the sums (Pratt), continuity corrected.
+
+    Differences that agree to 9 decimals are ties: sums in another order differ beyond.
+    """
+    diffs = diffs.withColumn(value, F.round(value, 9))
     r = average_ranks(diffs, [by], F.abs(value))
     v, k = F.col(value), F.col("rank")
     nz = v != 0

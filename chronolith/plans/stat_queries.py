@@ -42,7 +42,7 @@ def h01_paired_t(spark, sf):
     return H.paired_t(diffs(spark, sf))
 
 
-_RANKS = "rk AS (SELECT *, rank() OVER (PARTITION BY frame ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY frame, abs(diff)) - 1) / 2.0 AS r FROM diffs)"
+_RANKS = "rd AS (SELECT frame, round(diff, 9) AS diff FROM diffs), rk AS (SELECT *, rank() OVER (PARTITION BY frame ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY frame, abs(diff)) - 1) / 2.0 AS r FROM rd)"
 _WX = """wx AS (SELECT frame, count(*) AS n, count(*) FILTER (WHERE diff = 0) AS zeros, coalesce(sum(r) FILTER (WHERE diff > 0), 0) AS wp, coalesce(sum(r) FILTER (WHERE diff < 0), 0) AS wm, sum(r * r) FILTER (WHERE diff <> 0) AS sq FROM rk GROUP BY frame),
 wz AS (SELECT *, CASE WHEN sq > 0 THEN ((wp - wm) / 2 - 0.5 * sign(wp - wm)) / (sqrt(sq) / 2) END AS z FROM wx)"""
 
