@@ -3,7 +3,8 @@
 Texts are compared folded: lower-case letters and digits, all else one space. A region
 within edit distance k of a passage of m characters shares m - q + 1 - k q of its
 q-grams, all on diagonals that lie within k of each other. Shared q-grams are counted
-in overlapping bands of diagonals; bands that reach the bound are aligned.
+in overlapping bands of diagonals; where a band reaches the bound within a passage's length, each passage
+there is aligned, those with most shared q-grams first, until none can be nearer.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
 Q = 8
 #: Edits allowed, as a share of a passage's characters.
 EDITS = 0.1
-#: Longer items are cut into passages of so many characters, half of each shared with the next.
+#: Every run of so many characters of a longer item is a passage.
 PASSAGE = 160
-#: Folded characters of passages that one pass over the documents looks for.
+#: Passages of one item that are aligned together: at first, and then.
+FIRST, THEN = 8, 128
+#: Folded characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 1 << 22
 #: Folded characters of documents that are looked at together.
 PIECE = 1 << 18
@@ -46,58 +49,70 @@ def budget(m: int) -> int:
     return max(0, min(int(EDITS * m), (m - Q) // Q))
 
 
+def folded(text: str | None) -> np.ndarray:
+    """A text's folded characters, without spaces at its ends."""
+    x = fold(text or "")[0]
+    return x[(x[:1] == 32).sum() : len(x) - (x[-1:] == 32).sum()]
+
+
 def passages(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
-    """(item, folded passage); items of fewer than Q characters have none."""
+    """(item, folded passage), all that are looked for; items of fewer than Q characters have none.
+
+    An index of the whole items looks for the same passages and is much smaller.
+    """
     out = []
     for item, text in items:
-        x = fold(text or "")[0]
-        x = x[(x[:1] == 32).sum() : len(x) - (x[-1:] == 32).sum()]
-        last = max(0, len(x) - PASSAGE)
-        for a in [*range(0, last, PASSAGE // 2), last]:
-            if len(x[a : a + PASSAGE]) >= Q:
-                out.append((item, x[a : a + PASSAGE]))
+        x = folded(text)
+        if len(x) >= Q:
+            out += [(item, x[a : a + PASSAGE]) for a in range(max(0, len(x) - PASSAGE) + 1)]
     return out
 
 
 def banded(passage: np.ndarray, region: np.ndarray, most: int) -> np.ndarray:
-    """Least edit distance of passage to a part of each row of region, within the band; FAR if over `most`.
+    """Least edit distance of each row of passage to a part of its row of region, within the band; FAR if over `most`.
 
-    region[:, i] stands beside passage[j] on diagonal i - j, of which there are
-    region's columns - passage's length + 1. Distances only grow along the passage, so
+    region[:, i] stands beside passage[:, j] on diagonal i - j, of which there are
+    region's columns - passage's columns + 1. Distances only grow along the passage, so
     that rows over the limit are left out as it goes on.
     """
-    wide = region.shape[1] - len(passage) + 1
+    wide = region.shape[1] - passage.shape[1] + 1
     along = np.arange(wide, dtype=np.int16)
     d = np.zeros((len(region), wide), np.int16)
     out, rows = np.full(len(region), FAR), np.arange(len(region))
-    for j, c in enumerate(passage):
+    for j in range(passage.shape[1]):
         if j % 16 == 15:
             near = d.min(1) <= most
             if not near.all():
-                rows, d, region = rows[near], d[near], region[near]
+                rows, d, region, passage = rows[near], d[near], region[near], passage[near]
                 if not len(rows):
                     return out
-        new = d + (region[:, j : j + wide] != c)
+        new = d + (region[:, j : j + wide] != passage[:, j : j + 1])
         new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
         new -= along
         d = np.minimum.accumulate(new, axis=1) + along
-    best = d.min(1)
+    best = d.min(1).astype(np.int64)  # FAR doesn't fit the distances' 16 bits
     out[rows] = np.where(best <= most, best, FAR)
     return out
 
 
 @dataclass
 class Index:
-    """q-grams of passages and where they are; of bounded size."""
+    """q-grams of items and where they are; of bounded size.
+
+    A text of more than PASSAGE characters stands for all its passages.
+    """
 
     items: np.ndarray
     texts: list[np.ndarray]
 
     def __post_init__(self) -> None:
-        m = np.array([len(x) for x in self.texts])
+        size = np.array([len(x) for x in self.texts])
+        m = np.minimum(size, PASSAGE)
         self.edits = np.array([budget(n) for n in m])
         self.needed = m - Q + 1 - self.edits * Q
         self.shift = np.array([max(1, int(k)).bit_length() for k in self.edits])
+        #: Added to diagonals, so that those of the band before the first aren't negative either.
+        self.back = int(size.max()) + (1 << int(self.shift.max()))
         grams = [_grams(x) for x in self.texts]
         h = np.concatenate(grams)
         which = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -120,7 +135,7 @@ class Index:
         return np.repeat(at, n), self.which[entry], self.where[entry]
 
     def search(self, x: np.ndarray, start: np.ndarray) -> dict[tuple[int, int], int]:
-        """Least distance within budget by (text, passage); x holds several texts, parted by zeros."""
+        """Least distance within budget by (text, item's place); x holds several texts, parted by zeros."""
         at, which, where = self.hits(x)
         if not len(at):
             return {}
@@ -131,29 +146,53 @@ class Index:
         if not keep.any():
             return {}
         at, which, where, pair = at[keep], which[keep], where[keep], pair[keep]
-        band = (at - where + 2 * PASSAGE) >> self.shift[which]
+        band = (at - where + self.back) >> self.shift[which]
         key = np.concatenate([pair << 32 | band, pair << 32 | band - 1])
-        keys, n = np.unique(key, return_counts=True)
-        keys = keys[n >= self.needed[(keys >> 32) % many]]
-        if not len(keys):
+        keys, k, n = np.unique(key, return_inverse=True, return_counts=True)
+        full = n >= self.needed[(keys >> 32) % many]
+        if not full.any():
             return {}
+        mine = np.flatnonzero(full[k])
+        mine = mine[np.argsort(k[mine], kind="stable")]
+        places = np.split(where[mine % len(where)], np.cumsum(n[full])[:-1])
         found: dict[tuple[int, int], int] = {}
         end = np.r_[start[1:] - 1, len(x)]
-        order = np.argsort((keys >> 32) % many, kind="stable")
-        for p, group in _runs((keys >> 32) % many, order):
-            passage, s = self.texts[p], int(self.shift[p])
-            regions = np.zeros((len(group), len(passage) + (2 << s)), x.dtype)
-            for r, g in zip(regions, keys[group], strict=True):
-                t, low = int(g >> 32) // many, ((int(g) & 0xFFFFFFFF) << s) - 2 * PASSAGE
-                a, b = max(low, int(start[t])), min(low + len(r), int(end[t]))
-                r[a - low : b - low] = x[a:b]
-            texts = (keys[group] >> 32) // many
-            for i in range(0, len(group), 256):
-                for t, d in zip(texts[i : i + 256], banded(passage, regions[i : i + 256], self.edits[p]), strict=True):
-                    if d < FAR:
-                        found[int(t), p] = min(int(d), found.get((int(t), p), FAR))
+        keys = keys[full]
+        for pair, group in _runs(keys >> 32, np.arange(len(keys))):
+            t, p = divmod(pair, many)
+            d = self._nearest(x, int(start[t]), int(end[t]), p, [(((int(keys[g]) & 0xFFFFFFFF) << int(self.shift[p])) - self.back, places[g]) for g in group])
+            if d < FAR:
+                found[t, p] = d
         return found
 
+    def _nearest(self, x: np.ndarray, start: int, end: int, p: int, bands: list[tuple[int, np.ndarray]]) -> int:
+        """Least distance within budget of item p's passages to x[start:end]; bands of (first diagonal, places in the item that share q-grams)."""
+        item, most = self.texts[p], int(self.edits[p])
+        m, wide = min(len(item), PASSAGE), 2 << int(self.shift[p])
+        low, first, least = [], [], []
+        for diagonal, places in bands:
+            shared = np.zeros(len(item) - Q + 2, np.int64)
+            shared[places + 1] = 1
+            shared = np.cumsum(shared)
+            lacking = m - Q + 1 - (shared[m - Q + 1 :] - shared[: len(item) - m + 1])
+            a = np.flatnonzero(lacking <= most * Q)
+            first.append(a)
+            least.append(-(-lacking[a] // Q))
+            low.append(np.full(len(a), diagonal))
+        first, least, low = np.concatenate(first), np.concatenate(least), np.concatenate(low)
+        order = np.argsort(least, kind="stable")
+        first, least, low = first[order], least[order], low[order] + first[order]
+        best, i = FAR, 0
+        while i < len(first) and least[i] <= most:
+            take = slice(i, i + (THEN if i else FIRST))
+            i = take.stop
+            spot = low[take, None] + np.arange(m + wide)
+            region = np.where((spot >= start) & (spot < end), x[np.clip(spot, start, end - 1)], 0)
+            d = int(banded(item[first[take, None] + np.arange(m)], region, most).min())
+            if d <= most:
+                best, most = d, d - 1
+        return best
+
 
 def _runs(values: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     ordered = values[order]
@@ -192,32 +231,41 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int]]]:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes over the whole benchmark, each of about BLOCK_CHARS characters at most."""
+    """Indexes over the whole benchmark, each of about BLOCK_CHARS characters at most but for a longer item."""
     held: list[tuple[int, np.ndarray]] = []
+    size = 0
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        held += passages([(r[0], r[1])])
-        if sum(len(x) for _, x in held) >= BLOCK_CHARS:
+        x = folded(r[1])
+        if len(x) >= Q:
+            held.append((r[0], x))
+            size += len(x)
+        if size >= BLOCK_CHARS:
             yield Index(np.array([i for i, _ in held]), [x for _, x in held])
-            held = []
+            held, size = [], 0
     if held:
         yield Index(np.array([i for i, _ in held]), [x for _, x in held])
 
 
-def leaked(docs: DataFrame, benchmark: DataFrame, text: Column) -> Column:
-    """Array of (item, distance) that a text column has, item by item."""
-
-    def looked(index: Index) -> Column:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def leaked(docs: DataFrame, index: Index, text: Column) -> Column:
+    """Array of (item, distance) that a text column has of one block, item by item."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.pandas_udf(_HIT)
-        def look(texts: pd.Series) -> pd.Series:
-            return pd.Series([[{"item": i, "distance": d} for i, d in hits] for hits in find(shared.value, list(texts))])
+    @F.pandas_udf(_HIT)
+    def look(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"item": i, "distance": d} for i, d in hits] for hits in find(shared.value, list(texts))])
 
-        return look(text.cast("string"))
+    return look(text.cast("string"))
 
-    found = [looked(index) for index in blocks(benchmark)]
-    return F.concat(*found) if found else F.array().cast(_HIT)
 
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """(block, whether it is the last); no more than two blocks are held."""
+    held = None
+    for index in blocks(benchmark):
+        if held is not None:
+            yield held, False
+        held = index
+    if held is not None:
+        yield held, True
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,10 +276,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are not looked for. Repeated rows and null ids are reported like others; an empty
     table or benchmark gives no rows.
     """
-    rows = docs.select(F.col(id_col), F.explode(leaked(docs, benchmark, F.col(text_col))).alias("h"))
-    return rows.select(id_col, F.col("h.item").alias("item_id"), F.col("h.distance").alias("distance")).groupBy(id_col, "item_id").agg(F.min("distance").alias("distance"))
+    found = docs.select(F.col(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance")).filter("false")
+    for index, last in _passes(benchmark):
+        rows = docs.select(F.col(id_col), F.explode(leaked(docs, index, F.col(text_col))).alias("h")).select(id_col, F.col("h.item").alias("item_id"), F.col("h.distance").alias("distance"))
+        found = found.union(rows if last else written(rows, "leaks"))
+    return found.groupBy(id_col, "item_id").agg(F.min("distance").alias("distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark passage; columns as before, nothing shuffled."""
-    return docs.filter(F.size(leaked(docs, benchmark, F.col(text_col))) == 0)
+    for index, last in _passes(benchmark):
+        docs = docs.filter(F.size(leaked(docs, index, F.col(text_col))) == 0)
+        docs = docs if last else written(docs, "unleaked")
+    return docs

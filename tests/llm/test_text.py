@@ -195,3 +195,25 @@ def test_rendered_chat(spark, piece):
     got = chat_format.format_chats(t, piece=piece).orderBy("turn").collect()
     assert "".join(r["rendered"] for r in got) == "<|system|>\ns\n<|end|>\n<|user|>\na\nb\n<|end|>\n<|assistant|>\nc\n<|end|>\n<|user|>\nd\n<|end|>\n<|assistant|>\n\n<|end|>\n"
     assert [r["action"] for r in got] == ["keep", "keep", "merge", "keep", "keep"]
+
+
+def test_runs_of_long_items_are_found_at_every_offset(make, spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(46))) for i in range(2)]  # 321 characters each
+    index = decontaminate.Index(np.array([0, 1]), [fold(t)[0] for _, t in items])
+    runs = [items[0][1][a : a + 160] for a in range(321 - 160 + 1)]
+    docs = [f"{word()} {run} {word()}" for run in runs]
+    assert all(dict(h).get(0, 99) == 0 for h in decontaminate.find(index, docs))
+    edited = ["x " + "".join("9" if i % 10 == 7 else c for i, c in enumerate(run)) + " x" for run in runs]
+    assert all(0 in dict(h) for h in decontaminate.find(index, edited))
+    assert decontaminate.find(index, [items[0][1][30:170]]) == [[]]
+    far = np.frombuffer(("a" * 160).encode("utf-32-le"), np.uint32)[None]
+    near = np.pad(far.copy(), ((0, 0), (32, 32)))
+    near[0, 32 + 159 - 16 : 32 + 160] = 1  # 17 edits, the last one after the last check of the limit
+    assert decontaminate.banded(far, near, 16)[0] == decontaminate.FAR and decontaminate.banded(far, near, 17)[0] == 17
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)  # a block an item
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[0][1][30:210], "en", "a"), (2, items[1][1][30:210], "en", "a"), (3, "plain", "en", "a")]
+    assert sorted(tuple(r) for r in decontaminate.contamination(make(rows), bench).collect()) == [(1, 0, 0), (2, 1, 0)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(make(rows), bench).collect()] == [3]
