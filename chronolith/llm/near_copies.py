@@ -1,0 +1,133 @@
+"""Near copies by banded MinHash, each link checked on the texts' shingles.
+
+A text's shingles have BANDS keys, each of ROWS minima, and texts that share a key are
+compared. Texts of a key are taken in rounds: some lead, and the others that no link has
+joined to them yet are compared with them; then the leaders are done, and there are twice
+as many in the next round. In the end any two texts of a key have been compared or are
+joined by links, and a large group of copies costs about one comparison a text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+from .components import connected_components
+
+#: Words of a shingle; least similarity of near copies (Jaccard index) as a fraction.
+SHINGLE, LEAST, OF = 5, 4, 5
+#: A pair of similarity s has a common key with probability 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8.
+BANDS, ROWS, SEED = 24, 5, 42
+#: Most leaders of a key in a round, as a power of two.
+LEADERS = 16
+_TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Different 64-bit hashes, in order, of a text's shingles; of its words where it has fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= SHINGLE:
+        return np.array([digest(joined, SEED)], np.uint64)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.r_[0, end[:-1] + 1][: len(words) - SHINGLE + 1]
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def keys(found: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of shingles."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(found), 1024):
+        h = found[i : i + 1024] * (_TIMES | np.uint64(1)) + _PLUS
+        least = np.minimum(least, (h ^ h >> np.uint64(32)).min(1))
+    m = least.reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        out = (out ^ m[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard index of LEAST / OF or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= LEAST * (len(a) + len(b) - both)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, size, keys) of every row of docs; size is how many different shingles there are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            k = [keys(s).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k, pa.list_(pa.int64()))], ["id", "text", "size", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, text string, size long, keys array<long>")
+
+
+def checked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose rows' texts are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last, mine, ok = None, None, []
+            for u, x, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if u != last:
+                    last, mine = u, shingles(x.as_py())
+                ok.append(similar(mine, shingles(y.as_py())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    one = lambda c: rows.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """members(key, row, size, root) of the keys whose rows have several roots."""
+    several = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id; one row per row of docs.
+
+    component_id is the smallest id that links of similar texts reach, the row's own
+    included; null ids take part and get the component_id of the others, or null. Texts
+    without words, and null texts, are alike. Ids are integers.
+    """
+    rows = written(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    left = written(_open(rows.select(F.explode("keys").alias("key"), "row", "size", F.col("row").alias("root"))), "members")
+    edges = roots = None
+    turn = 0
+    while not left.isEmpty():
+        part = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << min(turn, LEADERS)))
+        leaders = written(left.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("row", "size", "root"), "row").alias("l")).select("key", "l.*"), "leaders")
+        first = leaders.select("key", F.col("row").alias("r"), F.col("size").alias("s"), F.col("root").alias("o"))
+        # Of sets whose sizes are further apart than that no two are similar.
+        apart = (F.col("root") != F.col("o")) & (F.greatest("size", "s") * LEAST <= F.least("size", "s") * OF)
+        pairs = left.join(first, "key").filter(apart).select(F.least("row", "r").alias("u"), F.greatest("row", "r").alias("v")).distinct()
+        found = checked(pairs, rows)
+        edges = written(found if edges is None else edges.union(found), "links")
+        roots = written(connected_components(edges), "roots")
+        rest = left.join(leaders.select("key", "row"), ["key", "row"], "left_anti").drop("root").join(roots, F.col("row") == roots["node"], "left")
+        left = written(_open(rest.select("key", "row", "size", F.coalesce("root", "row").alias("root"))), "members")
+        turn += 1
+    member = rows.select("id", "row", F.col("row").alias("root")) if roots is None else rows.select("id", "row").join(roots, rows["row"] == roots["node"], "left").select("id", "row", F.coalesce("root", "row").alias("root"))
+    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
+    return member.join(least, "root").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest id; columns as before.
+
+    Rows with a null id beside others go; rows of one id stay or go together.
+    """
+    gone = near_components(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id")), "left_anti")

@@ -1,5 +1,6 @@
 """Exact, near and line duplicates against brute force and SQL."""
 
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ import xxhash
 from oracle import DATA, assert_same, duck
 from pyspark.sql import functions as F
 
-from chronolith.llm import exact_dedup, line_dedup, queries, simhash
+from chronolith.llm import exact_dedup, line_dedup, near_copies, queries, simhash
 from chronolith.llm.components import connected_components
 
 
@@ -100,3 +101,27 @@ def test_lines_near_the_threshold_are_counted_exactly(make):
     assert got[0]["text"] == "common line\nown 0" and got[13]["text"] == "own 13" and got[25]["n_removed"] == 0
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(make(rows), min_sites=10).collect()}
     assert got[0] == "own 0"
+
+
+def test_near_copies_from_a_similarity_of_four_fifths(make):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    boiler = " ".join(word() for _ in range(20))
+    rows = []
+    for i in range(60):  # a text, and copies of which a share of the words at one end is new
+        words = [word() for _ in range(100 + i)]
+        rows.append((10 * i, f"{boiler} {' '.join(words)}", "en", "a"))
+        for n, share in enumerate((0.08, 0.10, 0.12, 0.3), 1):
+            k = int(share * len(words))
+            rows.append((10 * i + n, f"{boiler} {' '.join(words[:-k] + [word() for _ in range(k)])}", "en", "a"))
+    rows += [(1000 + i, " ".join([word(), *boiler.split() * 9, word()]), "en", "a") for i in range(40)]  # a large group
+    sets = {r[0]: near_copies.shingles(r[1]) for r in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8 and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    assert 60 < len(set(root.values())) < len(root) - 150
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(make(rows)).collect()}
+    assert got == root
