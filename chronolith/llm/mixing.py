@@ -78,13 +78,14 @@ def _vector(rows: DataFrame, speaking: Sequence[Sequence[str]]) -> DataFrame:
     return VectorAssembler(inputCols=named, outputCol="features", handleInvalid="keep").transform(rows.select("*", *columns)).drop(*named)
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, names: Sequence[str], domain_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, names: Sequence[str], domain_col: str, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(id, tokens, p) of every row of docs; p has the posterior of each domain in names.
 
-    Alike for all domains where there is nothing to learn from.
+    Learned from the labelled rows of known, or of docs. Alike for all domains where
+    there is nothing to learn from.
     """
     rows = _features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text")
-    training = _training(docs, labels, id_col, text_col, domain_col, names)
+    training = _training(docs if known is None else known, labels, id_col, text_col, domain_col, names)
     if training.isEmpty():
         return written(rows.select("id", "tokens", F.array(*[F.lit(1.0 / len(names))] * len(names)).alias("p")), "posteriors")
     speaking = _speaking(training, len(names))
@@ -133,19 +134,21 @@ def mix(
     domain_col: str = "domain",
     id_col: str = "doc_id",
     text_col: str = "text",
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """id, tokens, p_<domain> for each target, rate, copies; one row per row of docs.
 
     rate is how often a document is to be drawn for the domains' expected tokens to
     stand as the targets do, with as many tokens in all as now; copies is the rate
     rounded up or down by the hash of the id, right on average. Targets that no rates
-    meet are met as nearly as least squares can. Null and empty texts have no tokens;
+    meet are met as nearly as least squares can. known has the texts of the labels where
+    docs no longer has all of them. Null and empty texts have no tokens;
     labels of other domains, null ids and nulls in labels aren't learned from.
     """
     names = sorted(targets)
     if not names or len(names) > MAX_DOMAINS or min(targets.values()) < 0 or not sum(targets.values()):
         raise ValueError(f"targets: 1 to {MAX_DOMAINS} domains, no negative weights, not all zero")
-    rows = posteriors(docs, labels, names, domain_col, id_col, text_col)
+    rows = posteriors(docs, labels, names, domain_col, id_col, text_col, known)
     rate = fit_rates(rows, [targets[n] for n in names])
     chance = F.pmod(F.xxhash64(F.lit("copies"), "id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")

@@ -28,9 +28,17 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: The domains that the stages before the last keep; their targets count as shares of their sum.
+TARGETS = {name: mixing.TARGETS[name] for name in ("good", "low")}
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates and copies of every document that is left, for the target weights of the domains."""
-    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
+    """Rates and copies of every document that is left, for the target weights of the domains that are kept.
+
+    Domains are learned from the labelled texts as they were before the other stages.
+    """
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, TARGETS, known=table(spark, sf_dir, "documents"))
 
 
 STAGES = [

@@ -68,3 +68,23 @@ def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, DATA)
     ids = [r["doc_id"] for r in got.collect()]
     assert 0 < len(ids) == len(set(ids)) < 200
+
+
+def test_last_stage_learns_from_the_original_table_and_meets_its_targets(spark, make, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    say = {"good": "careful measured writing", "low": "cheap spammy junk", "toxic": "vile nasty insult"}
+    rows = [(i, " ".join([say[d], f"filler{i} plain text"] * 5), "en", "a") for i in range(300) for d in [("good", "low", "toxic")[i % 3]]]
+    docs = make(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 == 0), int(i % 3 == 2)) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs.filter("doc_id >= 200 and doc_id % 3 < 2")  # no labelled row is left
+    out = corpus_pipeline.mixture(spark, left, str(tmp_path))
+    assert "p_toxic" not in out.columns
+    total = out.agg(*[(F.sum(F.col("tokens") * F.col(f"p_{d}") * F.col("rate")) / F.sum("tokens")).alias(d) for d in corpus_pipeline.TARGETS]).first()
+    for d, target in corpus_pipeline.TARGETS.items():
+        assert abs(total[d] - target / sum(corpus_pipeline.TARGETS.values())) < 1e-4
+    sure = out.agg(F.min(F.when(F.col("doc_id") % 3 == 0, F.col("p_good")).otherwise(F.col("p_low")))).first()[0]
+    assert sure > 0.9
