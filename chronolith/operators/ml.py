@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..llm.components import connected_components
 from .joins import range_pairs
 from .store import written
 from .windows import lag_embedding
@@ -163,25 +164,16 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
     return rows.withColumn("cluster", (F.array_position(parts, F.array_max(parts)) - 1).cast("int")), ll
 
 
-def density_clusters(points: DataFrame, key: str, coords: Sequence[str], eps: float, least: int, rounds: int = 20) -> DataFrame:
+def density_clusters(points: DataFrame, key: str, coords: Sequence[str], eps: float, least: int) -> DataFrame:
     """(key, cluster): DBSCAN; cluster is its smallest core key, -1 for noise.
 
-    Neighbours come from the grid join; core labels spread along core pairs, with a jump
-    to the label's label in each round, until none changes.
+    Neighbours come from the grid join; the components of the core pairs are the clusters.
     """
     pairs = written(range_pairs(points, key, coords, eps), "pairs")
     core = written(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= least).select("a"), "core")
-    links = written(pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b"), "links")
-    label = core.select("a", F.col("a").alias("label"))
-    for _ in range(rounds):
-        near = links.join(label.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        lower = label.join(near, "a", "left").select("a", "label", F.least("label", F.coalesce("other", "label")).alias("new"))
-        jump = lower.select(F.col("a").alias("new"), F.col("new").alias("far"))
-        moved = written(lower.join(jump, "new", "left").select("a", "label", F.least("new", F.coalesce("far", "new")).alias("new")), "label")
-        done = moved.filter("label <> new").isEmpty()
-        label = moved.select("a", F.col("new").alias("label"))
-        if done:
-            break
+    links = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").filter("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = connected_components(links)
+    label = written(core.join(roots, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("label")), "label")
     edge = pairs.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("reach"))
     out = points.select(F.col(key).alias("a")).join(label, "a", "left").join(edge, "a", "left")
     return out.select(F.col("a").alias(key), F.coalesce("label", "reach", F.lit(-1)).alias("cluster"))

@@ -124,6 +124,13 @@ def test_density_clusters(spark):
     assert {got[i] for i in range(6)} == {0} and {got[10 + i] for i in range(6)} == {10} and got[99] == -1
 
 
+def test_density_clusters_of_a_long_path(spark):
+    keys = np.random.default_rng(1).permutation(200).tolist()
+    pts = [(k, 0.01 * i, 0.0) for i, k in enumerate(keys)]
+    got = M.density_clusters(spark.createDataFrame(pts, "id long, x double, y double"), "id", ["x", "y"], 0.0101, 3).collect()
+    assert len(got) == 200 and {r["cluster"] for r in got} == {min(keys[1:-1])}
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(s, t, int((s + t) % 3 == 0)) for s in range(12) for t in range(5)], "subject int, trial int, label int")
     assert M.leaking_subjects(M.balanced_split(df, 0.25)).isEmpty()
