@@ -105,9 +105,13 @@ ANCHORS = ("licen", "permission", "redistribution")
 MAX_KNOWN = 1_000
 
 
+#: Not before what a licence itself says of copyright, wherever its lines are broken; a colon or a year makes it a notice.
+_OWN_WORDS = "(?![\\s*#/]+(?:notice|holder|owner)s?\\b(?![ \\t]*[:©]|[^\\n]*\\b(?:19|20)[0-9]{2}\\b))"
+
+
 def canonical(c: Column) -> Column:
     """Lower case, copyright and rights-reserved lines gone, punctuation as one space, one spelling."""
-    c = F.regexp_replace(F.lower(c), "(^|\\n)[ \\t*#/]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*", "\n")
+    c = F.regexp_replace(F.lower(c), f"(^|\\n)[ \\t*#/]*(copyright{_OWN_WORDS}|\\(c\\)|©|all rights reserved)[^\\n]*", "\n")
     c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
     for a, b in EQUIVALENT:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -51,6 +52,19 @@ def test_license_variants(make):
     assert got[3] == (None, "CC-BY-NC-4.0,MIT", 2) and got[4] == (None, "", 0)
 
 
+def test_known_texts_however_their_lines_are_broken(make):
+    long = [(name, t) for name, t in license_scan.KNOWN if len(t) > 200]
+    notice = "Copyright (c) 2020 A. Person\nCopyright B. Person\nCopyright holders: C. Person\nAll rights reserved.\n"
+    rows, want = [], {}
+    for name, t in long:
+        for width in range(20, 101):
+            mark = ("", " * ", "# ")[width % 3]
+            want[len(rows)] = name
+            rows.append((len(rows), "\n".join(mark + line for line in [*notice.split("\n"), *textwrap.wrap(t, width, break_long_words=False)]), "en", "a"))
+    got = {r["doc_id"]: r["text_license"] for r in license_scan.license_scan(make(rows)).collect()}
+    assert got == want
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
