@@ -27,18 +27,29 @@ def trial_aggregates(stream: DataFrame, keys: Sequence[str], values: Sequence[st
 
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, window: str, late: str) -> DataFrame:
-    """Rows and sums by event-time window; rows later than the watermark are dropped."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """(start, kind, n, total) by event-time window; rows later than the watermark are dropped.
+
+    A time without a zone counts as UTC, whatever the session's zone, and start has none either.
+    """
+    plain = dict(stream.dtypes)[time] == "timestamp_ntz"
+    here, utc = F.current_timezone(), F.lit("UTC")
+    if plain:
+        stream = stream.withColumn(time, F.convert_timezone(utc, here, F.col(time)).cast("timestamp"))
+    counts = stream.withWatermark(time, late).groupBy(F.window(time, window), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    start = F.col("window.start")
+    return counts.select((F.convert_timezone(here, utc, start.cast("timestamp_ntz")) if plain else start).alias("start"), kind, "n", "total")
 
 
 def responders(stream: DataFrame, keys: Sequence[str], **options) -> DataFrame:
     return responder_aggregates(stream, keys, **options)
 
 
-def contiguity_breaks(stream: DataFrame, keys: Sequence[str], frame: str = "frame", timeout_ms: int = 600_000) -> DataFrame:
+def contiguity_breaks(stream: DataFrame, keys: Sequence[str], frame: str = "frame", time: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(keys, frame, previous) of frames that don't follow their trial's last one; one number a trial is kept.
 
-    State of a trial that stays silent for timeout_ms is dropped.
+    With an event-time column the state of a trial is dropped once the watermark, `late`
+    behind the newest row, has passed the trial's last row. Without one it is kept: for
+    streams that end.
     """
     types = dict(stream.dtypes)
     out = ", ".join(f"{k} {types[k]}" for k in keys) + f", {frame} long, previous long"
@@ -47,17 +58,25 @@ def contiguity_breaks(stream: DataFrame, keys: Sequence[str], frame: str = "fram
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last, newest = state.get if state.exists else (None, 0)
+        numbers = []
+        for f in frames:
+            numbers += f[frame].tolist()
+            if time:
+                newest = max(newest, int(f[time].max().timestamp() * 1000))
         rows = []
-        for n in sorted(x for f in frames for x in f[frame].tolist()):
+        for n in sorted(numbers):
             if last is not None and n - last != 1:
                 rows.append((*key, n, last))
             last = n if last is None else max(last, n)
-        state.update((last,))
-        state.setTimeoutDuration(timeout_ms)
+        state.update((last, newest))
+        if time:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[*keys, frame, "previous"])
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    source = stream.withWatermark(time, late) if time else stream
+    return source.groupBy(*keys).applyInPandasWithState(step, out, "last long, newest long", "append", timeout)
 
 
 def with_labels(stream: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
