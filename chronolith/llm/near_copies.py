@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import connected_components
+from ..operators.components import connected_components
 
 #: Words of a shingle; least similarity of near copies (Jaccard index) as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5

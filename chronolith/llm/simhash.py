@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
-from .components import connected_components
+from ..operators.components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Homes of one anchor that one task compares; anchors with more are split by home.

@@ -12,7 +12,7 @@ from oracle import DATA, assert_same, duck
 from pyspark.sql import functions as F
 
 from chronolith.llm import exact_dedup, line_dedup, near_copies, queries, simhash
-from chronolith.llm.components import connected_components
+from chronolith.operators.components import connected_components
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
