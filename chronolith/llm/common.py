@@ -33,6 +33,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, share: int = 10_000) -> DataFrame:
+    """left join right (one row a key, with the key's number of rows in left) where one key may hold most rows.
+
+    Fewer than `share` keys can hold more than 1 / share of all rows each: those are
+    broadcast, and of the rest no key brings more than that to one task. Both are
+    written tables or cheap to read twice; left has no column named `count`.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * share > total
+    hot = F.broadcast(right.filter(heavy))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.filter(~heavy), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def first_of_each(df: DataFrame, keys: Sequence[str], k: int, id_col: str = "id", parts: int = 64) -> DataFrame:
     """Of each key the k rows whose id's hash comes first.
 

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def _nearest() -> np.ndarray:
+def nearest_codeword() -> np.ndarray:
     """Of each 15-bit word the nearest word of the Hamming code."""
     w = np.arange(1 << 15, dtype=np.uint32)
     syndrome = np.zeros_like(w)
@@ -78,7 +78,7 @@ def _ranges(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _home(x: np.ndarray, bits: int, nearest: np.ndarray) -> np.ndarray:
+def home(x: np.ndarray, bits: int, nearest: np.ndarray) -> np.ndarray:
     """The anchor nearest to each part value."""
     out = x.copy()
     for i in range(0, bits - 14, 15):
@@ -91,21 +91,21 @@ def replicas(distinct: DataFrame, bits: int, parts: int) -> DataFrame:
     """(part, anchor, fp, home) rows of distinct(fp): each fingerprint at all its anchors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest, each = _nearest(), bits // parts
+        nearest, each = nearest_codeword(), bits // parts
         for whole in batches:
             for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
                 fp = b.column(0).to_numpy(zero_copy_only=False)
                 for part, (first, size) in enumerate(_ranges(parts)):
                     x = fp.view(np.uint64) >> np.uint64(first) & np.uint64((1 << size) - 1)
                     flips = [sum(1 << i for i in c) for k in range(each + 1) for c in combinations(range(size), k)]
-                    home = _home(x, size, nearest)
-                    at = np.sort(np.stack([_home(x ^ np.uint64(f), size, nearest) for f in flips], 1), 1)
+                    own = home(x, size, nearest)
+                    at = np.sort(np.stack([home(x ^ np.uint64(f), size, nearest) for f in flips], 1), 1)
                     new = np.ones(at.shape, bool)
                     new[:, 1:] = at[:, 1:] != at[:, :-1]
                     row, col = np.nonzero(new)
                     anchor = at[row, col]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), part, np.int32)), pa.array(anchor.view(np.int64)), pa.array(fp[row]), pa.array(anchor == home[row])],
+                        [pa.array(np.full(len(row), part, np.int32)), pa.array(anchor.view(np.int64)), pa.array(fp[row]), pa.array(anchor == own[row])],
                         ["part", "anchor", "fp", "home"],
                     )
 

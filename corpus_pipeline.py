@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.llm import decontaminate, exact_dedup, mixing, near_copies, toxicity
+from chronolith.llm import decontaminate, exact_dedup, mixing, toxicity, wide_simhash
 from chronolith.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates: of five-word shingles, 0.8 or more are common."""
-    return near_copies.drop_near_copies(docs)
+    """Keeps the smallest doc_id of each group of near duplicates: wide SimHash, five-word shingles of a Jaccard index of 0.8 or more."""
+    return wide_simhash.drop_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", clean_toxic),
     ("exact_dedup", exact_copies),
-    ("near_dedup", similar_texts),
+    ("simhash_near_dedup", similar_texts),
     ("benchmark_decontamination", benchmark_leaks),
     ("mixing", mixture),
 ]

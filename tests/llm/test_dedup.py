@@ -11,7 +11,7 @@ import xxhash
 from oracle import DATA, assert_same, duck
 from pyspark.sql import functions as F
 
-from chronolith.llm import exact_dedup, line_dedup, near_copies, queries, simhash
+from chronolith.llm import exact_dedup, line_dedup, queries, simhash, wide_simhash
 from chronolith.operators.components import connected_components
 
 
@@ -103,7 +103,8 @@ def test_lines_near_the_threshold_are_counted_exactly(make):
     assert got[0] == "own 0"
 
 
-def test_near_copies_from_a_similarity_of_four_fifths(make):
+@pytest.mark.parametrize("homes", [1 << 16, 8])
+def test_near_copies_from_a_similarity_of_four_fifths(make, homes):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     boiler = " ".join(word() for _ in range(20))
@@ -115,7 +116,7 @@ def test_near_copies_from_a_similarity_of_four_fifths(make):
             k = int(share * len(words))
             rows.append((10 * i + n, f"{boiler} {' '.join(words[:-k] + [word() for _ in range(k)])}", "en", "a"))
     rows += [(1000 + i, " ".join([word(), *boiler.split() * 9, word()]), "en", "a") for i in range(40)]  # a large group
-    sets = {r[0]: near_copies.shingles(r[1]) for r in rows}
+    sets = {r[0]: wide_simhash.shingles(r[1]) for r in rows}
     root = {i: i for i in sets}
     for a, b in itertools.combinations(sets, 2):
         both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
@@ -123,5 +124,29 @@ def test_near_copies_from_a_similarity_of_four_fifths(make):
             low, high = sorted((root[a], root[b]))
             root = {i: low if r == high else r for i, r in root.items()}
     assert 60 < len(set(root.values())) < len(root) - 150
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(make(rows)).collect()}
-    assert got == root
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.near_components(make(rows), homes=homes).collect()}
+    assert all(root[i] == root[c] for i, c in got.items())
+    assert sum(got[i] == c for i, c in root.items()) >= 0.97 * len(root)
+
+
+@pytest.mark.parametrize("n", [1, 300_000, 10_000_000, 10**10])
+def test_parts_bring_near_fingerprints_together(n):
+    width, parts = wide_simhash.plan(n)
+    p = wide_simhash.differing()
+    miss = (1 - (1 - p) ** width - width * p * (1 - p) ** (width - 1)) ** parts
+    assert 1 - miss >= wide_simhash.RECALL and 64 * wide_simhash.words_of(width, parts) >= width * parts
+    rng = np.random.default_rng(n)
+    fp = rng.integers(0, 2, (200, width * parts)).astype(bool)
+    near = fp ^ (rng.random(fp.shape) < p)
+    meets = ((fp ^ near).reshape(200, parts, width).sum(2) <= 1).any(1)
+    assert meets.mean() >= 0.96
+
+
+def test_word_hashes_follow_the_words_alone(monkeypatch):
+    texts = ["Some  words\there\nand more \x0b words", " some words here and more words", "some WORDS here and More words"]
+    first, second, third = (wide_simhash.word_hashes(t) for t in texts)
+    assert (first == second).all() and (second == third).all() and len(set(first.tolist())) == 5
+    monkeypatch.setattr(wide_simhash, "PIECE", 3)
+    assert (wide_simhash.word_hashes(texts[0]) == first).all()
+    assert len(wide_simhash.word_hashes(None)) == len(wide_simhash.word_hashes(" \n")) == 0
+    assert len(wide_simhash.shingles(None)) == 0 and len(wide_simhash.shingles("a b")) == 1
