@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from ..operators.store import written
+from .common import fold
 
 Q = 8
 #: Edits allowed, as a share of a passage's characters.
@@ -44,6 +45,9 @@ def _grams(x: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
+_NOTHING = np.zeros(0, np.uint32)
+
+
 def budget(m: int) -> int:
     """Edits allowed in a passage of m characters: a share, and no more than the lemma can see."""
     return max(0, min(int(EDITS * m), (m - Q) // Q))
@@ -56,7 +60,7 @@ def folded(text: str | None) -> np.ndarray:
 
 
 def passages(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
-    """(item, folded passage), all that are looked for; items of fewer than Q characters have none.
+    """(item, folded passage), all that are looked for in texts; items of fewer than Q characters have none.
 
     An index of the whole items looks for the same passages and is much smaller.
     """
@@ -99,13 +103,23 @@ def banded(passage: np.ndarray, region: np.ndarray, most: int) -> np.ndarray:
 class Index:
     """q-grams of items and where they are; of bounded size.
 
-    A text of more than PASSAGE characters stands for all its passages.
+    A text of more than PASSAGE characters stands for all its passages. One of fewer
+    than Q, of which there is no q-gram, is looked for as a document's whole text.
     """
 
     items: np.ndarray
     texts: list[np.ndarray]
 
     def __post_init__(self) -> None:
+        short = [len(x) < Q for x in self.texts]
+        self.whole: dict[bytes, list[int]] = {}
+        for i, x, few in zip(self.items, self.texts, short, strict=True):
+            if few:
+                self.whole.setdefault(x.tobytes(), []).append(int(i))
+        self.items = np.array([i for i, few in zip(self.items, short, strict=True) if not few], np.int64)
+        self.texts = [x for x, few in zip(self.texts, short, strict=True) if not few]
+        if not self.texts:
+            return
         size = np.array([len(x) for x in self.texts])
         m = np.minimum(size, PASSAGE)
         self.edits = np.array([budget(n) for n in m])
@@ -142,7 +156,9 @@ class Index:
         text = np.searchsorted(start, at, side="right") - 1
         many = len(self.texts)
         pair = text * many + which
-        keep = np.bincount(pair, minlength=len(start) * many)[pair] >= self.needed[which]
+        # Only pairs that share a q-gram are counted: there may be many texts and many items.
+        _, at_pair, shared = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = shared[at_pair] >= self.needed[which]
         if not keep.any():
             return {}
         at, which, where, pair = at[keep], which[keep], where[keep], pair[keep]
@@ -204,6 +220,13 @@ def _runs(values: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarr
 def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int]]]:
     """(item, least distance) for each text, by item."""
     best: list[dict[int, int]] = [{} for _ in texts]
+    if index.whole:
+        for found, text in zip(best, texts, strict=True):
+            x = folded(text[: 1 << 16]) if text else _NOTHING
+            if 0 < len(x) < Q and (len(text) <= 1 << 16 or np.array_equal(folded(text), x)):
+                found.update(dict.fromkeys(index.whole.get(x.tobytes(), ()), 0))
+    if not index.texts:
+        return [sorted(b.items()) for b in best]
     overlap = 2 * PASSAGE + 2 * (2 << int(index.shift.max()))
     pieces, rows, size = [], [], 0
 
@@ -230,40 +253,53 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int]]]:
     return [sorted(b.items()) for b in best]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes over the whole benchmark, each of about BLOCK_CHARS characters at most but for a longer item."""
-    held: list[tuple[int, np.ndarray]] = []
+class Block:
+    """Items of bounded size as they come; the index is built by the Python worker that first looks into it."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.items = items
+        self.built: Index | None = None
+
+    @property
+    def index(self) -> Index:
+        if self.built is None:
+            folds = [(i, folded(t)) for i, t in self.items]
+            self.built = Index(np.array([i for i, x in folds if len(x)], np.int64), [x for _, x in folds if len(x)])
+        return self.built
+
+
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
+    """The whole benchmark, in blocks of about BLOCK_CHARS characters but for a longer item; the driver hands on one after the other."""
+    held: list[tuple[int, str]] = []
     size = 0
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        x = folded(r[1])
-        if len(x) >= Q:
-            held.append((r[0], x))
-            size += len(x)
+        held.append((r[0], r[1]))
+        size += len(r[1])
         if size >= BLOCK_CHARS:
-            yield Index(np.array([i for i, _ in held]), [x for _, x in held])
+            yield Block(held)
             held, size = [], 0
     if held:
-        yield Index(np.array([i for i, _ in held]), [x for _, x in held])
+        yield Block(held)
 
 
-def leaked(docs: DataFrame, index: Index, text: Column) -> Column:
+def leaked(docs: DataFrame, block: Block, text: Column) -> Column:
     """Array of (item, distance) that a text column has of one block, item by item."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     @F.pandas_udf(_HIT)
     def look(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item": i, "distance": d} for i, d in hits] for hits in find(shared.value, list(texts))])
+        return pd.Series([[{"item": i, "distance": d} for i, d in hits] for hits in find(shared.value.index, list(texts))])
 
     return look(text.cast("string"))
 
 
-def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Block, bool]]:
     """(block, whether it is the last); no more than two blocks are held."""
     held = None
-    for index in blocks(benchmark):
+    for block in blocks(benchmark):
         if held is not None:
             yield held, False
-        held = index
+        held = block
     if held is not None:
         yield held, True
 
@@ -272,20 +308,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """id, item_id, distance: the documents that hold a passage of an item within its edit budget.
 
     distance is the least over the document's regions and the item's passages. Null and
-    empty texts hold nothing; items of fewer than Q folded characters, and null ones,
-    are not looked for. Repeated rows and null ids are reported like others; an empty
-    table or benchmark gives no rows.
+    empty texts hold nothing; null and empty items are not looked for, items of fewer
+    than Q folded characters only as whole texts. Rows of one id, null too, count
+    together: one row for each item that any of them holds. An empty table or benchmark
+    gives no rows; other columns, and their names, have no effect.
     """
     found = docs.select(F.col(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance")).filter("false")
-    for index, last in _passes(benchmark):
-        rows = docs.select(F.col(id_col), F.explode(leaked(docs, index, F.col(text_col))).alias("h")).select(id_col, F.col("h.item").alias("item_id"), F.col("h.distance").alias("distance"))
+    for block, last in _passes(benchmark):
+        rows = docs.select(F.col(id_col), F.explode(leaked(docs, block, F.col(text_col))).alias("h")).select(id_col, F.col("h.item").alias("item_id"), F.col("h.distance").alias("distance"))
         found = found.union(rows if last else written(rows, "leaks"))
     return found.groupBy(id_col, "item_id").agg(F.min("distance").alias("distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark passage; columns as before, nothing shuffled."""
-    for index, last in _passes(benchmark):
-        docs = docs.filter(F.size(leaked(docs, index, F.col(text_col))) == 0)
+    """docs without the rows that hold a benchmark passage; columns as before, nothing shuffled.
+
+    Each row counts by itself: repeated rows and null ids like any other; rows of null
+    or empty text stay, very long ones are read whole. An empty table stays empty.
+    """
+    for block, last in _passes(benchmark):
+        docs = docs.filter(F.size(leaked(docs, block, F.col(text_col))) == 0)
         docs = docs if last else written(docs, "unleaked")
     return docs

@@ -231,3 +231,18 @@ def test_runs_of_long_items_are_found_at_every_offset(make, spark, monkeypatch):
     rows = [(1, items[0][1][30:210], "en", "a"), (2, items[1][1][30:210], "en", "a"), (3, "plain", "en", "a")]
     assert sorted(tuple(r) for r in decontaminate.contamination(make(rows), bench).collect()) == [(1, 0, 0), (2, 1, 0)]
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(make(rows), bench).collect()] == [3]
+
+
+def test_short_items_are_looked_for_as_whole_texts(make, spark):
+    bench = spark.createDataFrame([(1, "Yes!"), (2, "yes"), (3, "..."), (4, None), (5, "a passage of several words")], "item_id long, text string")
+    rows = [(1, " YES ", "en", "a"), (2, "yes indeed", "en", "a"), (3, "", "en", "a"), (4, "so: a passage of several words", "en", "a"), (4, "yes", "en", "a"), (None, "yes" + " " * 70_000, "en", "a"), (6, "yes" + " " * 70_000 + "no", "en", "a")]
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["distance"]) for r in decontaminate.contamination(make(rows), bench).collect())
+    assert got == [(0, 1, 0), (0, 2, 0), (1, 1, 0), (1, 2, 0), (4, 1, 0), (4, 2, 0), (4, 5, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(make(rows), bench).collect()) == [2, 3, 6]
+
+
+def test_many_short_texts_against_many_items():
+    items = [f"question number {i} of the list" for i in range(3000)]
+    index = decontaminate.Index(np.arange(3000), [decontaminate.folded(t) for t in items])
+    found = decontaminate.find(index, [f"x {items[i]}" for i in range(0, 3000, 3)])
+    assert all(dict(f)[i] == 0 for f, i in zip(found, range(0, 3000, 3), strict=True))
