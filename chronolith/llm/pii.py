@@ -1,9 +1,11 @@
 """Personal data: base patterns, and contextual patterns bootstrapped from what they find.
 
-Base entities are seeds. The words around identifier-like tokens are candidate
-patterns; patterns and the tokens they extract form a graph that Spark scores in
-rounds: a pattern is worth what the tokens it extracts are worth, a token what the
-patterns around it are worth. Tokens that only good patterns surround are found too.
+Base entities are seeds. Their contexts, two words before or one on each side, are
+patterns where enough different seeds have them and few other words stand there. Every
+word in such a place is a token; patterns and the tokens they extract form a graph that
+Spark scores in rounds until nothing moves: a pattern is worth what the tokens it
+extracts are worth, a token what the patterns around it are worth. Tokens that good
+patterns surround are found too, whatever they look like.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from ..operators.store import written
+from .common import small
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -25,14 +29,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-#: Identifier-like tokens: runs without white space that hold a digit, an @ or an _.
-_TOKEN = re.compile(r"\S+")
-_LIKE = re.compile(r"[0-9@]")
-_EDGES = " \t\n\r\"'`.,;:!?()[]{}<>*#&$%|="
-#: Rounds of scoring; a pattern needs so many different seeds and such a score; so does a token.
-ROUNDS, MIN_SEEDS, PATTERN_SCORE, TOKEN_SCORE = 3, 3, 0.8, 0.9
-#: Longest token that is a candidate, in characters.
-LONGEST = 128
+#: A pattern needs so many different seeds, and seeds in such a share of its places, to be a candidate.
+MIN_SEEDS, SHARE = 3, 0.5
+#: Worth of a pattern from which it counts for its tokens; of a token from which it is found; change at which rounds end.
+PATTERN_SCORE, TOKEN_SCORE, STILL = 0.6, 0.95, 1e-6
+#: Bits of the filter of patterns' hashes that tasks get, whatever their number; what it lets through is joined.
+FILTER_BITS = 26
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _luhn(digits: str) -> bool:
@@ -66,96 +69,208 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _word(text: str) -> str:
-    return re.sub(r"[0-9]+", "0", text.strip(_EDGES).lower())[:32]
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * _ODD
+    h = (h ^ h >> np.uint64(29)) * _OTHER
+    return h ^ h >> np.uint64(32)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[list[str], str, int, int, int]]:
-    """(patterns, token, kind or -1, start, end) of base entities and identifier-like tokens.
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each ASCII character what it counts as (A-Z as a-z, digits as 0), and whether it is part of no word."""
+    value = np.arange(128, dtype=np.uint64)
+    value[65:91] += np.uint64(32)
+    value[48:58] = 48
+    edge = np.zeros(128, bool)
+    edge[[ord(c) for c in "\"'`.,;:!?()[]{}<>*#&$%|="]] = True
+    return value, edge
+
+
+_VALUE, _EDGE = _characters()
+_BLANK = np.isin(np.arange(128), [32, 9, 10, 11, 12, 13])
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of text's words: runs without white space, punctuation at their ends and inside them not counted."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(x, 127)
+    plain = x < 128
+    blank = plain & _BLANK[low]
+    at = np.flatnonzero(~blank & ~(plain & _EDGE[low]))
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
+    word = np.cumsum(blank)[at]
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    value = np.where(plain[at], _VALUE[low[at]], x[at]).astype(np.uint64)
+    h = np.add.reduceat(_mix(value + np.uint64(1)) * (_mix(place.astype(np.uint64) + np.uint64(7)) | np.uint64(1)), first)
+    return _mix(h), at[first], at[np.r_[first[1:] - 1, len(at) - 1]] + 1
+
+
+def _contexts(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of places from word `first` to word `last`: of the two words before, and of those on both sides."""
+    w = np.r_[np.zeros(2, np.uint64), h, np.zeros(1, np.uint64)]
+    two, one, after = w[first], w[first + 1], w[last + 3]
+    return _mix(_mix(two + _ODD) ^ one), _mix(_mix(one + _OTHER) ^ after)
+
+
+def places(text: str, base: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pattern, pattern, start, end, base entity's number or -1): contexts of base entities, and of all words that overlap none."""
+    h, start, end = words(text)
+    spans = np.array([(a, b) for _, a, b in base], np.int64).reshape(-1, 2)
+    first = np.searchsorted(end, spans[:, 0], side="right")
+    last = np.searchsorted(start, spans[:, 1], side="left") - 1
+    covered = np.zeros(len(h) + 1, np.int64)
+    np.add.at(covered, first, 1)
+    np.add.at(covered, np.maximum(last, first - 1) + 1, -1)
+    free = np.flatnonzero(np.cumsum(covered)[: len(h)] == 0)
+    one, two = _contexts(h, np.r_[first, free], np.r_[np.maximum(last, first - 1), free])
+    return one.view(np.int64), two.view(np.int64), np.r_[spans[:, 0], start[free]], np.r_[spans[:, 1], end[free]], np.r_[np.arange(len(spans)), np.full(len(free), -1)]
 
-    The patterns are the two words before a token, and the words on both sides of it.
-    Tokens that overlap a base entity give way to it.
-    """
-    if not base and not _LIKE.search(text):
-        return []
-    spots = sorted((a, b, k) for k, a, b in base)
-    covered, i = [], 0
-    for m in _TOKEN.finditer(text):
-        if m.end() - m.start() <= LONGEST and _LIKE.search(m[0]):
-            left, right = m.start(), m.end()
-            core = m[0].strip(_EDGES)
-            if len(core) >= 5:
-                start = left + m[0].find(core)
-                while i < len(spots) and spots[i][1] <= left:
-                    i += 1
-                if i == len(spots) or spots[i][0] >= right:
-                    covered.append((start, start + len(core), -1))
-    out = []
-    for start, end, kind in sorted([*covered, *spots]):
-        before = text[max(0, start - 80) : start].split()[-2:]
-        after = text[end : end + 40].lstrip(_EDGES).split(maxsplit=1)[:1]
-        words = ["-", "-", *(_word(w) or "-" for w in before)]
-        patterns = [f"{words[-2]} {words[-1]} _", f"{words[-1]} _ {_word(after[0]) if after else '-'}"]
-        out.append((patterns, text[start:end].lower(), kind, start, end))
-    return out
+
+_SPAN = "struct<kind:int,start:long,end:long>"
+_PLACE = "row long, pattern long, token string, kind int, start long, end long"
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, base, seen): base spans and candidate occurrences of every row's whole text."""
+    """(id, row, text, base): every row with its base spans, written once for all passes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
         for b in batches:
-            base, seen = [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                spans = base_spans(text)
-                base.append([{"kind": k, "start": a, "end": e} for k, a, e in spans])
-                seen.append([dict(zip(("patterns", "token", "kind", "start", "end"), x, strict=True)) for x in candidates(text, spans)])
-            span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-            occurrence = pa.struct([("patterns", pa.list_(pa.string())), ("token", pa.string()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(span)), pa.array(seen, pa.list_(occurrence))], ["id", "base", "seen"])
+            base = [[{"kind": k, "start": a, "end": e} for k, a, e in base_spans(t.as_py())] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(span))], ["id", "text", "base"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.mapInArrow(run, "id long, base array<struct<kind:int,start:long,end:long>>, seen array<struct<patterns:array<string>,token:string,kind:int,start:long,end:long>>")
-    return written(found.withColumn("row", F.monotonically_increasing_id()), "extracted")
+    return written(rows.mapInArrow(run, f"id long, text string, base array<{_SPAN}>").withColumn("row", F.monotonically_increasing_id()), "extracted")
+
+
+def pattern_filter(patterns: DataFrame) -> np.ndarray:
+    """A bit for each hash of patterns(pattern) by its first FILTER_BITS bits: at most 2^(FILTER_BITS - 6) numbers come to the driver."""
+    bit = F.shiftrightunsigned("pattern", 64 - FILTER_BITS)
+    word = patterns.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(pattern, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for w, bits in word.collect():
+        out[w] = bits
+    return out
+
+
+def _through(table: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    bit = pattern.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (table.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def seeds_of(found: DataFrame) -> DataFrame:
+    """Places of base entities: a row for each of their two patterns."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(r, *_places_of(t, base)) for r, t, base in _texts(b)], True, None)
+
+    return found.filter(F.size("base") > 0).select("row", "text", "base").mapInArrow(run, _PLACE)
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, str, list]]:
+    yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+
+
+def _places_of(text: str, base: list[dict]) -> tuple:
+    spans = [(s["kind"], s["start"], s["end"]) for s in base]
+    return text, spans, places(text, spans)
+
+
+def _rows(each: Iterable[tuple], of_seeds: bool, table: np.ndarray | None) -> pa.RecordBatch:
+    out: list[list] = [[], [], [], [], [], []]
+    for row, text, spans, (one, two, start, end, number) in each:
+        for pattern in (one, two):
+            take = np.flatnonzero((number >= 0) if of_seeds else (number < 0) & _through(table, pattern))
+            for i in take.tolist():
+                a, b = int(start[i]), int(end[i])
+                for column, value in zip(out, (row, int(pattern[i]), text[a:b].lower(), spans[number[i]][0] if of_seeds else -1, a, b), strict=True):
+                    column.append(value)
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["row", "pattern", "token", "kind", "start", "end"])
+
+
+def others_at(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, others): how many words that aren't base entities stand in the place of patterns(pattern)."""
+    shared = found.sparkSession.sparkContext.broadcast(pattern_filter(patterns))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [np.zeros(0, np.int64)]
+            for _, t, base in _texts(b):
+                one, two, _, _, number = _places_of(t, base)[2]
+                both = np.r_[one[number < 0], two[number < 0]]
+                hits.append(both[_through(shared.value, both)])
+            pattern, n = np.unique(np.concatenate(hits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], ["pattern", "n"])
+
+    counts = found.select("row", "text", "base").mapInArrow(run, "pattern long, n long")
+    return counts.groupBy("pattern").agg(F.sum("n").alias("others"))
+
+
+def tokens_at(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Words that aren't base entities in the place of patterns(pattern), with kind -1."""
+    shared = found.sparkSession.sparkContext.broadcast(pattern_filter(patterns))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(r, *_places_of(t, base)) for r, t, base in _texts(b)], False, shared.value)
+
+    return found.select("row", "text", "base").mapInArrow(run, _PLACE).join(small(patterns.select("pattern")), "pattern", "left_semi")
 
 
-def score(seen: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, pattern_score: float = PATTERN_SCORE) -> DataFrame:
-    """(token, kind, worth) of unseen tokens that patterns extract; seen(pattern, token, kind).
+def score(seen: DataFrame, min_seeds: int = MIN_SEEDS, pattern_score: float = PATTERN_SCORE) -> DataFrame:
+    """(token, k, worth) of unseen tokens that patterns extract, of its best kind k; seen(pattern, token, kind).
 
     An edge is a pattern around a token, once for any number of occurrences. For each
-    kind, a pattern's worth is the mean worth of its tokens (seeds of the kind 1, seeds
-    of another 0, others their last worth, at first 0), and a token's worth is 1 less
-    the product of what its good patterns lack. Patterns need min_seeds seeds of the
-    kind and, to be good, the given worth.
+    kind, a token's worth is 1 less the product of what its good patterns lack, and a
+    pattern's worth is the mean over its tokens: of a seed of the kind 1, of another
+    seed 0, of others their worth by all other patterns, at first 0. Patterns need
+    min_seeds seeds of the kind and, to be good, the given worth. Worths only grow;
+    rounds end when none moves.
     """
     edges = written(seen.groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "graph")
     seeds = edges.filter("kind >= 0").groupBy("pattern", F.col("kind").alias("k")).agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
     graph = written(edges.join(seeds, "pattern").select("pattern", "token", "kind", "k"), "patterns")
-    worth = None
-    for _ in range(rounds):
-        known = graph if worth is None else graph.join(worth, ["token", "k"], "left")
-        value = F.when(F.col("kind") >= 0, (F.col("kind") == F.col("k")).cast("double")).otherwise(F.lit(0.5) if worth is None else F.coalesce("worth", F.lit(0.0)))
-        good = known.groupBy("pattern", "k").agg(F.avg(value).alias("good")).filter(F.col("good") >= pattern_score)
-        lacks = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("good"))))
-        worth = written(graph.filter("kind < 0").join(good, ["pattern", "k"]).groupBy("token", "k").agg((1 - F.exp(lacks)).alias("worth")), "worth")
+    good = graph.select("pattern", "k", F.lit(0.0).alias("good")).distinct()
+    before = -1.0
+    while True:
+        own = F.when(F.col("good") >= pattern_score, F.log(F.greatest(F.lit(1e-9), 1 - F.col("good")))).otherwise(0.0)
+        edge = written(graph.join(good, ["pattern", "k"]).select("pattern", "token", "kind", "k", own.alias("own")), "edges")
+        lacks = written(edge.filter("kind < 0").groupBy("token", "k").agg(F.sum("own").alias("lacks")), "lacks")
+        by_others = 1 - F.exp(F.least(F.lit(0.0), F.coalesce("lacks", F.lit(0.0)) - F.col("own")))
+        value = F.when(F.col("kind") >= 0, (F.col("kind") == F.col("k")).cast("double")).otherwise(by_others)
+        good = written(edge.join(lacks, ["token", "k"], "left").groupBy("pattern", "k").agg(F.avg(value).alias("good")), "good")
+        now = good.agg(F.coalesce(F.sum("good"), F.lit(0.0))).first()[0]
+        if abs(now - before) <= STILL:
+            break
+        before = now
+    worth = lacks.select("token", "k", (1 - F.exp("lacks")).alias("worth")).filter("worth > 0")
     return worth.groupBy("token").agg(F.max_by(F.struct("k", "worth"), F.struct("worth", -F.col("k"))).alias("best")).select("token", "best.k", "best.worth")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token_score: float = TOKEN_SCORE) -> DataFrame:
     """id, base, spans: arrays of (kind, start, end) by kind and start; one row per row of docs.
 
-    spans has the base entities and the tokens that good patterns extract, as the kind
-    that the patterns' seeds have. Null text is empty text; both give empty arrays.
+    spans has the base entities and the words that good patterns extract, without the
+    punctuation around them, as the kind that the patterns' seeds have. Null text is empty text; both give empty arrays.
     Repeated rows and null ids give rows of their own; an empty table gives none.
     """
     found = extract(docs, id_col, text_col)
-    occurrences = found.select("row", F.explode("seen").alias("o")).select("row", "o.*")
-    tokens = score(occurrences.select(F.explode("patterns").alias("pattern"), "token", "kind")).filter(F.col("worth") >= token_score).select("token", "k")
+    seeds = written(seeds_of(found), "seeds")
+    of = seeds.groupBy("pattern", "kind").agg(F.count_distinct("token").alias("seeds"), F.count("*").alias("n")).filter(F.col("seeds") >= MIN_SEEDS)
+    able = written(of.groupBy("pattern").agg(F.sum("n").alias("n")), "able")
+    rest = others_at(found, able)
+    patterns = written(able.join(rest, "pattern", "left").filter(F.col("n") >= SHARE * (F.col("n") + F.coalesce("others", F.lit(0)))).select("pattern"), "candidates")
+    at = written(tokens_at(found, patterns), "tokens")
+    seen = seeds.join(small(patterns), "pattern", "left_semi").unionByName(at).select("pattern", "token", "kind")
+    tokens = score(seen).filter(F.col("worth") >= token_score).select("token", "k")
     span = F.struct(F.col("k").cast("int").alias("kind"), "start", "end")
-    added = occurrences.filter("kind < 0").join(small(written(tokens, "tokens")), "token").groupBy("row").agg(F.collect_set(span).alias("added"))
+    added = at.join(small(written(tokens, "found")), "token").groupBy("row").agg(F.collect_set(span).alias("added"))
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
-    return found.join(added.hint("shuffle_hash"), "row", "left").select(F.col("id").alias(id_col), "base", spans.alias("spans"))
+    rows = found.select("row", "id", "base")
+    return rows.join(small(written(added, "added")), "row", "left").select(F.col("id").alias(id_col), "base", spans.alias("spans"))
 
 
 def _joined(spans: str):

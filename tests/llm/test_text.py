@@ -91,11 +91,55 @@ def test_base_spans_in_linear_time():
 
 def test_contextual_patterns_find_unseen_identifiers(make):
     rows = [(i, f"please write to user{i}@mail.example.com for details", "en", "a") for i in range(12)]
+    long = "j" * 300
     rows += [(50, "please write to hidden77(at)corp for details", "en", "a"), (51, "the year 1999x9 was fine", "en", "a")]
+    rows += [(52, "so: Please WRITE to (jane.doe), for details", "en", "a"), (53, f"please write to {long} for details", "en", "a"), (54, "please write to us", "en", "a")]
     got = {r["doc_id"]: r for r in pii.op5_pii(make(rows)).collect()}
     at = rows[12][1].index("hidden")
     assert got[50]["spans"].startswith(f"email:{at}:") and got[50]["n_email"] == 0 and got[50]["n_added"] == 1
     assert got[51]["spans"] == "" and got[3]["n_email"] == 1
+    assert got[52]["spans"] == "email:21:29" and got[53]["spans"] == "email:16:316"
+    assert got[54]["spans"] == ""  # one context alone isn't enough
+
+
+def plain_score(seen, min_seeds, pattern_score):
+    edges = {}
+    for p, t, k in seen:
+        edges[p, t] = max(k, edges.get((p, t), -1))
+    kinds = {(p, k) for (p, _), k in edges.items() if k >= 0 and sum(q == p and j == k for (q, _), j in edges.items()) >= min_seeds}
+    good = dict.fromkeys(kinds, 0.0)
+    lack = lambda p, k: max(1e-9, 1 - good[p, k]) if good.get((p, k), 0) >= pattern_score else 1.0
+    others = lambda p, t, k: 1 - np.prod([lack(q, k) for (q, u), j in edges.items() if j < 0 and u == t and q != p])
+    for _ in range(60):
+        good = {(p, k): np.mean([float(j == k) if j >= 0 else others(p, t, k) for (q, t), j in edges.items() if q == p]) for p, k in kinds}
+    out = {}
+    for (_, t), j in edges.items():
+        if j < 0:
+            worth, k = max((others(None, t, k), -k) for k in range(4))
+            if worth > 0:
+                out[t] = (-k, worth)
+    return out
+
+
+def test_scores_of_the_graph(spark):
+    rng = random.Random(8)
+    kind = lambda t: -1 if t % 3 == 0 else rng.choice([t % 2, 3]) if t % 7 == 0 else t % 2
+    seen = [(p, f"t{t}", kind(t)) for p in range(12) for t in [rng.randrange(12) * 2 + p % 2 if rng.random() < 0.85 else rng.randrange(24) for _ in range(12)]]
+    got = {r["token"]: (r["k"], r["worth"]) for r in pii.score(spark.createDataFrame(seen, "pattern long, token string, kind int")).collect()}
+    want = plain_score(seen, pii.MIN_SEEDS, pii.PATTERN_SCORE)
+    assert set(got) == set(want) and len(got) > 3
+    assert all(got[t][0] == want[t][0] and abs(got[t][1] - want[t][1]) < 1e-4 for t in want)
+
+
+def test_contexts_of_words_and_entities():
+    text = "Mail: (a1@b.c), or a2@b.c now; mail (x9) now"
+    base = pii.base_spans(text)
+    one, two, start, end, number = pii.places(text, base)
+    shown = [text[a:b] for a, b in zip(start, end, strict=True)]
+    assert shown == ["a1@b.c", "a2@b.c", "Mail", "or", "now", "mail", "x9", "now"] and number.tolist() == [0, 1] + [-1] * 6
+    h = pii.words(text)[0]
+    assert h[0] == h[5] and h[2] != h[0] and len(pii.words(" ;; ")[0]) == len(pii.words("")[0]) == 0
+    assert pii.words("a1-b2")[0] == pii.words("A7-B8,")[0]
 
 
 def test_toxicity_on_rows_that_it_did_not_see(spark):
