@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,17 +48,23 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, share:
     return left.join(hot, key).unionByName(rest)
 
 
-def first_of_each(df: DataFrame, keys: Sequence[str], k: int, id_col: str = "id", parts: int = 64) -> DataFrame:
-    """Of each key the k rows whose id's hash comes first.
+def first_of_each(df: DataFrame, keys: Sequence[str], k: int, id_col: str = "id") -> DataFrame:
+    """Of each key the k rows whose id's hash comes first; there are few keys.
 
-    A key's rows are dealt over `parts` groups, and what each of them puts first meets
-    in one: no task gets more than parts * k rows of a key.
+    Hashes are even, so that the first k lie below a threshold that the key's size sets,
+    but for one chance in billions: then the key's rows are ordered all. df is cheap to read.
     """
-    order = [F.xxhash64(id_col), F.col(id_col)]
-    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    dealt = df.withColumn("__part", F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(parts)))
-    some = dealt.withColumn("__n", place(*keys, "__part")).filter(F.col("__n") <= k)
-    return some.withColumn("__n", place(*keys)).filter(F.col("__n") <= k).drop("__part", "__n")
+    place = F.pmod(F.xxhash64(F.lit("place"), id_col), F.lit(1 << 40)) / float(1 << 40)
+    hashed = df.withColumn("__place", place)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__all"))
+    same = reduce(lambda a, b: a & b, [hashed[c].eqNullSafe(sizes[c]) for c in keys])
+    enough = (k + 8 * k**0.5 + 16) / F.col("__all")
+    near = hashed.join(F.broadcast(sizes), same).filter(F.col("__place") <= enough).select(*[hashed[c] for c in hashed.columns], "__all")
+    found = near.groupBy(*keys, "__all").agg(F.count("*").alias("__n"))
+    short = found.filter(F.col("__n") < F.least(F.col("__all"), F.lit(k)))
+    rows = near.drop("__all") if short.isEmpty() else hashed
+    order = W.partitionBy(*keys).orderBy("__place", id_col)
+    return rows.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= k).drop("__n", "__place")
 
 
 _FOLD: np.ndarray | None = None

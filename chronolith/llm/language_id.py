@@ -90,12 +90,13 @@ def fit(bits: np.ndarray, langs: list[str]) -> Model:
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column) -> Model | None:
     """Fits a Model on at most PER_LANG rows of a language, MAX_TRAIN in all, by hash of id.
 
-    Only the sample's presence bits (DIM / 8 bytes a text) come to the driver.
+    Of repeated ids one row counts for the bounds. Only the sample's presence bits (DIM /
+    8 bytes a text) come to the driver.
     """
-    able = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    able = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropDuplicates(["id"])
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sample = able.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANG).orderBy("n", "lang").limit(MAX_TRAIN)
-    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id", "lang", "n")), "id")
+    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id", "lang", "n")), "id").dropDuplicates(["id"])
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,7 +109,6 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Co
 
     got = rows.select("text", F.col("lang").cast("string"), F.col("n").cast("int")).mapInArrow(bits, "bits binary, lang string, n int, has boolean").filter("has").collect()
     got.sort(key=lambda r: (r["n"], r["lang"], bytes(r["bits"])))
-    got = got[: 2 * MAX_TRAIN]
     if not got:
         return None
     return fit(np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1), [r["lang"] for r in got])

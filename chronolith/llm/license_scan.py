@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import written
+from .common import small
+
 # Words that licence matching treats as the same spelling.
 EQUIVALENT = (
     ("licence", "license"),
@@ -74,6 +78,33 @@ _APACHE_HEADER = (
     'distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the '
     "License for the specific language governing permissions and limitations under the License."
 )
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software.\n\n3. This notice may not be removed or altered from any source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn "
+    "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+    "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    + _MIT_DISCLAIMER.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+    + "\n\nFor more information, please refer to <https://unlicense.org>"
+)
+_GNU_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software "
+    "Foundation, either version {1} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more "
+    "details.\n\nYou should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You "
+    "can obtain one at https://mozilla.org/MPL/2.0/."
+)
 KNOWN = (
     ("MIT", "MIT License\n\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_DISCLAIMER),
     ("MIT", _MIT_GRANT + _MIT_NOTICE + _MIT_DISCLAIMER),
@@ -85,6 +116,13 @@ KNOWN = (
     ("ISC", "ISC License\n\n" + _ISC),
     ("ISC", _ISC),
     ("Apache-2.0", _APACHE_HEADER),
+    ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies.", ".")),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("GPL-3.0-or-later", _GNU_HEADER.format("General Public License", 3)),
+    ("LGPL-3.0-or-later", _GNU_HEADER.format("Lesser General Public License", 3)),
+    ("AGPL-3.0-or-later", _GNU_HEADER.format("Affero General Public License", 3)),
+    ("MPL-2.0", _MPL_HEADER),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -101,67 +139,75 @@ KNOWN = (
 )
 #: Every known text has one of these; a text without them needs no digest.
 ANCHORS = ("licen", "permission", "redistribution")
-#: Most known texts that are broadcast.
-MAX_KNOWN = 1_000
-
 
 #: Not before what a licence itself says of copyright, wherever its lines are broken; a colon or a year makes it a notice.
-_OWN_WORDS = "(?![\\s*#/]+(?:notice|holder|owner)s?\\b(?![ \\t]*[:©]|[^\\n]*\\b(?:19|20)[0-9]{2}\\b))"
+_OWN_WORDS = "(?![\\s*#/]+(?:notice|holder|owner|law|interest)s?\\b(?![ \\t]*[:©]|[^\\n]*\\b(?:19|20)[0-9]{2}\\b))"
+
+
+def _wide(words: str) -> str:
+    return words.replace(" ", "  ")
 
 
 def canonical(c: Column) -> Column:
     """Lower case, copyright and rights-reserved lines gone, punctuation as one space, one spelling."""
     c = F.regexp_replace(F.lower(c), f"(^|\\n)[ \\t*#/]*(copyright{_OWN_WORDS}|\\(c\\)|©|all rights reserved)[^\\n]*", "\n")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+    # Two spaces part the words meanwhile, so that neighbours don't share one.
+    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", "  ")), F.lit(" "))
     for a, b in EQUIVALENT:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(c)
+        c = F.replace(c, F.lit(f" {_wide(a)} "), F.lit(f" {_wide(b)} "))
+    return F.replace(F.trim(c), F.lit("  "), F.lit(" "))
 
 
 def digest(c: Column) -> Column:
     return F.sha2(canonical(c), 256)
 
 
-def license_scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(license, known) of a folder of licence texts, one a file that is named as the licence is."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)([.](txt|md))?$", 1)
+    return spark.read.text(folder, wholetext=True).select(F.url_decode(name).alias("license"), F.col("value").alias("known"))
+
+
+def _anchored(c: Column) -> Column:
+    low = F.lower(c)
+    return reduce(lambda a, b: a | b, [low.contains(a) for a in ANCHORS])
+
+
+def license_scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_license, notices, n_notices; one row per row of docs.
 
     text_license is the licence that the entire text is, found by a hash join of its
     canonical digest; notices are the licences, sorted, that entire lines of the text
-    name, comma-joined; n_notices counts those lines. Null and empty texts have none.
-    Nothing is shuffled; known must have no more than MAX_KNOWN texts, each with one of
-    ANCHORS.
+    name by the same digests, comma-joined; n_notices counts those lines. Null and empty
+    texts have none; repeated rows, ties and null ids give rows of their own, and of
+    licences with one digest the first by name counts. An empty table gives no rows;
+    other columns, and their names, have no effect. known is a table (license, known),
+    as of license_texts, or pairs of them, any number. Only texts with one of ANCHORS
+    get a digest, unless a known text has none of them.
     """
-    if len(known) > MAX_KNOWN or not all(any(a in t.lower() for a in ANCHORS) for _, t in known):
-        raise ValueError("known licences: too many, or a text without an anchor word")
-    spark = docs.sparkSession
-    by_digest = spark.createDataFrame([*known], "license string, known string").groupBy(digest(F.col("known")).alias("digest")).agg(F.min("license").alias("license"))
-    pairs = [F.lit(x) for row in by_digest.select("digest", "license").collect() for x in row]  # MAX_KNOWN at most
-    lookup = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    low = F.lower(F.col(text_col))
-    anchored = F.lit(False)
-    for a in ANCHORS:
-        anchored |= low.contains(a)
-    rows = docs.select(F.col(id_col).alias("id"), F.when(anchored, F.col(text_col)).alias("text"))
-    # Only the few texts with an anchor word get a digest: F.when keeps the others null.
-    rows = rows.withColumn("digest", F.when(F.col("text").isNotNull(), digest(F.col("text"))))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains(ANCHORS[0]) | F.lower(x).contains(ANCHORS[1]) | F.lower(x).contains(ANCHORS[2]))
-    found = rows.join(F.broadcast(by_digest), "digest", "left")
-    named = F.filter(F.transform(lines, lambda x: F.element_at(lookup, digest(x))), lambda x: x.isNotNull())
-    named = F.when(F.col("text").isNotNull(), named).otherwise(F.array().cast("array<string>"))
-    return found.select(
-        F.col("id").alias(id_col),
-        F.col("license").alias("text_license"),
-        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notices"),
-        F.size(named).cast("long").alias("n_notices"),
-    )
+    table = known if isinstance(known, DataFrame) else docs.sparkSession.createDataFrame([*known], "license string, known string")
+    table = table.filter("license is not null and known is not null")
+    by_digest = written(table.groupBy(digest(F.col("known")).alias("digest")).agg(F.min("license").alias("license")), "known")
+    every = not table.filter(~_anchored(F.col("known"))).isEmpty()
+    able = F.col(text_col).isNotNull() if every else _anchored(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.when(able, F.col(text_col)).alias("text"))
+    lines = F.split("text", "\n") if every else F.filter(F.split("text", "\n"), _anchored)
+    # Only the texts that may match are looked at again: F.when keeps the others null.
+    some = F.col("text").isNotNull()
+    kept = rows.select("id", F.when(some, digest(F.col("text"))).alias("digest"), F.when(some, F.transform(lines, digest)).alias("lines"))
+    kept = written(kept.withColumn("row", F.monotonically_increasing_id()), "digests")
+    named = kept.select("row", F.explode("lines").alias("digest")).join(small(by_digest), "digest")
+    named = named.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n_notices"))
+    found = kept.join(small(by_digest), "digest", "left").join(small(written(named, "notices")), "row", "left")
+    return found.select(F.col("id").alias(id_col), F.col("license").alias("text_license"), F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
 def _sql_canonical(c: str) -> str:
     c = f"regexp_replace(lower({c}), '(^|\\n)[ \\t*#/]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*', chr(10), 'g')"
-    c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
     for a, b in EQUIVALENT:
-        c = f"replace({c}, ' {a} ', ' {b} ')"
-    return f"trim({c})"
+        c = f"replace({c}, ' {_wide(a)} ', ' {_wide(b)} ')"
+    return f"replace(trim({c}), '  ', ' ')"
 
 
 def _values() -> str:

@@ -17,26 +17,27 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_each, written
-
-#: Most labelled rows of one domain that are learned from; most domains; most words of a domain.
-PER_DOMAIN, MAX_DOMAINS, MAX_WORDS = 2000, 32, 3000
-#: Letters of a word's beginning; rows that its prior counts for; least log odds that speak for a domain.
-BEGINNING, PRIOR, LEAST = 5, 20.0, 1.0
-#: Most steps, and the miss of a target, or change of it, as a share of all tokens, at which they end.
-STEPS, CLOSE = 40, 1e-6
+from ..operators.store import written
+from .common import first_of_each, small
+
+#: Most labelled rows of one domain that are learned from; most domains.
+PER_DOMAIN, MAX_DOMAINS = 2000, 32
+#: Rows that a word's prior counts for; least log odds that speak for a domain.
+PRIOR, LEAST = 20.0, 1.0
+#: The miss of a target, as a share of all tokens, at which steps end; steps after which rates are written, and the gain by which they must have lessened the miss.
+CLOSE, TOGETHER, GAIN = 1e-6, 6, 1e-3
 _SYMBOLS = "[&%$#*|!]"
 
 
 def _features(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with tokens, beginnings (different words' first letters) and plain (a few figures of the text)."""
+    """docs with tokens, words (hashes of the different ones) and plain (a few figures of the text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"([\\p{{L}}\\p{{N}}]{{1,{BEGINNING}}})[\\p{{L}}\\p{{N}}]*"), 1)
-    with_words = docs.withColumn("__w", words).withColumn("tokens", F.size("__w").cast("double")).withColumn("beginnings", F.array_distinct("__w"))
+    all_words = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1)
+    with_words = docs.withColumn("__w", all_words).withColumn("tokens", F.size("__w").cast("double")).withColumn("words", F.transform(F.array_distinct("__w"), lambda w: F.xxhash64(w)))
     length = F.greatest(F.char_length(text), F.lit(1))
     plain = [
         F.log1p("tokens"),
-        F.size("beginnings") / (F.col("tokens") + 1),
+        F.size("words") / (F.col("tokens") + 1),
         F.regexp_count(text, F.lit(_SYMBOLS)) / length,
         length / (F.col("tokens") + 1) / 100,
     ]
@@ -51,31 +52,32 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, do
     taken = first_of_each(known, ["label"], PER_DOMAIN).join(F.broadcast(sizes), "label")
     taken = taken.withColumn("weight", F.col("all") / F.least(F.col("all"), F.lit(PER_DOMAIN)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id")
-    return written(_features(rows, "text").drop("text"), "labelled")
+    return written(_features(rows, "text").drop("text").withColumn("row", F.monotonically_increasing_id()), "labelled")
 
 
-def _speaking(rows: DataFrame, domains: int) -> list[list[str]]:
-    """Of each domain the beginnings whose smoothed log odds against the other domains are high."""
+def _speaking(rows: DataFrame, domains: int) -> DataFrame:
+    """(word, s0, s1, ...): 1 for the domains that a word speaks for, by smoothed log odds against the others; others 0."""
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = [float(total.get(d, 0)) for d in range(domains)]
-    counts = rows.select("label", F.explode("beginnings").alias("b")).groupBy("b").agg(*[F.count_if(F.col("label") == d).alias(f"c{d}") for d in range(domains)])
-    out = []
+    counts = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(*[F.count_if(F.col("label") == d).alias(f"c{d}") for d in range(domains)])
+    speaks = []
     for d in range(domains):
         rest, everything = sum(n) - n[d], max(sum(n), 1.0)
         a = (F.col(f"c{d}") + PRIOR * n[d] / everything + 1e-9) / (n[d] + PRIOR)
         others = reduce(lambda x, y: x + y, [F.col(f"c{e}") for e in range(domains) if e != d], F.lit(0))
         b = (others + PRIOR * rest / everything + 1e-9) / (rest + PRIOR)
-        odds = F.log(a / b).alias("odds")
-        out.append([r["b"] for r in counts.select("b", odds).filter(F.col("odds") > LEAST).orderBy(F.desc("odds"), "b").limit(MAX_WORDS).collect()])
-    return out
+        speaks.append((F.log(a / b) > LEAST).cast("int").alias(f"s{d}"))
+    return written(counts.select("word", *speaks).filter(" or ".join(f"s{d} > 0" for d in range(domains))), "speaking")
 
 
-def _vector(rows: DataFrame, speaking: Sequence[Sequence[str]]) -> DataFrame:
-    """rows with features: the plain figures, and the share of different words that speak for each domain."""
-    share = [F.sqrt(F.size(F.array_intersect("beginnings", F.array(*map(F.lit, w)))) / (F.size("beginnings") + 5)) if w else F.lit(0.0) for w in speaking]
-    columns = [*[F.col("plain")[i].alias(f"f{i}") for i in range(4)], *[s.alias(f"s{i}") for i, s in enumerate(share)]]
-    named = [f"f{i}" for i in range(4)] + [f"s{i}" for i in range(len(share))]
-    return VectorAssembler(inputCols=named, outputCol="features", handleInvalid="keep").transform(rows.select("*", *columns)).drop(*named)
+def _vector(rows: DataFrame, speaking: DataFrame, domains: int) -> DataFrame:
+    """rows(row, words, plain, ...), a written table, with features: the plain figures, and the share of different words that speak for each domain."""
+    hits = rows.select("row", F.explode("words").alias("word")).join(small(speaking), "word").groupBy("row").agg(*[F.sum(f"s{d}").alias(f"s{d}") for d in range(domains)])
+    share = [F.sqrt(F.coalesce(f"s{d}", F.lit(0)) / (F.size("words") + 5)).alias(f"f{4 + d}") for d in range(domains)]
+    kept = [c for c in rows.columns if c not in ("words", "plain")]
+    wide = rows.join(hits.hint("shuffle_hash"), "row", "left").select(*kept, *[F.col("plain")[i].alias(f"f{i}") for i in range(4)], *share)
+    named = [f"f{i}" for i in range(4 + domains)]
+    return VectorAssembler(inputCols=named, outputCol="features", handleInvalid="keep").transform(wide).drop(*named)
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, names: Sequence[str], domain_col: str, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
@@ -84,47 +86,68 @@ def posteriors(docs: DataFrame, labels: DataFrame, names: Sequence[str], domain_
     Learned from the labelled rows of known, or of docs. Alike for all domains where
     there is nothing to learn from.
     """
-    rows = _features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text")
+    featured = _features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text")
+    rows = written(featured.withColumn("row", F.monotonically_increasing_id()), "words")
     training = _training(docs if known is None else known, labels, id_col, text_col, domain_col, names)
     if training.isEmpty():
         return written(rows.select("id", "tokens", F.array(*[F.lit(1.0 / len(names))] * len(names)).alias("p")), "posteriors")
     speaking = _speaking(training, len(names))
     learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-3, maxIter=60)
-    model = learner.fit(_vector(training, speaking).coalesce(6))
-    out = model.setProbabilityCol("prob").transform(_vector(rows, speaking)).select("id", "tokens", vector_to_array("prob").alias("p"))
+    model = learner.fit(written(_vector(training, speaking, len(names)).coalesce(6), "training"))
+    out = model.setProbabilityCol("prob").transform(_vector(rows, speaking, len(names))).select("id", "tokens", vector_to_array("prob").alias("p"))
     pad = F.array(*[F.lit(0.0)] * len(names))
     return written(out.select("id", "tokens", F.slice(F.concat("p", pad), 1, len(names)).alias("p")), "posteriors")
 
 
-def _dot(p: str, v: Sequence[float]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(p)[i] * F.lit(float(x)) for i, x in enumerate(v)])
+def _stepped(steps: Sequence[tuple[float, np.ndarray]]) -> Column:
+    """Struct (rate, last) of a row of (p, rate, last) after some steps of (momentum, how far to go along each domain)."""
+    state = F.struct(F.col("rate"), F.col("last"))
+    if not steps:
+        return state
+    each = F.array(*[F.struct(F.lit(float(b)).alias("b"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for b, c in steps])
 
+    def step(at: Column, s: Column) -> Column:
+        along = reduce(lambda a, b: a + b, [F.col("p")[i] * s["c"][i] for i in range(len(steps[0][1]))])
+        return F.struct(F.greatest(F.lit(0.0), at["rate"] + s["b"] * (at["rate"] - at["last"]) - along).alias("rate"), at["rate"].alias("last"))
 
-def fit_rates(rows: DataFrame, targets: Sequence[float], steps: int = STEPS, close: float = CLOSE) -> Column:
-    """The rate of each row of rows(tokens, p), as an expression over p.
+    return F.aggregate(each, state, step)
+
+
+def fit_rates(rows: DataFrame, targets: Sequence[float], close: float = CLOSE) -> DataFrame:
+    """rows(tokens, p, ...), a written table, with the rate of each row.
 
     Least squares over rates r >= 0 of the miss: sum of share of tokens * p * r, less
-    the targets. Rates start at 1; a step moves each along the gradient of the miss,
-    in which the domains' Gram matrix evens out how large and how alike they are, and
-    cuts it at 0. A step reads the rows once and brings one figure a domain to the driver.
+    the targets. Rates start at 1; a step goes on as the last one did, with growing
+    momentum, then along the gradient of the miss, in which the domains' Gram matrix
+    evens out how large and how alike they are, and is cut at 0; with it no step is too
+    long. Steps end when the targets are met, or the miss can hardly be lessened any
+    more. A step reads the rows once and brings a few figures a domain to the driver.
     """
     k = len(targets)
     goal = np.array(targets, float) / sum(targets)
     total = rows.agg(F.sum("tokens")).first()[0] or 0.0
     if not total:
-        return F.lit(1.0)
+        return rows.withColumn("rate", F.lit(1.0))
     share = F.col("tokens") / F.lit(float(total))
     gram = rows.agg(*[F.sum(share * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]).first()
     m = np.array(gram, float).reshape(k, k)
     even = np.linalg.inv(m + 1e-6 * np.trace(m) * np.eye(k))
-    rate, before = F.lit(1.0), np.full(k, np.inf)
-    for _ in range(steps):
-        got = np.array(rows.agg(*[F.sum(share * F.col("p")[i] * rate) for i in range(k)]).first(), float)
-        if min(np.abs(got - goal).max(), np.abs(got - before).max()) < close:
-            break
-        before = got
-        rate = F.greatest(F.lit(0.0), rate - _dot("p", even @ (got - goal)))
-    return rate
+    at, steps, done, before = rows.withColumns({"rate": F.lit(1.0), "last": F.lit(1.0)}), [], 0, np.inf
+    while True:
+        now = at.withColumn("__s", _stepped(steps))
+        sums = now.agg(*[F.sum(share * F.col("p")[i] * F.col(f"__s.{c}")) for c in ("rate", "last") for i in range(k)]).first()
+        rate, last = np.array(sums, float).reshape(2, k)
+        miss = rate - goal
+        enough = np.abs(miss).max() < close
+        if done % TOGETHER == 0 and done and not enough:
+            size = float(miss @ even @ miss)
+            enough, before = before - size < GAIN * size, size
+            at, steps = written(now.withColumns({"rate": F.col("__s.rate"), "last": F.col("__s.last")}).drop("__s"), "rates"), []
+        if enough:
+            return at.withColumn("__s", _stepped(steps)).withColumn("rate", F.col("__s.rate")).drop("__s", "last")
+        momentum = max(0.0, (done - 1) / (done + 2))
+        steps.append((momentum, even @ (miss + momentum * (rate - last))))
+        done += 1
 
 
 def mix(
@@ -141,7 +164,8 @@ def mix(
     rate is how often a document is to be drawn for the domains' expected tokens to
     stand as the targets do, with as many tokens in all as now; copies is the rate
     rounded up or down by the hash of the id, right on average. Targets that no rates
-    meet are met as nearly as least squares can. known has the texts of the labels where
+    meet are met as nearly as least squares can. Repeated rows count as often as they
+    stand there. known has the texts of the labels where
     docs no longer has all of them. Null and empty texts have no tokens;
     labels of other domains, null ids and nulls in labels aren't learned from.
     """
@@ -149,10 +173,10 @@ def mix(
     if not names or len(names) > MAX_DOMAINS or min(targets.values()) < 0 or not sum(targets.values()):
         raise ValueError(f"targets: 1 to {MAX_DOMAINS} domains, no negative weights, not all zero")
     rows = posteriors(docs, labels, names, domain_col, id_col, text_col, known)
-    rate = fit_rates(rows, [targets[n] for n in names])
+    rows = fit_rates(rows, [targets[n] for n in names])
     chance = F.pmod(F.xxhash64(F.lit("copies"), "id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
-    out = rows.select("id", F.col("tokens").cast("long").alias("tokens"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)], rate.alias("rate"))
+    out = rows.select("id", F.col("tokens").cast("long").alias("tokens"), *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(names)], "rate")
     return out.select("*", copies).withColumnRenamed("id", id_col)
 
 

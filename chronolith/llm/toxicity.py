@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted in order. Each one's linear model sees the text's evidence for
-the category (the share of words whose beginning speaks for it, times how strongly) and
-the probabilities of the earlier categories, which in training come from models, and
-evidence, that didn't see the row.
+the category (the share of words that speak for it, by themselves or by how they begin,
+times how strongly) and the probabilities of the earlier categories. In training both
+come from counts and models that didn't see the row.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_each, written
+from ..operators.store import written
+from .common import first_of_each
 
 #: Columns of labels, with the value that means the category, in the order of the chain.
 CATEGORIES = (("quality", 0), ("toxic", 1))
-#: Lengths of word beginnings; a word counts once for each.
-BEGINNINGS = (5, 7)
-#: Most labelled rows of one combination of labels that are learned from, and combinations.
-PER_CLASS, CLASSES = 2500, 16
-#: Rows that a beginning's prior counts for; the least log odds that are evidence; most beginnings kept.
-PRIOR, LEAST, MAX_BEGINNINGS = 20.0, 1.0, 100_000
+#: A word counts whole (0), and by its beginnings of these lengths, as inflected words share them.
+BEGINNINGS = (5, 7, 0)
+#: Most labelled rows of one combination of labels that are learned from.
+PER_CLASS = 2500
+#: Rows that a word's prior counts for; the least log odds, and labelled rows, that are evidence.
+PRIOR, LEAST, ROWS = 20.0, 1.0, 2
 FOLDS, RIDGE = 3, 1e-3
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def beginnings(text: str | None) -> tuple[Counter, int]:
     """Counts of the beginnings of text's words, marked with their length, and the number of words."""
     words = _WORD.findall((text or "").lower())
-    return Counter(f"{n}{w[:n]}" for n in BEGINNINGS for w in words), len(words)
+    return Counter(f"{n}{w[:n] if n else w}" for n in BEGINNINGS for w in words), len(words)
 
 
 def evidence(text: str | None, odds: dict[str, np.ndarray], width: int) -> np.ndarray:
@@ -46,7 +47,7 @@ def evidence(text: str | None, odds: dict[str, np.ndarray], width: int) -> np.nd
     out = np.zeros((len(BEGINNINGS), width))
     words = _WORD.findall((text or "").lower())
     for i, n in enumerate(BEGINNINGS):
-        for w, c in Counter([x[:n] for x in words]).items():
+        for w, c in Counter([x[:n] for x in words] if n else words).items():
             row = odds.get(f"{n}{w}")
             if row is not None:
                 out[i] += c * row
@@ -88,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     Rows are taken by hash of id; weights restore the combinations' shares.
     """
     labelled = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(c) for c in columns]).filter(F.col("id").isNotNull()).dropDuplicates(["id"])
-    sizes = labelled.groupBy(*columns).agg(F.count("*").alias("all")).orderBy(F.desc("all"), *columns).limit(CLASSES)
+    sizes = labelled.groupBy(*columns).agg(F.count("*").alias("all"))
     taken = first_of_each(labelled, columns, PER_CLASS)
     same = reduce(lambda a, b: a & b, [taken[c].eqNullSafe(sizes[c]) for c in columns])
     weight = (F.col("all") / F.least(F.col("all"), F.lit(PER_CLASS))).alias("weight")
@@ -126,9 +127,9 @@ def _log_odds(rows: DataFrame, categories: Sequence[tuple[str, int]]) -> dict[st
     for j, name in enumerate(dict.fromkeys(s.rsplit("_", 1)[0] for s in by.columns[1:])):
         a, b = (F.log((F.coalesce(f"{name}_{y}", F.lit(0.0)) + PRIOR * float(share[j, y]) + 1e-9) / (float(total[j, y]) + PRIOR)) for y in (1, 0))
         odds.append(F.when(a - b > LEAST, a - b).otherwise(0.0).alias(f"o{j}"))
-    kept = by.select("b", *odds).withColumn("most", F.greatest(*[f"o{j}" for j in range(len(odds))]) if len(odds) > 1 else F.col("o0"))
-    got = kept.filter("most > 0").orderBy(F.desc("most"), "b").limit(MAX_BEGINNINGS).drop("most").collect()
-    return {r[0]: np.array(r[1:]) for r in got}
+    seen_by = F.greatest(*[F.coalesce(f"s{i}_0_0", F.lit(0.0)) + F.coalesce(f"s{i}_0_1", F.lit(0.0)) for i in range(len(categories))], F.lit(0.0))
+    kept = by.filter(seen_by >= ROWS).select("b", *odds).filter(" or ".join(f"o{j} > 0" for j in range(len(odds))))
+    return {r[0]: np.array(r[1:]) for r in kept.toLocalIterator()}  # words of the bounded sample
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories: Sequence[tuple[str, int]]) -> Chain:
@@ -150,16 +151,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ca
     fold, weight = np.array([r["fold"] for r in got]), np.array([r["weight"] for r in got])
     y = np.array([[np.nan if v is None else v for v in r["y"]] for r in got])
     x = np.array([r["x"] for r in got]).reshape(len(got), len(BEGINNINGS), len(categories), FOLDS + 1)
-    one, earlier, weights = np.ones((len(got), 1)), np.zeros((len(got), 0)), []
+    weights, x = [], x[np.arange(len(got)), :, :, fold + 1]  # evidence without the row's own fold
+    one, earlier = np.ones((len(got), 1)), np.zeros((len(got), 0))
     for i in range(len(categories)):
-        inputs = lambda v, i=i, p=earlier: np.hstack([x[:, :, i, v], p, one])
-        known = ~np.isnan(y[:, i])
-        weights.append(_logistic(inputs(0)[known], y[known, i], weight[known]))
+        inputs, known = np.hstack([x[:, :, i], earlier, one]), ~np.isnan(y[:, i])
+        weights.append(_logistic(inputs[known], y[known, i], weight[known]))
         out = np.zeros(len(got))
         for f in range(FOLDS):
             rest = known & (fold != f)
-            w = _logistic(inputs(f + 1)[rest], y[rest, i], weight[rest])
-            out[fold == f] = _sigmoid(inputs(f + 1)[fold == f] @ w)
+            out[fold == f] = _sigmoid(inputs[fold == f] @ _logistic(inputs[rest], y[rest, i], weight[rest]))
         earlier = np.hstack([earlier, out[:, None]])
     return Chain({b: o.reshape(len(categories), FOLDS + 1)[:, 0].copy() for b, o in odds.items()}, weights)
 
@@ -197,7 +197,12 @@ def toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text is toxic; columns as before, nothing joined or shuffled."""
+    """docs without the rows whose text is toxic; columns as before, nothing joined or shuffled.
+
+    Each row counts by itself, as in toxicity: null and empty texts as texts without
+    words, very long ones whole, repeated rows and null ids like any other. Without
+    labels nothing goes; an empty table stays empty.
+    """
     chain = fit_chain(docs, labels, id_col, text_col, CATEGORIES)
     p = chain_probabilities(chain, docs, F.col(text_col), len(CATEGORIES))
     return docs.filter(p[len(CATEGORIES) - 1] < THRESHOLD)

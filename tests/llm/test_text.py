@@ -39,6 +39,21 @@ def test_presence_kernel_is_the_cosine():
     assert [m.langs[i] for i in m.scores(x).argmax(1)] == ["en", "de", "fr"]
 
 
+def test_ridge_equals_the_dense_kernel_form():
+    rng = np.random.default_rng(2)
+    langs = [("en", "de", "fr")[i % 3] for i in range(45)]
+    bits = (rng.random((45, language_id.DIM)) < [[0.02 + 0.02 * ((j // 900) % 3 == i % 3) for j in range(language_id.DIM)] for i in range(45)]).astype(np.uint8)
+    m = language_id.fit(bits, langs)  # all texts are landmarks: Nystroem is exact
+    x = bits / np.sqrt(bits.sum(1, keepdims=True))
+    kernel, y = x @ x.T, np.array([[float(a == b) for b in sorted(set(langs))] for a in langs])
+    value, vector = np.linalg.eigh(kernel)
+    z = vector[:, value > 1e-8 * value.max()] * np.sqrt(value[value > 1e-8 * value.max()])
+    want = z @ np.linalg.solve(z.T @ z + language_id.RIDGE * 45 * np.eye(z.shape[1]), z.T @ y)
+    dense = kernel @ np.linalg.solve(kernel + language_id.RIDGE * 45 * np.eye(45), y)
+    got = m.scores(bits.astype(np.float32))
+    assert np.abs(want - dense).max() < 1e-6 and np.abs(got - dense).max() < 1e-3
+
+
 def test_license_variants(make):
     mit = dict(license_scan.KNOWN[:1])["MIT"]
     rows = [
@@ -52,6 +67,15 @@ def test_license_variants(make):
     assert got[3] == (None, "CC-BY-NC-4.0,MIT", 2) and got[4] == (None, "", 0)
 
 
+def test_spellings_side_by_side_and_licences_from_a_folder(spark, make, tmp_path):
+    (tmp_path / "Made-1.0.txt").write_text("The Licence of nobody.\nAll may copy under this licence, licence holders or not.")
+    (tmp_path / "Plain.txt").write_text("Do what you like.")
+    known = license_scan.license_texts(spark, str(tmp_path))
+    rows = [(1, "the license of nobody: all may copy under this license; license holders or not", "en", "a"), (2, "do what you like", "en", "a"), (3, "else", "en", "a"), (3, "else", "en", "a"), (None, None, None, None)]
+    got = sorted((r["doc_id"] or 0, r["text_license"]) for r in license_scan.license_scan(make(rows), known).collect())
+    assert got == [(0, None), (1, "Made-1.0"), (2, "Plain"), (3, None), (3, None)]
+
+
 def test_known_texts_however_their_lines_are_broken(make):
     long = [(name, t) for name, t in license_scan.KNOWN if len(t) > 200]
     notice = "Copyright (c) 2020 A. Person\nCopyright B. Person\nCopyright holders: C. Person\nAll rights reserved.\n"
@@ -150,6 +174,60 @@ def test_toxicity_on_rows_that_it_did_not_see(spark):
     assert right >= 0.93
 
 
+def plain_logistic(x, y, weight):
+    w = np.zeros(x.shape[1])
+    for _ in range(60_000):
+        g = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + toxicity.RIDGE * w
+        w -= g / (0.25 * (weight[:, None] * x * x).sum())
+    return w
+
+
+def test_the_chain_equals_a_plain_one(spark, make):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(160):
+        low, bad = rng.random() < 0.4, rng.random() < 0.35
+        words = [f"plain{rng.randrange(6)}" for _ in range(6)] + ["shoddyish"] * (low and rng.random() < 0.9) + ["vileness"] * (bad and rng.random() < 0.9)
+        rows.append((i, " ".join(words), "en", "a"))
+        marks.append((i, int(not low), int(bad)))
+    docs, labels = make(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    seen = toxicity.training_rows(docs, labels, "doc_id", "text", ["quality", "toxic"]).orderBy("id").collect()
+    fold = np.array([r["fold"] for r in seen])
+    y = np.array([[r["quality"] == 0, r["toxic"] == 1] for r in seen], float)
+    found = [set(toxicity.beginnings(r["text"])[0]) for r in seen]
+
+    def odds(take, i):
+        pos, neg = (y[take, i] == 1).sum(), (y[take, i] == 0).sum()
+        out = {}
+        for b in set().union(*found):
+            if sum(b in f for f in found) >= toxicity.ROWS:
+                c = [sum(b in found[j] and y[j, i] == v for j in np.flatnonzero(take)) for v in (0, 1)]
+                share = [neg / (pos + neg), pos / (pos + neg)]
+                d = [np.log((c[v] + toxicity.PRIOR * share[v] + 1e-9) / ((neg, pos)[v] + toxicity.PRIOR)) for v in (0, 1)]
+                out[b] = np.array([d[1] - d[0] if d[1] - d[0] > toxicity.LEAST else 0.0])
+        return out
+
+    evidence = lambda text, o: toxicity.evidence(text, o, 1)
+    earlier, test, want = np.zeros((160, 0)), [[] for _ in seen], []
+    for i in range(2):
+        own = np.array([evidence(r["text"], o) for o in [{}] for r in seen]) * 0
+        for f in range(toxicity.FOLDS):
+            o = odds(fold != f, i)
+            own[fold == f] = [evidence(r["text"], o) for r in np.array(seen, dtype=object)[fold == f][:, 1:2].ravel().tolist() for r in [{"text": r}]]
+        x = np.hstack([own, earlier, np.ones((160, 1))])
+        w = plain_logistic(x, y[:, i], np.ones(160))
+        o = odds(np.ones(160, bool), i)
+        for j, r in enumerate(seen):
+            test[j].append(1 / (1 + np.exp(-np.r_[evidence(r["text"], o), test[j], 1.0] @ w)))
+        out = np.zeros(160)
+        for f in range(toxicity.FOLDS):
+            out[fold == f] = 1 / (1 + np.exp(-x[fold == f] @ plain_logistic(x[fold != f], y[fold != f, i], np.ones((fold != f).sum()))))
+        earlier = np.hstack([earlier, out[:, None]])
+    got = toxicity.toxicity(docs, labels).orderBy("doc_id").collect()
+    diff = [abs(got[j]["p_quality"] - test[j][0]) + abs(got[j]["p_toxic"] - test[j][1]) for j in range(160)]
+    assert max(diff) < 0.02 and 20 < sum(r["toxic"] for r in got) < 90
+
+
 def edit_distance(a, b):
     """Least edits from a to any part of b."""
     last = [0] * (len(b) + 1)
@@ -186,14 +264,35 @@ def test_long_documents_and_long_items(make, spark):
     assert [tuple(r) for r in decontaminate.contamination(make(rows), bench).collect()] == [(1, 9, 0)]
 
 
-def test_mixture_meets_its_targets(spark):
-    rows = [(i, float(5 + i % 40), [0.8, 0.2] if i % 3 else [0.1, 0.9]) for i in range(600)]
-    df = spark.createDataFrame(rows, "id long, tokens double, p array<double>")
-    rate = mixing.fit_rates(df, [0.3, 0.7])
-    r = df.select("tokens", "p", rate.alias("rate")).agg(F.sum(F.expr("tokens * p[0] * rate")).alias("a"), F.sum("tokens").alias("n"), F.min("rate").alias("low")).first()
-    assert abs(r["a"] / r["n"] - 0.3) < 1e-4 and r["low"] >= 0
-    out = df.select("tokens", "p", mixing.fit_rates(df, [1.0, 0.0]).alias("rate")).agg(F.min("rate")).first()[0]
-    assert out == 0  # more than the rates can do: the other domain's documents are left out
+def plain_rates(tokens, p, goal):
+    """Least squares over r >= 0 by very many small steps."""
+    a = (tokens / tokens.sum())[:, None] * p
+    r = np.ones(len(p))
+    for _ in range(20_000):
+        r = np.maximum(0, r - 0.2 * p @ np.linalg.solve(a.T @ p, a.T @ r - goal))
+    return a.T @ r, a.T @ p
+
+
+@pytest.mark.parametrize("goal", [[0.3, 0.5, 0.2], [0.05, 0.9, 0.05], [1.0, 0.0, 0.0]])
+def test_rates_equal_brute_force_least_squares(spark, goal):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([0.6, 0.5, 0.4], 80)
+    tokens = rng.integers(5, 60, 80).astype(float)
+    df = spark.createDataFrame([(i, float(tokens[i]), [float(v) for v in p[i]]) for i in range(80)], "id long, tokens double, p array<double>")
+    got = mixing.fit_rates(df, goal).orderBy("id").collect()
+    r = np.array([x["rate"] for x in got])
+    sums = (tokens / tokens.sum() * r) @ p
+    best, gram = plain_rates(tokens, p, np.array(goal))
+    size = lambda s: (s - goal) @ np.linalg.solve(gram, s - goal)
+    assert r.min() >= 0 and size(sums) <= 1.05 * size(best) + 1e-6
+    assert goal[0] == 1.0 or np.abs(sums - goal).max() < 1e-4
+
+
+def test_words_that_speak_for_a_domain(spark):
+    rows = [(d, [10 + d, 20, 30 + i % 2]) for d in range(3) for i in range(40)]
+    t = spark.createDataFrame(rows, "label int, words array<long>")
+    got = {r["word"]: tuple(r)[1:] for r in mixing._speaking(t, 3).collect()}
+    assert got == {10: (1, 0, 0), 11: (0, 1, 0), 12: (0, 0, 1)}
 
 
 def test_mixing_query(spark):
