@@ -30,7 +30,7 @@ _SYMBOLS = "[&%$#*|!]"
 
 
 def _features(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with tokens, words (hashes of the different ones) and plain (a few figures of the text)."""
+    """docs with tokens, words (hashes of the different ones), how many those are, and plain (a few figures of the text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     all_words = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1)
     with_words = docs.withColumn("__w", all_words).withColumn("tokens", F.size("__w").cast("double")).withColumn("words", F.transform(F.array_distinct("__w"), lambda w: F.xxhash64(w)))
@@ -41,7 +41,7 @@ def _features(docs: DataFrame, text_col: str) -> DataFrame:
         F.regexp_count(text, F.lit(_SYMBOLS)) / length,
         length / (F.col("tokens") + 1) / 100,
     ]
-    return with_words.withColumn("plain", F.array(*plain)).drop("__w")
+    return with_words.withColumns({"plain": F.array(*plain), "different": F.size("words")}).drop("__w")
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, names: Sequence[str]) -> DataFrame:
@@ -73,9 +73,9 @@ def _speaking(rows: DataFrame, domains: int) -> DataFrame:
 def _vector(rows: DataFrame, speaking: DataFrame, domains: int) -> DataFrame:
     """rows(row, words, plain, ...), a written table, with features: the plain figures, and the share of different words that speak for each domain."""
     hits = rows.select("row", F.explode("words").alias("word")).join(small(speaking), "word").groupBy("row").agg(*[F.sum(f"s{d}").alias(f"s{d}") for d in range(domains)])
-    share = [F.sqrt(F.coalesce(f"s{d}", F.lit(0)) / (F.size("words") + 5)).alias(f"f{4 + d}") for d in range(domains)]
-    kept = [c for c in rows.columns if c not in ("words", "plain")]
-    wide = rows.join(hits.hint("shuffle_hash"), "row", "left").select(*kept, *[F.col("plain")[i].alias(f"f{i}") for i in range(4)], *share)
+    share = [F.sqrt(F.coalesce(f"s{d}", F.lit(0)) / (F.col("different") + 5)).alias(f"f{4 + d}") for d in range(domains)]
+    kept = [c for c in rows.columns if c not in ("words", "plain", "different")]
+    wide = rows.drop("words").join(hits.hint("shuffle_hash"), "row", "left").select(*kept, *[F.col("plain")[i].alias(f"f{i}") for i in range(4)], *share)
     named = [f"f{i}" for i in range(4 + domains)]
     return VectorAssembler(inputCols=named, outputCol="features", handleInvalid="keep").transform(wide).drop(*named)
 
