@@ -286,7 +286,8 @@ def resolve_thresholds(df: DataFrame, value: str, percentiles: Sequence[float],
 
 def composite_scores(df: DataFrame, fraction: str, auc: str, latency: str, weights: tuple[float, float] = (3.0, 1.0), user: str | None = None) -> DataFrame:
     """data_score 0-5: mean of time fraction, area as a share of the largest, and earliness; blended 3:1 with a user's score."""
-    top = lambda c: F.max(c).over(W.partitionBy())
+    largest = df.agg(F.max(auc).cast("double").alias("a"), F.max(latency).cast("double").alias("l")).first()
+    top = lambda c: F.lit(largest["a" if c == auc else "l"]).cast("double")
     early = F.when(F.col(latency).isNull(), 0.0).otherwise(1 - ratio0(F.col(latency), top(latency)))
     score = F.round(5 * (F.col(fraction) + ratio0(F.col(auc), top(auc)) + early) / 3, 0)
     out = df.withColumn("data_score", score)

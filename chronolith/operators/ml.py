@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .joins import range_pairs
 from .store import written
-from .windows import lag_embedding
+from .windows import global_rank, lag_embedding, running_sums
 
 
-def normalize(df: DataFrame, columns: Sequence[str], mode: str) -> DataFrame:
-    """Columns by zscore (population deviation) or minmax over the whole table; a range of 0 counts as 1."""
+def normalize(df: DataFrame, columns: Sequence[str], mode: str, fit: DataFrame | None = None) -> DataFrame:
+    """Columns by zscore (population deviation) or minmax, as in the whole table or in fit (training rows); a range of 0 counts as 1."""
     if mode == "none":
         return df
     low, wide = (F.avg, F.stddev_pop) if mode == "zscore" else (F.min, lambda c: F.max(c) - F.min(c))
-    row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", low), ("b", wide))]).first()
-    return df.withColumns({c: (F.col(c) - F.lit(row[f"a{i}"])) / F.lit(row[f"b{i}"] or 1.0) for i, c in enumerate(columns)})
+    row = (df if fit is None else fit).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", low), ("b", wide))]).first()
+    return df.withColumns({c: (F.col(c) - F.lit(row[f"a{i}"] or 0.0)) / F.lit(row[f"b{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
 def preprocessor(trace: Sequence[str], scalars: Sequence[str], components: int) -> Pipeline:
@@ -248,9 +248,13 @@ def leaking_subjects(df: DataFrame, subject: str = "subject", split: str = "spli
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], shares: tuple[float, float] = (0.70, 0.85), seed: int = 67) -> DataFrame:
     """df with `split` train, validation or test in exact shares of each label, in the order of a hash."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
-    w = W.partitionBy(label)
-    at = (F.row_number().over(w.orderBy(order)) - 1) / F.count("*").over(w)
-    return df.withColumn("split", F.when(at < shares[0], "train").when(at < shares[1], "validation").otherwise("test"))
+    ranked = global_rank(df.withColumns({"__label": F.col(label), "__order": order}), ["__label", "__order"], "__rank")
+    sizes = df.groupBy(F.col(label).alias("__of")).agg(F.count("*").alias("__all"))  # a row a label
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__all").over(W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = ranked.join(F.broadcast(before), F.col("__label").eqNullSafe(F.col("__of")))
+    at = (F.col("__rank") - 1 - F.col("__before")) / F.col("__all")
+    split = F.when(at < shares[0], "train").when(at < shares[1], "validation").otherwise("test")
+    return placed.withColumn("split", split).drop("__label", "__order", "__rank", "__of", "__all", "__before")
 
 
 def group_folds(df: DataFrame, folds: int, group: str = "subject") -> DataFrame:
@@ -265,16 +269,14 @@ def group_folds(df: DataFrame, folds: int, group: str = "subject") -> DataFrame:
 def average_precision(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row `ap`: step-wise average precision; rows meet by score first."""
     s = scored.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    t = s.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("all"))
-    return t.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos").cast("double")).alias("ap"))
+    t = running_sums(s, score, ["pos", "n"], descending=True)
+    return t.agg(F.try_divide(F.sum(F.col("pos") * F.col("pos_sum") / F.col("n_sum")), F.sum("pos").cast("double")).alias("ap"))
 
 
 def auroc(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row `auroc` by ranks, ties counted half; rows meet by score first."""
     s = scored.groupBy(score).agg(F.sum(label).alias("pos"), (F.count("*") - F.sum(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = s.select("pos", "neg", below.alias("below"))
+    t = running_sums(s, score, ["neg"]).withColumn("below", F.col("neg_sum") - F.col("neg"))
     return t.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg").cast("double")).alias("auroc"))
 
 

@@ -250,12 +250,24 @@ def cox_binary(events: DataFrame, strata: Sequence[str] = ("subject",), by: Sequ
     return out.select(*by, "beta", F.exp(b).alias("hr"), F.exp(b - 1.96 * se).alias("ci_low"), F.exp(b + 1.96 * se).alias("ci_high"), (2 * normal_sf(F.abs(b / se))).alias("p"))
 
 
-def survival_sweep(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[float], targets: Sequence[int] = (2, 4, 5)) -> DataFrame:
-    """(threshold, chi2, p, median_a, median_b) over several thresholds at once."""
+def latencies_at(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[float], targets: Sequence[int] = (2, 4, 5)) -> DataFrame:
+    """(threshold, keys, latency, event, grp) of every trial at several thresholds at once."""
     x = frames.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     hit = F.min(F.when(F.col("value") >= F.col("threshold"), F.col("frame")))
     lat = x.groupBy("threshold", *keys).agg(hit.alias("hit"), F.max("frame").alias("last"))
-    lat = lat.select("threshold", *keys, F.coalesce("hit", "last").alias("latency"), F.coalesce(F.col("hit") < F.col("last"), F.lit(False)).alias("event"), F.when(F.col("trial").isin(*targets), "A").otherwise("B").alias("grp"))
+    return lat.select("threshold", *keys, F.coalesce("hit", "last").alias("latency"), F.coalesce(F.col("hit") < F.col("last"), F.lit(False)).alias("event"), F.when(F.col("trial").isin(*targets), "A").otherwise("B").alias("grp"))
+
+
+def hazard_sweep(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[float], strata: Sequence[str] = ("subject",)) -> DataFrame:
+    """(threshold, beta, hr, ci_low, ci_high, p, best): the stratified Cox model at each threshold; best has the smallest p."""
+    fits = cox_binary(latencies_at(frames, keys, thresholds), strata, by=["threshold"])
+    first = F.row_number().over(W.orderBy(F.col("p").asc_nulls_last(), "threshold"))  # a row a threshold
+    return fits.withColumn("best", first == 1)
+
+
+def survival_sweep(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[float], targets: Sequence[int] = (2, 4, 5)) -> DataFrame:
+    """(threshold, chi2, p, median_a, median_b) over several thresholds at once."""
+    lat = latencies_at(frames, keys, thresholds, targets)
     m = median_survival(kaplan_meier(lat, ["threshold", "grp"]), ["threshold", "grp"])
     wide = m.groupBy("threshold").agg(*[F.max(F.when(F.col("grp") == g, F.col("median"))).alias(f"median_{g.lower()}") for g in ("A", "B")])
     return log_rank(lat, ["threshold"]).select("threshold", "chi2", "p").join(wide, "threshold")

@@ -281,7 +281,7 @@ def _learnable(spark, sf):
     agg = A.aggregate_trials(X.frames(spark, sf), X.KEYS, ["value"], ["mean", "std", "min", "max"]).na.fill(0.0)
     rows = agg.join(X.predictions(spark, sf).select(*X.KEYS, "label", "weight", "split", "intensity"), X.KEYS)
     cols = ["value_mean", "value_std", "value_min", "value_max", "frame_count"]
-    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(M.normalize(rows, cols, "zscore"))
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(M.normalize(rows, cols, "zscore", rows.filter("split = 'train'")))
     return M.written(rows.select(*X.KEYS, F.col("label").cast("double").alias("label"), "weight", "split", "intensity", "features", *cols), "learnable")
 
 

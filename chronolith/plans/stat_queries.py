@@ -168,6 +168,11 @@ def h11_survival_sweep(spark, sf):
     return H.survival_sweep(X.frames(spark, sf), X.KEYS, [50, 75, 100])
 
 
+@query()
+def h11_hazard_ratios(spark, sf):
+    return H.hazard_sweep(X.frames(spark, sf), X.KEYS, [50, 75, 100])
+
+
 @query()
 def h12_mixed_spline(spark, sf):
     return H.mixed_spline(_grouped(spark, sf), 12)
