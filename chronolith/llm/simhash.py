@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from ..operators.store import written
+from .common import join_counted, small
 from ..operators.components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -253,12 +254,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Ids are integers.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    classes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")
     roots = connected_components(near_links(classes.select("fp"), bits, parts))
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = member.join(least, "root").select("fp", "component_id")
-    return rows.join(component, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows"))
+    component = written(join_counted(member, least, "root", "rows").select("fp", "n", "component_id"), "components")
+    return join_counted(rows, component, "fp", "n").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
