@@ -33,6 +33,9 @@ PER_CLASS = 2500
 PRIOR, LEAST, ROWS = 20.0, 1.0, 2
 FOLDS, RIDGE = 3, 1e-3
 THRESHOLD = 0.5
+#: Words whose evidence a task remembers.
+KEPT = 1 << 17
+_MARKS = tuple((str(n), n or None) for n in BEGINNINGS)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,15 +45,24 @@ def beginnings(text: str | None) -> tuple[Counter, int]:
     return Counter(f"{n}{w[:n] if n else w}" for n in BEGINNINGS for w in words), len(words)
 
 
-def evidence(text: str | None, odds: dict[str, np.ndarray], width: int) -> np.ndarray:
-    """Root of the share of words times their log odds: a value for each length and column of odds."""
+def evidence(text: str | None, odds: dict[str, np.ndarray], width: int, kept: dict[str, np.ndarray | None] | None = None) -> np.ndarray:
+    """Root of the share of words times their log odds: a value for each length and column of odds.
+
+    `kept` remembers what a word adds, None where nothing; it forgets all at KEPT words.
+    """
     out = np.zeros((len(BEGINNINGS), width))
+    kept = {} if kept is None else kept
     words = _WORD.findall((text or "").lower())
-    for i, n in enumerate(BEGINNINGS):
-        for w, c in Counter([x[:n] for x in words] if n else words).items():
-            row = odds.get(f"{n}{w}")
-            if row is not None:
-                out[i] += c * row
+    for w, c in Counter(words).items():
+        row = kept.get(w, odds)  # odds stands for a word not seen yet
+        if row is odds:
+            rows = [odds.get(mark + w[:n]) for mark, n in _MARKS]
+            row = np.array([np.zeros(width) if r is None else r for r in rows]) if any(r is not None for r in rows) else None
+            if len(kept) >= KEPT:
+                kept.clear()
+            kept[w] = row
+        if row is not None:
+            out += c * row
     return np.sqrt(out / (len(words) + 5)).ravel()
 
 
@@ -59,9 +71,9 @@ class Chain:
     odds: dict[str, np.ndarray]  # beginning -> log odds for each category
     weights: list[np.ndarray]  # of a category: its evidence, earlier probabilities, constant
 
-    def probabilities(self, text: str | None) -> list[float]:
+    def probabilities(self, text: str | None, kept: dict[str, np.ndarray | None] | None = None) -> list[float]:
         width, p = len(self.weights), []
-        x = evidence(text, self.odds, width).reshape(len(BEGINNINGS), width) if width else None
+        x = evidence(text, self.odds, width, kept).reshape(len(BEGINNINGS), width) if width else None
         for i, w in enumerate(self.weights):
             p.append(float(_sigmoid(np.r_[x[:, i], p, 1.0] @ w)))
         return p
@@ -143,7 +155,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ca
 
     @F.pandas_udf("array<double>")
     def seen(text: pd.Series) -> pd.Series:
-        return pd.Series([evidence(t, shared.value, width) for t in text])
+        kept: dict[str, np.ndarray | None] = {}
+        return pd.Series([evidence(t, shared.value, width, kept) for t in text])
 
     marks = [F.when(F.col(c) == v, F.lit(1.0)).when(F.col(c).isNotNull(), F.lit(0.0)) for c, v in categories]
     got = rows.select("id", "fold", "weight", F.array(*marks).alias("y"), seen("text").alias("x")).collect()
@@ -169,8 +182,10 @@ def chain_probabilities(chain: Chain, docs: DataFrame, text: Column, categories:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf("array<double>")
-    def predict(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.probabilities(t) or [0.0] * categories for t in texts])
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept: dict[str, np.ndarray | None] = {}
+        for texts in parts:
+            yield pd.Series([shared.value.probabilities(t, kept) or [0.0] * categories for t in texts])
 
     return predict(text.cast("string"))
 
