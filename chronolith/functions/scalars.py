@@ -94,10 +94,34 @@ def class_score(index: Column) -> Column:
     return index - 1
 
 
+# Names under which a code map holds another one, a list of texts, and the codes of such a list.
+NESTED = ("index_to_value", "index_to_label", "codes_to_values", "map", "mapping", "lookup")
+LISTED, PAIRED = ("values", "labels"), ("keys", "codes", "indices")
+
+
+def code_map(codes: Column) -> Column:
+    """A JSON text as a map of code to text.
+
+    A map, one nested under a known name, a list (codes are places from 0), or lists of
+    texts and of their codes, which count from 0 where their numbers differ.
+    """
+    flat = "map<string,string>"
+    m = F.from_json(codes, flat)
+    of = lambda names, kind: F.coalesce(*[F.from_json(F.try_element_at(m, F.lit(n)), kind) for n in names])
+    places = lambda a: F.when(F.size(a) > 0, F.transform(a, lambda _, i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
+    plain, texts, keys = F.from_json(codes, "array<string>"), of(LISTED, "array<string>"), of(PAIRED, "array<string>")
+    paired = F.when(F.size(keys) == F.size(texts), F.map_from_arrays(keys, texts)).otherwise(F.map_from_arrays(places(texts), texts))
+    listed = F.when(F.startswith(F.ltrim(codes), F.lit("[")), F.map_from_arrays(places(plain), plain))
+    return F.coalesce(listed, of(NESTED, flat), F.when(texts.isNotNull(), paired), m)
+
+
 def decode(c: Column, codes: Column) -> Column:
-    """Codes through a JSON map of code to text; codes it lacks stay as they are."""
-    m = F.from_json(codes, "map<string,string>")
-    return F.coalesce(F.try_element_at(m, c.cast("string")), c.cast("string"))
+    """Codes through a JSON code map, then through its inverse; codes that both lack stay as they are."""
+    m, text = code_map(codes), c.cast("string")
+    whole = c.try_cast("double")
+    number = F.when(whole == F.floor(whole), whole.cast("bigint").cast("string"))
+    back = F.try_element_at(F.filter(F.map_entries(m), lambda e: e["value"] == text), F.lit(-1))["key"]
+    return F.coalesce(F.try_element_at(m, text), F.try_element_at(m, number), back, text)
 
 
 def invert_map(m: Column) -> Column:

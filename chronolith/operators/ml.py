@@ -127,8 +127,47 @@ def mixture_grid(df: DataFrame, ks: Sequence[int], seed: int = 67, features: str
     return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double, aic double")
 
 
-def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int = 15) -> tuple[DataFrame, float]:
-    """(df with cluster, log likelihood) of a diagonal mixture by EM; a round is one aggregation of k rows."""
+def gaussian_likelihood(df: DataFrame, features: str, dim: int) -> float:
+    """Log likelihood of one Gaussian with the rows' own mean and covariance."""
+    v = vector_to_array(F.col(features))
+    x = df.select(*[v[i].alias(f"x{i}") for i in range(dim)])
+    row = x.agg(F.count("*"), *[F.covar_pop(f"x{i}", f"x{j}") for i in range(dim) for j in range(dim)]).first()
+    if not row[0]:
+        return 0.0
+    spread = np.array(row[1:], float).reshape(dim, dim) + 1e-12 * np.eye(dim)
+    return float(-row[0] / 2 * (dim * math.log(2 * math.pi) + np.linalg.slogdet(spread)[1] + dim))
+
+
+def best_mixture(df: DataFrame, ks: Sequence[int], kinds: Sequence[str] = ("full", "diag"), seed: int = 67, features: str = "features", dim: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(df with `cluster`, table of the candidates) by the mixture of the least BIC.
+
+    Ties go to the higher silhouette; one cluster is chosen only where no candidate has two.
+    """
+    n, tried = df.count(), []
+    for kind in kinds:
+        for k in ks:
+            if k == 1 and kind == "full":
+                out, ll, free = df.withColumn("cluster", F.lit(0)), gaussian_likelihood(df, features, dim), dim + dim * (dim + 1) / 2
+            elif kind == "full":
+                model = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="cluster", probabilityCol="__p").fit(df)
+                out, ll, free = model.transform(df).drop("__p"), model.summary.logLikelihood, k * (dim + dim * (dim + 1) / 2) + k - 1
+            else:
+                names = [f"__v{i}" for i in range(dim)]
+                wide = df.withColumn("__v", vector_to_array(features)).withColumns({c: F.col("__v")[i] for i, c in enumerate(names)})
+                out, ll = diagonal_mixture(wide, names, k)
+                out, free = out.drop("__v", *names), 2 * dim * k + k - 1
+            tried.append((kind, k, ll, free * math.log(max(n, 1)) - 2 * ll, silhouette(out, features), out))
+    order = sorted(range(len(tried)), key=lambda i: (tried[i][3], -math.inf if tried[i][4] is None else -tried[i][4]))
+    best = next((i for i in order if tried[i][4] is not None), order[0])
+    table = df.sparkSession.createDataFrame([(*t[:5], i == best) for i, t in enumerate(tried)], "kind string, k int, log_likelihood double, bic double, silhouette double, best boolean")
+    return tried[best][5], table
+
+
+def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int = 200) -> tuple[DataFrame, float]:
+    """(df with cluster, log likelihood) of a diagonal mixture by EM, until the likelihood rests; a round is one aggregation.
+
+    `rounds` without rest is an error.
+    """
     rows = written(df, "mixture")
     stats = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
     m = np.array([[stats[f"m{i}"] + (j - (k - 1) / 2) * math.sqrt(stats[f"v{i}"] or 1.0) for i in range(len(columns))] for j in range(k)])
@@ -151,7 +190,7 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
         for j, r in enumerate(resp):
             sums += [F.sum(r).alias(f"r{j}")] + [F.sum(r * F.col(c) ** p).alias(f"s{j}_{i}_{p}") for i, c in enumerate(columns) for p in (1, 2)]
         s = scored.agg(*sums).first()
-        if not s["n"] or s["ll"] - ll < 1e-6 * abs(s["ll"]):
+        if not s["n"] or s["ll"] - ll < 1e-5 * abs(s["ll"]):
             break
         ll = s["ll"]
         for j in range(k):
@@ -160,6 +199,8 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
             for i in range(len(columns)):
                 m[j, i] = s[f"s{j}_{i}_1"] / r
                 v[j, i] = max(s[f"s{j}_{i}_2"] / r - m[j, i] ** 2, 1e-6)
+    else:
+        raise RuntimeError(f"the mixture still moves after {rounds} rounds")
     parts = F.array(*log_parts())
     return rows.withColumn("cluster", (F.array_position(parts, F.array_max(parts)) - 1).cast("int")), ll
 

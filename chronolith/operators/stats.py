@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import written
 from .windows import benjamini_hochberg, kaplan_meier, median_survival, runs
 
 # Coefficients of Lanczos's approximation (g = 7) and of the normal tail's polynomial.
@@ -224,30 +225,37 @@ def log_rank(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return s.withColumn("p", 2 * normal_sf(F.sqrt("chi2")))
 
 
-def cox_binary(events: DataFrame, strata: Sequence[str] = ("subject",), by: Sequence[str] = (), steps: int = 12) -> DataFrame:
-    """(by, beta, hr, ci_low, ci_high, p): stratified Cox model of group A, ties by Breslow.
+def cox_binary(events: DataFrame, strata: Sequence[str] = ("subject",), by: Sequence[str] = (), ties: str = "efron", steps: int = 100) -> DataFrame:
+    """(by, beta, hr, ci_low, ci_high, p): stratified Cox model of group A, ties by Efron or Breslow.
 
-    Rows meet as risk sets, then as counts of equal ones (n1, n0, d), over which Newton's
-    steps run as nested aggregates of a short array for each `by`.
+    Rows meet as risk sets. Efron's are one set for each of the tied events, without the
+    share of those before it. Newton's steps are aggregations of the sets, until none
+    moves; no convergence after `steps` is an error. beta stays within 20 where the
+    groups part entirely; without an event there is no row.
     """
-    r = _risk_sets(events, [*by, *strata])
-    same = r.groupBy(*by, "n1", (F.col("n") - F.col("n1")).alias("n0")).agg(F.sum("d").cast("double").alias("d"), F.sum("d1").cast("double").alias("d1"))
-    sets = same.groupBy(*by).agg(F.collect_list(F.struct(F.col("n1").cast("double").alias("n1"), F.col("n0").cast("double").alias("n0"), "d", "d1")).alias("sets"))
-
-    def sums(beta: Column) -> tuple[Column, Column]:
-        share = lambda x: x["n1"] * F.exp(beta) / (x["n1"] * F.exp(beta) + x["n0"])
-        score = F.aggregate("sets", F.lit(0.0), lambda a, x: a + x["d1"] - x["d"] * share(x))
-        info = F.aggregate("sets", F.lit(0.0), lambda a, x: a + x["d"] * share(x) * (1 - share(x)))
-        return score, info
-
-    out = sets.withColumn("beta", F.lit(0.0))
+    r = _risk_sets(events, [*by, *strata]).filter("d > 0")
+    if ties == "efron":
+        r = r.withColumn("gone", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1))).withColumn("gone", F.col("gone") / F.col("d"))
+        a, rest, d, d1 = F.col("n1") - F.col("gone") * F.col("d1"), F.col("n") - F.col("n1") - F.col("gone") * (F.col("d") - F.col("d1")), F.lit(1.0), F.col("d1") / F.col("d")
+    else:
+        a, rest, d, d1 = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double"), F.col("d").cast("double"), F.col("d1").cast("double")
+    key = [*by, "__all"]
+    sets = r.withColumn("__all", F.lit(0)).groupBy(*key, a.alias("a"), rest.alias("b")).agg(F.sum(d).alias("d"), F.sum(d1).alias("d1"))
+    sets = written(sets, "risk-sets")
+    fit = sets.select(*key).distinct().withColumn("beta", F.lit(0.0))
     for _ in range(steps):
-        score, info = sums(F.col("beta"))
-        step = F.coalesce(F.try_divide(score, info), F.lit(0.0))
-        out = out.withColumn("beta", F.least(F.lit(20.0), F.greatest(F.lit(-20.0), F.col("beta") + F.least(F.lit(2.0), F.greatest(F.lit(-2.0), step)))))
-    out = out.withColumn("se", F.try_divide(F.lit(1.0), F.sqrt(sums(F.col("beta"))[1])))
-    b, se = F.col("beta"), F.col("se")
-    return out.select(*by, "beta", F.exp(b).alias("hr"), F.exp(b - 1.96 * se).alias("ci_low"), F.exp(b + 1.96 * se).alias("ci_high"), (2 * normal_sf(F.abs(b / se))).alias("p"))
+        share = F.col("a") * F.exp("beta") / (F.col("a") * F.exp("beta") + F.col("b"))
+        sums = sets.join(fit, key).groupBy(*key, "beta").agg(F.sum(F.col("d1") - F.col("d") * share).alias("score"), F.sum(F.col("d") * share * (1 - share)).alias("info"))
+        step = F.coalesce(F.try_divide("score", "info"), F.lit(0.0))
+        new = F.least(F.lit(20.0), F.greatest(F.lit(-20.0), F.col("beta") + F.least(F.lit(2.0), F.greatest(F.lit(-2.0), step))))
+        moved = written(sums.select(*key, new.alias("beta"), F.abs(new - F.col("beta")).alias("moved"), F.try_divide(F.lit(1.0), F.sqrt("info")).alias("se")), "cox")
+        fit = moved.select(*key, "beta")
+        if (moved.agg(F.max("moved")).first()[0] or 0.0) < 1e-9:
+            break
+    else:
+        raise RuntimeError(f"the Cox model still moves after {steps} steps")
+    z, se = F.col("beta"), F.col("se")
+    return moved.select(*by, "beta", F.exp(z).alias("hr"), F.exp(z - 1.96 * se).alias("ci_low"), F.exp(z + 1.96 * se).alias("ci_high"), (2 * normal_sf(F.abs(z / se))).alias("p"))
 
 
 def latencies_at(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[float], targets: Sequence[int] = (2, 4, 5)) -> DataFrame:
@@ -273,19 +281,45 @@ def survival_sweep(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[
     return log_rank(lat, ["threshold"]).select("threshold", "chi2", "p").join(wide, "threshold")
 
 
-def mixed_spline(frames: DataFrame, length: int, subject: str = "subject", frame: str = "frame", value: str = "value") -> DataFrame:
-    """(frame, difference, se, low, high): A less B from a spline per group and an intercept per subject.
-
-    The basis is cubic Bernstein over [0, length). Subjects' cross products are summed in
-    Spark, by subject and then by the subjects' number of rows; only those few blocks,
-    of parameters squared, come to the driver, which profiles the variance ratio.
+def spline_basis(length: int, df: int) -> np.ndarray:
+    """Cubic B-splines at 0 .. length - 1, a row a time and df columns; inner knots at even quantiles, none for the constant."""
+    t = np.arange(length) / max(1, length - 1)
+    knots = np.r_[np.zeros(4), np.linspace(0, 1, df - 1)[1:-1], np.ones(4)]
+    last = np.searchsorted(knots, 1.0) - 1  # the interval that 1 itself belongs to
+    at = np.minimum(np.searchsorted(knots, t, "right") - 1, last)
+    b = (at[:, None] == np.arange(len(knots) - 1)).astype(float)
+    over = lambda x, w: np.divide(x, w, out=np.zeros_like(x), where=w > 0)
+    for k in (1, 2, 3):
+        i = np.arange(len(knots) - 1 - k)
+        up, down = t[:, None] - knots[i], knots[i + k + 1] - t[:, None]
+        b = over(up, np.broadcast_to(knots[i + k] - knots[i], up.shape)) * b[:, :-1] + over(down, np.broadcast_to(knots[i + k + 1] - knots[i + 1], up.shape)) * b[:, 1:]
+    return b[:, 1:]
+
+
+def chi2_sf(x: float, df: int) -> float:
+    """Upper tail of chi-squared of a whole number of degrees."""
+    h = x / 2
+    if df % 2:
+        return math.erfc(math.sqrt(h)) + math.exp(-h) * sum(h ** (k - 0.5) / math.gamma(k + 0.5) for k in range(1, (df + 1) // 2))
+    return math.exp(-h) * sum(h**k / math.factorial(k) for k in range(df // 2))
+
+
+def mixed_spline(frames: DataFrame, length: int, subject: str = "subject", frame: str = "frame", value: str = "value", knots: int = 5) -> DataFrame:
+    """(frame, difference, se, low, high, wald, wald_df, wald_p): A less B from a spline per group and an intercept per subject.
+
+    Time has `knots` cubic B-splines, 3 or more, beside a constant, over [0, length); the
+    Wald test is of their difference between the groups. Subjects' cross products are
+    summed in Spark, by subject and then by the subjects' number of rows; only those few
+    blocks, of parameters squared, come to the driver, which finds the variance ratio by
+    restricted likelihood.
     """
-    u = F.col(frame) / F.lit(float(max(1, length - 1)))
-    basis = [math.comb(3, k) * u**k * (1 - u) ** (3 - k) for k in range(4)]
+    basis = np.c_[np.ones(length), spline_basis(length, knots)]
+    half = basis.shape[1]
+    p = 2 * half
+    table = frames.sparkSession.createDataFrame([(t, *row) for t, row in enumerate(basis.tolist())], ", ".join([f"{frame} int", *(f"x{i} double" for i in range(half))]))
     a = (F.col("grp") == "A").cast("double")
-    cols = [*basis, *[b * a for b in basis]]
-    p = len(cols)
-    x = frames.filter(F.col(frame) < length).select(subject, F.col(value).alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)])
+    x = frames.select(subject, "grp", F.col(frame).cast("int").alias(frame), F.col(value).alias("y")).join(F.broadcast(table), frame)  # a row a frame
+    x = x.select(subject, "y", *[f"x{i}" for i in range(half)], *[(F.col(f"x{i}") * a).alias(f"x{half + i}") for i in range(half)])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     per = x.groupBy(subject).agg(
         F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("yy"),
@@ -297,31 +331,36 @@ def mixed_spline(frames: DataFrame, length: int, subject: str = "subject", frame
         *[F.sum(f"g{i}_{j}").alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"h{i}_{j}") for i, j in pairs],
     ).collect()
     full = lambda r, k: np.array([[r[f"{k}{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
+    blocks = [(r["n"], r["m"], r["yy"], r["ss"], full(r, "g"), full(r, "h"), np.array([r[f"xy{i}"] for i in range(p)]), np.array([r[f"sxy{i}"] for i in range(p)])) for r in rows]
 
     def fit(ratio: float) -> tuple[float, np.ndarray, np.ndarray, float]:
         xx, xy, yy, logs, total = 1e-9 * np.eye(p), np.zeros(p), 0.0, 0.0, 0
-        for r in rows:
-            c = ratio / (1 + r["n"] * ratio)
-            xx += full(r, "g") - c * full(r, "h")
-            xy += np.array([r[f"xy{i}"] - c * r[f"sxy{i}"] for i in range(p)])
-            yy += r["yy"] - c * r["ss"]
-            logs += r["m"] * math.log(1 + r["n"] * ratio)
-            total += r["m"] * r["n"]
+        for n, m, y2, s2, g, h, gy, hy in blocks:
+            c = ratio / (1 + n * ratio)
+            xx, xy, yy = xx + g - c * h, xy + gy - c * hy, yy + y2 - c * s2
+            logs += m * math.log(1 + n * ratio)
+            total += m * n
         beta = np.linalg.solve(xx, xy)
-        rss = max(1e-12, yy - beta @ xy)
-        return -0.5 * (total * math.log(rss / total) + logs), beta, xx, rss / max(1, total - p)
+        free = max(1, total - p)
+        var = max(1e-12, yy - beta @ xy) / free
+        return -0.5 * (free * math.log(var) + logs + np.linalg.slogdet(xx)[1]), beta, xx, var
 
+    fields = f"{frame} int, difference double, se double, low double, high double, wald double, wald_df int, wald_p double"
     if not rows:
-        return frames.sparkSession.createDataFrame([], f"{frame} int, difference double, se double, low double, high double")
-    _, beta, xx, var = max((fit(r) for r in np.r_[0, np.geomspace(1e-4, 10, 60)]), key=lambda z: z[0])
+        return frames.sparkSession.createDataFrame([], fields)
+    grid = np.r_[0, np.geomspace(1e-6, 1e3, 60)]
+    for _ in range(6):  # around the best one, ever closer
+        i = int(np.argmax([fit(r)[0] for r in grid]))
+        grid = np.linspace(grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)], 21)
+    _, beta, xx, var = max((fit(r) for r in grid), key=lambda z: z[0])
     cov = np.linalg.inv(xx) * var
+    shape = slice(half + 1, p)
+    wald = float(beta[shape] @ np.linalg.pinv(cov[shape, shape], hermitian=True) @ beta[shape])
     out = []
-    for t in range(length):
-        v = t / max(1, length - 1)
-        c = np.r_[np.zeros(4), [math.comb(3, k) * v**k * (1 - v) ** (3 - k) for k in range(4)]]
+    for t, c in enumerate(np.c_[np.zeros((length, half)), basis]):
         d, se = float(c @ beta), float(np.sqrt(max(0.0, c @ cov @ c)))
-        out.append((t, d, se, d - 1.96 * se, d + 1.96 * se))
-    return frames.sparkSession.createDataFrame(out, f"{frame} int, difference double, se double, low double, high double")
+        out.append((t, d, se, d - 1.96 * se, d + 1.96 * se, wald, knots, chi2_sf(wald, knots)))
+    return frames.sparkSession.createDataFrame(out, fields)
 
 
 def summarize_timewise(tests: DataFrame, name: str, alpha: float = 0.05, q: str = "q", effect: str = "effect", frame: str = "frame") -> DataFrame:

@@ -118,6 +118,16 @@ def f17_decode(spark, sf):
     return X.table(spark, sf, "labels").select("doc_id", S.decode(F.col("quality"), codes).alias("quality_name"), S.decode(F.col("toxic"), F.lit('{"7": "x"}')).alias("toxic_name"))
 
 
+@query("SELECT doc_id, CASE quality WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE CAST(quality AS VARCHAR) END AS quality_name, CASE toxic WHEN 0 THEN 'clean' ELSE 'toxic' END AS toxic_name, CAST(toxic AS VARCHAR) AS toxic_code FROM labels")
+def f17_code_maps(spark, sf):
+    """The layouts of code maps by turns, and texts through the inverse of one."""
+    layouts = ('{"index_to_value": {"0": "low", "1": "high"}}', '{"values": ["high", "low"], "keys": [1, 0]}', '{"labels": ["low", "high"]}', '["low", "high"]')
+    codes = F.element_at(F.array(*[F.lit(x) for x in layouts]), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = S.decode(F.col("toxic").cast("double"), F.lit('{"0": "clean", "1": "toxic"}'))
+    d = X.table(spark, sf, "labels").select("doc_id", S.decode(F.col("quality"), codes).alias("quality_name"), name.alias("toxic_name"))
+    return d.withColumn("toxic_code", S.decode(F.col("toxic_name"), F.lit('{"0": "clean", "1": "toxic"}')))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def f18_json(spark, sf):
     return X.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

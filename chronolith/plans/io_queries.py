@@ -95,6 +95,24 @@ def s09_matrix_metadata(spark, sf):
     return S.matrix_with_metadata(matrix, meta).select("row", "animal", "label", "first")
 
 
+@query("SELECT CAST(vec_id % 3 AS INTEGER) AS layout, vec_id AS row_id, 's' || vec_id AS animal, label FROM embeddings")
+def s09_metadata_layouts(spark, sf):
+    """Metadata by row index, by column order, and as lists under rows."""
+    e = X.table(spark, sf, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("layout"), F.expr("vec_id div 90").alias("part"), F.col("vec_id").cast("string").alias("i"), F.col("label").cast("string").alias("of"))
+    indexed = F.array_join(F.collect_list(F.format_string('"%s": {"row_id": %s, "animal": "s%s", "label": %s}', "i", "i", "i", "of")), ", ")
+    listed = F.array_join(F.collect_list(F.format_string('["s%s", %s, %s]', "i", "of", "i")), ", ")
+    texts = e.groupBy("layout", "part").agg(indexed.alias("x"), listed.alias("l"))
+    names = '["animal", "label", "row_id"]'
+    meta = (
+        F.concat(F.lit('{"row_index_to_meta": {'), "x", F.lit("}}")),
+        F.concat(F.lit(f'{{"column_order": {names}, "data": ['), "l", F.lit("]}")),
+        F.concat(F.lit(f'{{"columns": {names}, "rows": ['), "l", F.lit("]}")),
+    )
+    texts = texts.select("layout", F.when(F.col("layout") == 0, meta[0]).when(F.col("layout") == 1, meta[1]).otherwise(meta[2]).alias("meta"))
+    parts = [S.metadata_rows(texts.filter(F.col("layout") == n), "meta", "row_id: bigint, animal: string, label: int").drop("row").withColumn("layout", F.lit(n)) for n in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("layout", "row_id", "animal", "label")
+
+
 @query(with_(TRACES) + f"SELECT trial, CAST(i AS INTEGER) AS t, {R('trace[i + 1]', 'c0')}, {R('trace[i + 33]', 'c1')} FROM traces, range(0, 32) r(i)")
 def s10_matrix_channels(spark, sf):
     t = X.traces(spark, sf).select("trial", S.channels(F.array(F.slice("trace", 1, 32), F.slice("trace", 33, 32)), "trial_channel_time").alias("m"))

@@ -206,7 +206,7 @@ def _vectors(spark, sf):
 
 @query()
 def ml07_kmeans(spark, sf):
-    return M.best_kmeans(_vectors(spark, sf), 2, 4).groupBy("cluster").agg(F.count("*").alias("n"))
+    return M.best_kmeans(_vectors(spark, sf), 2, 4).select("trial", "given", "cluster")
 
 
 @query()
@@ -220,6 +220,11 @@ def ml08_diagonal_mixture(spark, sf):
     return out.groupBy("cluster").agg(F.count("*").alias("n"), F.lit(ll).alias("log_likelihood"))
 
 
+@query()
+def ml08_best_mixture(spark, sf):
+    return M.best_mixture(_vectors(spark, sf), [2, 3], dim=6)[0].select("trial", "cluster")
+
+
 @query()
 def ml09_density_clusters(spark, sf):
     return M.density_clusters(_points(spark, sf, 2), "trial", ["v0", "v1"], 0.02, 4)
@@ -237,19 +242,19 @@ def ml11_reaction_profiles(spark, sf):
     stats = X.traces(spark, sf).select("trial", *[c.alias(n) for n, c in segment_statistics(_C("trace"), 20, 40).items()])
     cols = [c for c in stats.columns if c not in ("trial", "odor_duration", "post_duration")]
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(M.normalize(stats, cols, "zscore"))
-    return M.best_kmeans(vec, 2, 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    return M.best_kmeans(vec, 2, 3).select("trial", "cluster")
 
 
 @query()
 def ml12_motifs(spark, sf):
     bins = time_bins(X.samples(spark, sf), ["trial"], "t", "v", 0, 64, 8)
-    return M.motifs(bins, 3)[0].select("trial", F.size("features").cast("long").alias("rank"))
+    return M.motifs(bins, 3)[0].select("trial", *[_C("features")[i].alias(f"motif{i}") for i in range(3)])
 
 
 @query()
 def ml13_projection_matrix(spark, sf):
     flat = M.projection_matrix(M.lag_components(X.traces(spark, sf), "trace", 16, 2), 20)
-    return flat.select("trial", F.size("flat").cast("long").alias("n"))
+    return flat.select("trial", F.size("flat").cast("long").alias("n"), F.abs(_C("flat")[0]).alias("first"), F.abs(F.element_at("flat", -1)).alias("last"))
 
 
 @query()

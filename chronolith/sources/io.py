@@ -82,13 +82,23 @@ def matrix_with_metadata(matrix: DataFrame, meta: DataFrame, row: str = "row") -
 
 
 def metadata_rows(texts: DataFrame, column: str, fields: str) -> DataFrame:
-    """(row, fields) from JSON metadata: {"rows": [...]}, {"columns": [...], "data": [[...]]} or a plain list."""
+    """(row, fields) from JSON metadata.
+
+    {"rows": [{...}]}, {"row_index_to_meta": {"0": {...}}} in the order of its indexes, a
+    plain list, or lists of values in {"data": [[...]]} or {"rows": [[...]]} whose names
+    "columns" or "column_order" give; a name it lacks, or a short row, is null there.
+    """
     c = F.col(column)
+    by_index = F.map_entries(F.from_json(c, f"struct<row_index_to_meta:map<string,struct<{fields}>>>")["row_index_to_meta"])
+    indexed = F.transform(F.array_sort(F.transform(by_index, lambda e: F.struct(e["key"].cast("long").alias("i"), e["value"].alias("x")))), lambda e: e["x"])
+    kinds = {n.strip(): t.strip() for n, t in (f.split(":") for f in fields.split(","))}
+    table = F.from_json(c, "struct<columns:array<string>,column_order:array<string>,data:array<array<string>>,rows:array<string>>")
+    order = F.coalesce(table["columns"], table["column_order"])
+    data = F.coalesce(table["data"], F.transform(table["rows"], lambda r: F.from_json(r, "array<string>")))
+    value = lambda r, n: F.try_element_at(r, F.nullif(F.array_position(order, n).cast("int"), F.lit(0)))
+    listed = F.transform(data, lambda r: F.struct(*[value(r, n).cast(t).alias(n) for n, t in kinds.items()]))
     rows = F.coalesce(F.from_json(c, f"struct<rows:array<struct<{fields}>>>")["rows"], F.from_json(c, f"array<struct<{fields}>>"))
-    names = [f.split(":")[0].strip() for f in fields.split(",")]
-    table = F.from_json(c, "struct<columns:array<string>,data:array<array<string>>>")
-    listed = F.transform(table["data"], lambda r: F.struct(*[r[F.array_position(table["columns"], n) - 1].cast(f.split(":")[1].strip()).alias(n) for n, f in zip(names, fields.split(","), strict=True)]))
-    use = F.when(table["data"].isNotNull(), listed).otherwise(rows)
+    use = F.when(order.isNotNull() & data.isNotNull(), listed).otherwise(F.coalesce(indexed, rows))
     return texts.select(F.posexplode(use).alias("row", "x")).select("row", "x.*")
 
 

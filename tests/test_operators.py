@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from chronolith.functions import scalars as S
@@ -96,6 +97,112 @@ def test_cox_sign_and_mixed_spline(spark):
     assert all(abs(r["difference"] - 2) < 0.2 and r["low"] < 2.1 for r in got)
 
 
+def _partial_likelihood(rows, beta, ties):
+    out = 0.0
+    for time in {r[2] for r in rows if r[3]}:
+        risk = [r for r in rows if r[2] >= time]
+        dead = [r for r in risk if r[2] == time and r[3]]
+        w = lambda part: sum(math.exp(beta * (r[1] == "A")) for r in part)
+        out += beta * sum(r[1] == "A" for r in dead)
+        out -= sum(math.log(w(risk) - (i / len(dead) if ties == "efron" else 0) * w(dead)) for i in range(len(dead)))
+    return out
+
+
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+def test_cox_maximises_the_partial_likelihood(spark, ties):
+    rng = np.random.default_rng(3)
+    rows = [(s, g, float(rng.integers(1, 6 if g == "A" else 9)), bool(rng.random() < 0.8)) for s in range(4) for g in "AB" for _ in range(12)]
+    r = H.cox_binary(spark.createDataFrame(rows, "subject int, grp string, latency double, event boolean"), ties=ties).first()
+    total = lambda b: sum(_partial_likelihood([x for x in rows if x[0] == s], b, ties) for s in range(4))
+    assert total(r["beta"]) >= max(total(r["beta"] + d) for d in (-1e-3, 1e-3))
+    h = 1e-3
+    curve = -(total(r["beta"] + h) - 2 * total(r["beta"]) + total(r["beta"] - h)) / h**2
+    assert math.isclose(r["ci_high"] / r["hr"], math.exp(1.96 / math.sqrt(curve)), rel_tol=1e-3)
+
+
+def test_cox_of_groups_that_part_entirely(spark):
+    rows = [(s, g, 1.0 if g == "A" else 5.0, True) for s in range(6) for g in "AB"]
+    assert H.cox_binary(spark.createDataFrame(rows, "subject int, grp string, latency double, event boolean")).first()["beta"] == 20
+
+
+def test_spline_basis_and_tail():
+    b = H.spline_basis(40, 6)
+    t = np.arange(40) / 39
+    assert b.shape == (40, 6) and (b >= -1e-12).all() and math.isclose(b[-1].sum(), 1) and b[0].sum() == 0
+    for k in range(4):  # cubics lie in the span of the constant and the basis
+        fit = np.c_[np.ones(40), b]
+        assert np.abs(fit @ np.linalg.lstsq(fit, t**k, rcond=None)[0] - t**k).max() < 1e-9
+    assert np.allclose([H.chi2_sf(3.841459, 1), H.chi2_sf(5.991465, 2), H.chi2_sf(11.0705, 5), H.chi2_sf(12.59159, 6)], 0.05, atol=1e-6)
+
+
+def test_mixed_spline_equals_a_dense_fit(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, t, g, 0.3 * s + (math.sin(t / 3) if g == "A" else 0.0) + float(rng.normal(0, 0.2))) for s in range(6) for t in range(12) for g in "AB"]
+    got = H.mixed_spline(spark.createDataFrame(rows, "subject int, frame int, grp string, value double"), 12, knots=5).orderBy("frame").collect()
+    base = np.c_[np.ones(12), H.spline_basis(12, 5)]
+    x = np.array([np.r_[base[t], base[t] * (g == "A")] for _, t, g, _ in rows])
+    y, z = np.array([r[3] for r in rows]), np.array([[r[0] == s for s in range(6)] for r in rows], float)
+
+    def fit(ratio):
+        v = np.eye(len(y)) + ratio * z @ z.T
+        vi = np.linalg.inv(v)
+        a = x.T @ vi @ x
+        b = np.linalg.solve(a, x.T @ vi @ y)
+        e = y - x @ b
+        var = e @ vi @ e / (len(y) - x.shape[1])
+        return -0.5 * ((len(y) - x.shape[1]) * math.log(var) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1]), b, np.linalg.inv(a) * var
+
+    _, b, cov = max((fit(r) for r in np.geomspace(1e-1, 1e3, 300)), key=lambda f: f[0])
+    assert np.allclose([r["difference"] for r in got], base @ b[6:], atol=1e-4)
+    wald = b[7:] @ np.linalg.solve(cov[7:, 7:], b[7:])
+    assert math.isclose(got[0]["wald"], wald, rel_tol=1e-2) and got[0]["wald_df"] == 5 and got[0]["wald_p"] < 1e-6
+
+
+def test_best_mixture_prefers_the_true_number(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, Vectors.dense(rng.normal(8 * (i % 2), 1, 2).tolist())) for i in range(120)]
+    out, table = M.best_mixture(spark.createDataFrame(rows, ["id", "features"]), [1, 2, 3])
+    best, tried = table.filter("best").first(), table.collect()
+    assert best["k"] == 2 and best["bic"] == min(r["bic"] for r in tried if r["silhouette"] is not None)
+    assert len({(r["id"] % 2, r["cluster"]) for r in out.collect()}) == 2
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"rows": [{"a": 1, "b": "x"}, {"a": 2, "b": null}]}', [(1, "x"), (2, None)]),
+        ('[{"a": 1, "b": "x"}]', [(1, "x")]),
+        ('{"row_index_to_meta": {"10": {"a": 3, "b": "z"}, "2": {"a": 1, "b": "x"}}}', [(1, "x"), (3, "z")]),
+        ('{"column_order": ["b", "c", "a"], "data": [["x", 0, 1], ["y"]]}', [(1, "x"), (None, "y")]),
+        ('{"columns": ["b", "a"], "rows": [["x", 1]]}', [(1, "x")]),
+        ('{"columns": ["b"], "data": [["x"]]}', [(None, "x")]),
+    ],
+)
+def test_metadata_layouts(spark, text, want):
+    got = IO.metadata_rows(spark.createDataFrame([(text,)], "meta string"), "meta", "a: int, b: string").orderBy("row").collect()
+    assert [(r["a"], r["b"]) for r in got] == want
+
+
+@pytest.mark.parametrize(
+    ("codes", "value", "want"),
+    [
+        ('{"0": "low"}', "0", "low"),
+        ('{"lookup": {"0": "low"}}', "0.0", "low"),
+        ('{"values": ["high", "low"], "codes": [1, 0]}', "1", "high"),
+        ('{"labels": ["low", "high"], "codes": [1]}', "1", "high"),
+        ('["low", "high"]', "1", "high"),
+        ('{"low": 0, "high": 1}', "1", "high"),
+        ('{"0": "low"}', "9", "9"),
+        ("[]", "9", "9"),
+        (None, "9", "9"),
+        ('{"0": "low"}', None, None),
+    ],
+)
+def test_code_maps(spark, codes, value, want):
+    df = spark.createDataFrame([(value, codes)], "c string, codes string")
+    assert df.select(S.decode(F.col("c"), F.col("codes")).alias("x")).first()["x"] == want
+
+
 def test_wide_and_stacked_trials(spark):
     df = spark.createDataFrame([("t1", 1.0, 2.0, None), ("t2", 3.0, None, None)], "id string, v_0 double, v_1 double, v_2 double")
     assert [r["trace"] for r in IO.wide_trials(df, "v_", {"id": F.col("id")}).orderBy("id").collect()] == [[1.0, 2.0], [3.0]]
