@@ -6,10 +6,9 @@ from oracle import DATA, assert_same, duck
 from chronolith.plans import queries as plans
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
-SLOW = {n for n in QUERIES if n.startswith("ml") and n not in SQL}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     got = QUERIES[name](spark, DATA).toPandas()
     if name in SQL:
