@@ -166,12 +166,14 @@ def best_mixture(df: DataFrame, ks: Sequence[int], kinds: Sequence[str] = ("full
 def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int = 200) -> tuple[DataFrame, float]:
     """(df with cluster, log likelihood) of a diagonal mixture by EM, until the likelihood rests; a round is one aggregation.
 
-    `rounds` without rest is an error.
+    A variance is at least a thousandth of its column's, as a component on a single row
+    would have a likelihood without bound. `rounds` without rest is an error.
     """
     rows = written(df, "mixture")
     stats = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
     m = np.array([[stats[f"m{i}"] + (j - (k - 1) / 2) * math.sqrt(stats[f"v{i}"] or 1.0) for i in range(len(columns))] for j in range(k)])
-    v = np.array([[max(stats[f"v{i}"] or 0.0, 1e-6) for i in range(len(columns))]] * k)
+    least = [max(1e-3 * (stats[f"v{i}"] or 0.0), 1e-6) for i in range(len(columns))]
+    v = np.array([[max(stats[f"v{i}"] or 0.0, least[i]) for i in range(len(columns))]] * k)
     w = np.full(k, 1 / k)
 
     def log_parts() -> list[Column]:
@@ -198,7 +200,7 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
             w[j] = r / s["n"]
             for i in range(len(columns)):
                 m[j, i] = s[f"s{j}_{i}_1"] / r
-                v[j, i] = max(s[f"s{j}_{i}_2"] / r - m[j, i] ** 2, 1e-6)
+                v[j, i] = max(s[f"s{j}_{i}_2"] / r - m[j, i] ** 2, least[i])
     else:
         raise RuntimeError(f"the mixture still moves after {rounds} rounds")
     parts = F.array(*log_parts())
