@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, pii, simhash, toxicity
+from . import alignment, chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, packing, pii, simhash, spelling, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op12_packing(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op13_alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash,
@@ -65,6 +77,9 @@ def queries() -> dict[str, Query]:
         op8_toxicity,
         op9_mixing,
         op10_decontamination,
+        op11_spelling_variants,
+        op12_packing,
+        op13_alignment,
     )
     return {q.__name__: q for q in every}
 
