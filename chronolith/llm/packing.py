@@ -25,7 +25,7 @@ from .tokens import WordBpe
 
 END = 2
 #: Pieces that wait for a sequence; a task's sequences are numbered from its own multiple of 2^40.
-POOL, ROOM = 1024, 1 << 40
+POOL, ROOM = 256, 1 << 40
 #: Pieces of one Arrow batch.
 ROWS = 1024
 

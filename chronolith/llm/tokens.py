@@ -71,11 +71,12 @@ class Parted:
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        if _OTHER_SPACE.search(text):
+        plain = _PLAIN.fullmatch(text) is not None and not self._marks.search(text)
+        if not plain and _OTHER_SPACE.search(text):
             return np.frombuffer(self.whole(text), "<u4")
         out = []
         for t in _cut(text):
-            if _PLAIN.fullmatch(t) and not self._marks.search(t):
+            if plain:
                 out.append(self.plain(t))
                 continue
             at = 0
