@@ -24,8 +24,12 @@ from .common import first_of_each, small
 PER_DOMAIN, MAX_DOMAINS = 2000, 32
 #: Rows that a word's prior counts for; least log odds that speak for a domain.
 PRIOR, LEAST = 20.0, 1.0
-#: The miss of a target, as a share of all tokens, at which steps end; steps after which rates are written, and the gain by which they must have lessened the miss.
+#: The miss of a target, as a share of all tokens, at which steps end; steps after which rates are written; the gain by which they must have lessened the miss.
 CLOSE, TOGETHER, GAIN = 1e-6, 6, 1e-3
+#: Where targets can't be met steps end when the projected gradient is so small, or when the miss is within this share of the least one.
+STILL, NEAR = 1e-4, 0.02
+#: Cells of like posteriors in which steps are begun anew then, and how finely posteriors are told apart at most.
+CELLS, FINE = 50_000, 64
 _SYMBOLS = "[&%$#*|!]"
 
 
@@ -92,7 +96,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, names: Sequence[str], domain_
     if training.isEmpty():
         return written(rows.select("id", "tokens", F.array(*[F.lit(1.0 / len(names))] * len(names)).alias("p")), "posteriors")
     speaking = _speaking(training, len(names))
-    learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-3, maxIter=60)
+    learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-3, maxIter=1000)
     model = learner.fit(written(_vector(training, speaking, len(names)).coalesce(6), "training"))
     out = model.setProbabilityCol("prob").transform(_vector(rows, speaking, len(names))).select("id", "tokens", vector_to_array("prob").alias("p"))
     pad = F.array(*[F.lit(0.0)] * len(names))
@@ -113,6 +117,51 @@ def _stepped(steps: Sequence[tuple[float, np.ndarray]]) -> Column:
     return F.aggregate(each, state, step)
 
 
+def _bound(least: float, w: np.ndarray, goal: np.ndarray, m: np.ndarray) -> float:
+    """What twice the squared miss can't fall below, by the dual problem; least is the smallest p . w of all rows."""
+    w = w + max(0.0, -least)
+    return float(-goal @ w - w @ m @ w / 2)
+
+
+def _cell_rates(p: np.ndarray, share: np.ndarray, goal: np.ndarray, even: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Projected gradient over cells (mean posterior, share of tokens), with momentum that starts anew when the miss grows."""
+    r = last = np.ones(len(p))
+    since, before = 0, np.inf
+    while True:
+        miss, pull = (share * r) @ p - goal, (share * last) @ p
+        w = even @ miss
+        size, g = float(miss @ w) / 2, p @ w
+        still = np.sqrt((share * (r - np.maximum(0, r - g)) ** 2).sum())
+        if np.abs(miss).max() < CLOSE / 10 or still < STILL / 100 or size - _bound(float(g.min()), w, goal, m) < NEAR / 10 * size:
+            return r
+        since = 0 if size > before else since
+        before, momentum = size, max(0.0, (since - 1) / (since + 2))
+        along = even @ (miss + momentum * (miss + goal - pull))
+        r, last, since = np.maximum(0, r + momentum * (r - last) - p @ along), r, since + 1
+
+
+def _anew(at: DataFrame, share: Column, goal: np.ndarray, even: np.ndarray, m: np.ndarray) -> DataFrame:
+    """Rows of at with the rates of their cells: what steps would come to that move all rows of a cell alike.
+
+    At most CELLS rows of sums, one a cell, are worked on in the driver.
+    """
+    k, fine = len(goal), FINE
+    while True:
+        cell = F.transform("p", lambda x: F.round(x * fine).cast("int"))
+        sums = written(at.groupBy(cell.alias("__cell")).agg(F.sum(share).alias("share"), *[F.sum(share * F.col("p")[i]).alias(f"q{i}") for i in range(k)]), "cells")
+        if fine == 1 or sums.count() <= CELLS:
+            break
+        fine //= 2
+    rows = sums.filter("share > 0").limit(CELLS).collect()
+    weight = np.array([r["share"] for r in rows])
+    p = np.array([[r[f"q{i}"] for i in range(k)] for r in rows]) / weight[:, None]
+    rates = _cell_rates(p, weight, goal, even, m)
+    table = at.sparkSession.createDataFrame([(list(r["__cell"]), float(x)) for r, x in zip(rows, rates, strict=True)], "__cell array<int>, __rate double")
+    found = at.drop("rate", "last").withColumn("__cell", cell).join(F.broadcast(table), "__cell", "left").drop("__cell")
+    rate = F.coalesce("__rate", F.lit(1.0))
+    return written(found.withColumns({"rate": rate, "last": rate}).drop("__rate"), "rates")
+
+
 def fit_rates(rows: DataFrame, targets: Sequence[float], close: float = CLOSE) -> DataFrame:
     """rows(tokens, p, ...), a written table, with the rate of each row.
 
@@ -120,8 +169,10 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], close: float = CLOSE) -
     the targets. Rates start at 1; a step goes on as the last one did, with growing
     momentum, then along the gradient of the miss, in which the domains' Gram matrix
     evens out how large and how alike they are, and is cut at 0; with it no step is too
-    long. Steps end when the targets are met, or the miss can hardly be lessened any
-    more. A step reads the rows once and brings a few figures a domain to the driver.
+    long. A step reads the rows once and brings a few figures a domain to the driver.
+    Steps end when the targets are met. Where they can't be, steps gain less and less: they
+    go on from the rates that cells of rows with like posteriors come to, until the
+    projected gradient is still or the miss is as good as the least one.
     """
     k = len(targets)
     goal = np.array(targets, float) / sum(targets)
@@ -131,8 +182,9 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], close: float = CLOSE) -
     share = F.col("tokens") / F.lit(float(total))
     gram = rows.agg(*[F.sum(share * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]).first()
     m = np.array(gram, float).reshape(k, k)
-    even = np.linalg.inv(m + 1e-6 * np.trace(m) * np.eye(k))
-    at, steps, done, before = rows.withColumns({"rate": F.lit(1.0), "last": F.lit(1.0)}), [], 0, np.inf
+    m = m + 1e-6 * np.trace(m) * np.eye(k)
+    even = np.linalg.inv(m)
+    at, steps, done, before, anew = rows.withColumns({"rate": F.lit(1.0), "last": F.lit(1.0)}), [], 0, np.inf, False
     while True:
         now = at.withColumn("__s", _stepped(steps))
         sums = now.agg(*[F.sum(share * F.col("p")[i] * F.col(f"__s.{c}")) for c in ("rate", "last") for i in range(k)]).first()
@@ -141,8 +193,20 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], close: float = CLOSE) -
         enough = np.abs(miss).max() < close
         if done % TOGETHER == 0 and done and not enough:
             size = float(miss @ even @ miss)
-            enough, before = before - size < GAIN * size, size
+            stalled, before = before - size < GAIN * size, size
             at, steps = written(now.withColumns({"rate": F.col("__s.rate"), "last": F.col("__s.last")}).drop("__s"), "rates"), []
+            if stalled and not anew:
+                at, done, before, anew = _anew(at, share, goal, even, m), 0, np.inf, True
+                continue
+            if stalled:
+                done = 0  # momentum starts anew
+        if anew and not steps and not enough:
+            w = even @ miss
+            g = reduce(lambda a, b: a + b, [F.col("p")[i] * F.lit(float(w[i])) for i in range(k)])
+            moved = F.col("rate") - F.greatest(F.lit(0.0), F.col("rate") - g)
+            still, least = at.agg(F.sum(share * moved * moved), F.min(F.when(F.col("tokens") > 0, g))).first()
+            size = float(miss @ w) / 2
+            enough = still**0.5 < STILL or size - _bound(least, w, goal, m) < NEAR * size
         if enough:
             return at.withColumn("__s", _stepped(steps)).withColumn("rate", F.col("__s.rate")).drop("__s", "last")
         momentum = max(0.0, (done - 1) / (done + 2))
