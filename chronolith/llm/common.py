@@ -34,6 +34,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_or_none(df: DataFrame, rows: int | None = None) -> DataFrame | None:
+    """small(df) if it is broadcast, else None."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, share: int = 10_000) -> DataFrame:
     """left join right (one row a key, with the key's number of rows in left) where one key may hold most rows.
 

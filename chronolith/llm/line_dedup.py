@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import join_counted, small_or_none, written
 
 #: A line on this many sites or more is boilerplate.
 MIN_SITES = 10
@@ -15,9 +15,13 @@ LG_K = 10
 BAND = 4.0
 
 
+#: What counts as white space within a line.
+_SPACE = "[ \\t\\r\\f\\x0b]+"
+
+
 def _line_keys(text: str) -> Column:
-    """Keys of the lines of a text column; a line of white space alone has that of the empty string."""
-    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.xxhash64(F.regexp_replace(F.trim(x), "\\s+", " ")))
+    """Keys of the lines of a text column, white space folded, then trimmed; a line of white space alone has that of the empty string."""
+    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.xxhash64(F.trim(F.regexp_replace(x, _SPACE, " "))))
 
 
 def _blank() -> Column:
@@ -25,49 +29,54 @@ def _blank() -> Column:
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, site, keys): the keys of each row's lines, a number each, written once for all that reads them."""
+    """(id, text_hash, site, keys): the keys of each row's lines, a number each, written once for all that reads them."""
     site = F.when(F.col(site_col).isNotNull(), F.xxhash64(site_col))
-    return written(docs.select(F.col(id_col).alias("id"), site.alias("site"), F.array_distinct(_line_keys(text_col)).alias("keys")), "lines")
+    return written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), site.alias("site"), F.array_distinct(_line_keys(text_col)).alias("keys")), "lines")
+
+
+def _of_keys(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """lines with a key of keys(k, rows), a written table that says how many rows of lines have each."""
+    hint = small_or_none(keys)
+    return lines.join(hint, "k", "left_semi") if hint is not None else join_counted(lines, keys, "k", "rows").drop("rows")
 
 
 def boilerplate_lines(keyed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys (k, sites) of the lines of keyed_lines that stand on min_sites sites or more.
+    """Keys (k, sites, rows) of the lines of keyed_lines that stand on min_sites sites or more.
 
     A line whose smallest and largest site agree has one site and needs no sketch. The
     others get a HyperLogLog sketch of their sites, merged by aggregation; sites are
     counted exactly where the estimate is near the threshold. Lines far above it keep
-    the estimate. A null site is no site.
+    the estimate. A null site is no site. rows says how many rows have the line.
     """
     lines = keyed.filter("site is not null").select("site", F.explode("keys").alias("k")).filter(F.col("k") != _blank())
-    ends = lines.groupBy("k").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
-    spread = small(written((ends.filter("lo <> hi") if min_sites > 1 else ends).select("k"), "spread"))
-    sketches = lines.join(spread, "k", "left_semi").groupBy("k").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    sketched = written(sketches.select("k", F.hll_sketch_estimate("sketch").alias("estimate")), "sketches")
+    ends = lines.groupBy("k").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count("*").alias("rows"))
+    spread = written((ends.filter("lo <> hi") if min_sites > 1 else ends).select("k", "rows"), "spread")
+    sketches = _of_keys(lines, spread).groupBy("k").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("rows"))
+    sketched = written(sketches.select("k", F.hll_sketch_estimate("sketch").alias("estimate"), "rows"), "sketches")
     margin = max(1.0, BAND * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.col("estimate").between(min_sites - margin, min_sites + margin)
-    counted = lines.join(small(sketched.filter(near).select("k")), "k", "left_semi").groupBy("k").agg(F.count_distinct("site").alias("sites"))
-    far = sketched.filter(~near & (F.col("estimate") > min_sites)).select("k", F.col("estimate").alias("sites"))
+    counted = _of_keys(lines, sketched.filter(near).select("k", "rows")).groupBy("k", "site").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("k").agg(F.count("*").alias("sites"), F.sum("n").alias("rows"))
+    far = sketched.filter(~near & (F.col("estimate") > min_sites)).select("k", F.col("estimate").alias("sites"), "rows")
     return far.unionByName(counted.filter(F.col("sites") >= min_sites))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """id, text without boilerplate lines, n_removed; one row per row of docs.
 
-    Lines are compared trimmed, with runs of white space as one space; blank lines are
-    never removed. Null text gives null text and 0. Rows of one id share the look-up of
-    their lines, not their lines. An empty table gives no rows.
+    Lines end at line feeds and are compared trimmed, with runs of blanks, tabs, carriage
+    returns and form feeds as one space; blank lines are never removed. Null text gives
+    null text and 0; very long texts are lines like any other. Rows of one id and text
+    share the look-up of their lines, null ids too. A tie at min_sites is boilerplate. An
+    empty table gives no rows; other columns, and their names, have no effect.
     """
     keyed = keyed_lines(docs, id_col, text_col, site_col)
-    bad = written(boilerplate_lines(keyed, min_sites).select("k"), "boilerplate")
-    hits = (
-        keyed.select("id", F.explode("keys").alias("k"))
-        .join(small(bad), "k", "left_semi")
-        .groupBy("id")
-        .agg(F.collect_set("k").alias("bad"))
-        .select(F.col("id").alias("hit"), "bad")
-    )
+    bad = written(boilerplate_lines(keyed, min_sites).select("k", "rows"), "boilerplate")
+    # A row without a site isn't counted in rows, but has its lines removed.
+    lines = keyed.select("id", "text_hash", F.explode("keys").alias("k"))
+    hits = _of_keys(lines, bad).groupBy("id", "text_hash").agg(F.collect_set("k").alias("bad")).select(F.col("id").alias("hit"), F.col("text_hash").alias("hit_hash"), "bad")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = rows.join(hits.hint("shuffle_hash"), rows["id"].eqNullSafe(hits["hit"]), "left")
+    found = rows.join(hits.hint("shuffle_hash"), rows["id"].eqNullSafe(hits["hit"]) & (F.xxhash64(rows["text"]) == hits["hit_hash"]), "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), _line_keys("text").alias("k")), lambda x: ~F.array_contains(F.col("bad"), x["k"])), lambda x: x["line"])
     # Only texts with a line to remove are looked at again.
@@ -83,7 +92,7 @@ def op7_line_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-_CLEAN = "trim(regexp_replace(trim(x), '\\s+', ' ', 'g'))"
+_CLEAN = f"trim(regexp_replace(x, '{_SPACE}', ' ', 'g'))"
 SQL = f"""
 WITH lines AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, source, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM lines),
