@@ -203,7 +203,12 @@ def license_scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame =
 
 
 def _sql_canonical(c: str) -> str:
-    c = f"regexp_replace(lower({c}), '(^|\\n)[ \\t*#/]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*', chr(10), 'g')"
+    # What _OWN_WORDS says, without looking ahead: the word is masked before a licence's own words, and unmasked again where those make a notice.
+    own = "[\\s\\x0b*#/]+(?:notice|holder|owner|law|interest)s?"
+    c = f"regexp_replace(lower({c}), '((?:^|\\n)[ \\t*#/]*)copyright({own})\\b', '\\1copyri' || chr(1) || 'ght\\2', 'g')"
+    c = f"regexp_replace({c}, 'copyri\\x01ght({own}(?:[ \\t]*[:©]|\\b[^\\n]*\\b(?:19|20)[0-9]{{2}}\\b))', 'copyright\\1', 'g')"
+    c = f"regexp_replace({c}, '(^|\\n)[ \\t*#/]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*', chr(10), 'g')"
+    c = f"replace({c}, 'copyri' || chr(1) || 'ght', 'copyright')"
     c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
     for a, b in EQUIVALENT:
         c = f"replace({c}, ' {_wide(a)} ', ' {_wide(b)} ')"

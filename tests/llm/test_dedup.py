@@ -8,10 +8,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from documents import twin
 from oracle import DATA, assert_same, duck
 from pyspark.sql import functions as F
 
-from chronolith.llm import exact_dedup, line_dedup, queries, simhash, wide_simhash
+from chronolith.llm import common, exact_dedup, line_dedup, queries, simhash, wide_simhash
 from chronolith.operators.components import connected_components
 
 
@@ -176,3 +177,20 @@ def test_word_hashes_follow_the_words_alone(monkeypatch):
     assert (wide_simhash.word_hashes(texts[0]) == first).all()
     assert len(wide_simhash.word_hashes(None)) == len(wide_simhash.word_hashes(" \n")) == 0
     assert len(wide_simhash.shingles(None)) == 0 and len(wide_simhash.shingles("a b")) == 1
+
+
+def test_lines_of_tabs_and_with_carriage_returns(make):
+    rows = [(i, f"foo  bar\r\n\t\n \x0c\t\r\nown {i}\nfoo\tbar\nlast" if i % 2 else f"  foo bar\n\t\nown {i}\t\n\r\nlast\r", "en", f"s{i}") for i in range(14)]
+    rows += [(20, None, "en", "s1"), (21, "\t\n\n", "en", "s2"), (22, "", "en", None), (23, "foo bar", "en", None)]
+    got = line_dedup.op7_line_dedup(make(rows))
+    assert_same(got.toPandas(), twin(line_dedup.SQL, rows))
+    text = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(make(rows)).collect()}
+    assert text[0] == "\t\nown 0\t\n\r" and text[1] == "\t\n \x0c\t\r\nown 1" and text[21] == "\t\n\n" and text[23] == ""
+
+
+def test_a_line_that_most_rows_have_where_lines_are_not_broadcast(make, monkeypatch):
+    rows = [(i if i % 3 else None, "\n".join(["everywhere", f"some {i % 7}", f"own {i}"]), "en", f"s{i % 40}") for i in range(400)]
+    want = sorted(map(str, line_dedup.line_dedup(make(rows)).collect()))
+    assert all("everywhere" not in r for r in want)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, line_dedup.line_dedup(make(rows)).collect())) == want

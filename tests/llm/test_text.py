@@ -6,7 +6,8 @@ import textwrap
 
 import numpy as np
 import pytest
-from oracle import DATA
+from documents import twin
+from oracle import DATA, assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -85,8 +86,11 @@ def test_known_texts_however_their_lines_are_broken(make):
             mark = ("", " * ", "# ")[width % 3]
             want[len(rows)] = name
             rows.append((len(rows), "\n".join(mark + line for line in [*notice.split("\n"), *textwrap.wrap(t, width, break_long_words=False)]), "en", "a"))
-    got = {r["doc_id"]: r["text_license"] for r in license_scan.license_scan(make(rows)).collect()}
-    assert got == want
+    rows += [(5000 + i, t, "en", "a") for i, t in enumerate(("MIT License", "Copyright notice: x\nReleased under the MIT license", "copyright holders 2019\nMIT LICENCE", "see\nLicensed under CC BY 4.0!\r\nlicense", ""))]
+    found = license_scan.license_scan(make(rows)).toPandas()
+    got = dict(zip(found["doc_id"], found["text_license"], strict=True))
+    assert {i: got[i] for i in want} == want
+    assert_same(found, twin(license_scan.SQL, rows))
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
