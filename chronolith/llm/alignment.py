@@ -21,7 +21,7 @@ from .common import join_counted
 from .tokens import ByteBpe, PieceBpe
 
 #: Windows and their links that a task remembers, and tokens that are aligned at once.
-REMEMBERED, LINKS, AT_ONCE = 300_000, 4_000_000, 1 << 20
+REMEMBERED, LINKS, AT_ONCE = 200_000, 2_000_000, 1 << 19
 #: Marks an id of A in a window's key.
 OF_A = np.uint32(1 << 31)
 #: Counted pairs that are broadcast, 40 bytes each; more are shuffled.
