@@ -2,7 +2,8 @@
 
 Letters are hashed to a few symbols. Of every reduced word all reduced words within one
 edit are generated and joined to the reduced vocabulary: words that differ by one edit
-meet there, as their reduced words differ by one edit at most. A reduced word that many
+meet there, as their reduced words differ by one edit at most; a map of bits spares those
+that no word has the way there. A reduced word that many
 words share is told apart by a second alphabet, in which every letter is a symbol. What
 is generated are hashes of words, worked out from those of their beginnings and ends;
 the strings themselves decide.
@@ -33,6 +34,8 @@ LEAST_LETTERS, LEAST_COUNT, RATIO = 5, 3, 2
 SYMBOLS, CROWD = 8, 64
 #: Different words that a task counts, and characters of words whose neighbours are generated, at once.
 COUNTED, AT_ONCE = 200_000, 1 << 15
+#: Bits a word of the map of reduced words that exist, and most bits of the map.
+SPARSE, MOST_BITS = 16, 1 << 27
 #: An odd number; hashes are polynomials in it.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,9 +123,28 @@ def _hashed(words: DataFrame, symbols: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, key long")
 
 
-def _generated(words: DataFrame, symbols: int) -> DataFrame:
-    """(word, key) for every reduced word within one edit."""
-    value = alphabet(symbols)
+def _existing(keyed: DataFrame) -> np.ndarray:
+    """A map of bits, one for each of the first bits of a key that some row of keyed has: 16 MB at most.
+
+    With very many keys most bits are set, and less is spared.
+    """
+    n = keyed.count()
+    lead = max(12, min(MOST_BITS, SPARSE * max(n, 1)).bit_length() - 1)
+    slot = F.shiftrightunsigned("key", 64 - lead)
+    bits = keyed.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(63).alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (lead - 6), np.uint64)
+    out[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _exists(keys: np.ndarray, there: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.uint64) >> np.uint64(64 - (len(there).bit_length() + 5))
+    return (there[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _generated(words: DataFrame, symbols: int, there: np.ndarray) -> DataFrame:
+    """(word, key) for every reduced word within one edit that may exist."""
+    value, shared = alphabet(symbols), words.sparkSession.sparkContext.broadcast(there)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +159,7 @@ def _generated(words: DataFrame, symbols: int) -> DataFrame:
                 yield batch(some)
 
     def batch(some: list[str]) -> pa.RecordBatch:
-        keys = [neighbourhood(w, value) for w in some]
+        keys = [k[_exists(k, shared.value)] for k in (neighbourhood(w, value) for w in some)]
         row = np.repeat(np.arange(len(some)), list(map(len, keys)))
         return pa.RecordBatch.from_arrays([pa.array(some).take(pa.array(row)), pa.array(np.concatenate(keys))], ["word", "key"])
 
@@ -148,14 +170,14 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, crowd: int = CROWD) ->
     """(word, near, near_n) of every two words(word, n) that differ by one edit, in both directions; words is a written table of different words."""
     keyed = written(_hashed(words, symbols), "reduced")
     crowded = written(keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > crowd), "crowded")
-    generated = _generated(words, symbols)
+    generated = _generated(words, symbols, _existing(keyed))
     apart = keyed if crowded.isEmpty() else keyed.join(small(crowded.select("key")), "key", "left_anti")
     found = generated.join(apart.withColumnsRenamed({"word": "near", "n": "near_n"}), "key").select("word", "near", "near_n")
     if not crowded.isEmpty():
         close = keyed.join(small(crowded.select("key")), "key", "left_semi").select("word", "n")
         reach = generated.join(small(crowded.select("key")), "key", "left_semi").select("word").distinct()
-        exact = _hashed(close, 0).withColumnsRenamed({"word": "near", "n": "near_n"})
-        found = found.unionByName(_generated(reach, 0).join(exact, "key").select("word", "near", "near_n"))
+        exact = written(_hashed(close, 0), "exact")
+        found = found.unionByName(_generated(reach, 0, _existing(exact)).join(exact.withColumnsRenamed({"word": "near", "n": "near_n"}), "key").select("word", "near", "near_n"))
     edit = F.levenshtein("word", "near", 1) == 1
     return found.filter(edit)
 
