@@ -17,11 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.store import written
-from .common import ascii_lower, join_counted, small
+from .common import ascii_lower, join_counted, of_keys, small
 
 #: Keys of a bucket; bits that a directory looks ahead of the even depth before it counts keys anew.
 CAPACITY, AHEAD = 1 << 16, 8
 KEY_BITS = 64
+#: Texts of colliding keys that are broadcast, in bytes.
+BROADCAST_BYTES = 1 << 25
 
 
 def _first_bits(key: str, bits: int) -> Column:
@@ -88,13 +90,14 @@ def build_index(docs: DataFrame, keyed: DataFrame, id_col: str = "doc_id", text_
     """The index of docs, whose keyed_rows are keyed.
 
     Only texts whose key several rows have are read again and shuffled, combined before
-    the shuffle, so that a large group of copies is one row of each task.
+    the shuffle, so that a large group of copies is one row of each task. Texts of one
+    key are told apart by this combination; the owner of a bucket chains what is left.
     """
     counts = written(keyed.groupBy("h").agg(F.count("*").alias("rows"), F.max("id").alias("keep_id")), "counts")
     entries, bits = build_directory(counts.select("h"), capacity)
     index = Index(entries, bits, counts)
-    shared = written(counts.filter("rows > 1").select("h"), "shared")
-    texts = _normal(docs, id_col, text_col).join(small(shared), "h", "left_semi").groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    shared = written(counts.filter("rows > 1").select("h", "rows"), "shared")
+    texts = of_keys(_normal(docs, id_col, text_col), shared, "h", "rows").groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     owned = index.bucket_of(written(texts, "shared-texts")).repartition("bucket")
     by_key = W.partitionBy("bucket", "h")
     chained = owned.select("*", F.row_number().over(by_key.orderBy("norm")).alias("chain"), F.count("*").over(by_key).alias("long"), F.sum("group_size").over(by_key).alias("rows"))
@@ -118,7 +121,8 @@ def look_up(docs: DataFrame, keyed: DataFrame, index: Index, id_col: str = "doc_
         return found
     texts = index.bucket_of(_normal(docs, id_col, text_col).join(collided, "h", "left_semi"))
     same = several.select("bucket", "h", F.col("text").alias("norm"), "keep_id", "group_size")
-    compared = texts.join(small(same), ["bucket", "h", "norm"])
+    size = same.agg(F.sum(F.octet_length("norm"))).first()[0]
+    compared = texts.join(small(same) if size <= BROADCAST_BYTES else same, ["bucket", "h", "norm"])
     return found.unionByName(compared.select("id", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"))
 
 

@@ -194,3 +194,11 @@ def test_a_line_that_most_rows_have_where_lines_are_not_broadcast(make, monkeypa
     assert all("everywhere" not in r for r in want)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
     assert sorted(map(str, line_dedup.line_dedup(make(rows)).collect())) == want
+
+
+def test_copies_where_keys_are_not_broadcast(make, monkeypatch):
+    rows = [(i, f"Text {i % 40 if i % 3 else 'of most'}", "en", "a") for i in range(300)]
+    want = by_id(exact_dedup.exact_dedup(make(rows)))
+    assert max(n for _, n in want.values()) == 100
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    assert by_id(exact_dedup.exact_dedup(make(rows))) == want
