@@ -54,6 +54,12 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, share:
     return left.join(hot, key).unionByName(rest)
 
 
+def of_keys(left: DataFrame, keys: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows of left with a key of keys(key, count), a written table of different keys that says how many rows of left have each."""
+    hint = small_or_none(keys.select(key))
+    return left.join(hint, key, "left_semi") if hint is not None else join_counted(left, keys, key, count).drop(count)
+
+
 def first_of_each(df: DataFrame, keys: Sequence[str], k: int, id_col: str = "id") -> DataFrame:
     """Of each key the k rows whose id's hash comes first; there are few keys.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, small_or_none, written
+from .common import of_keys, written
 
 #: A line on this many sites or more is boilerplate.
 MIN_SITES = 10
@@ -34,12 +34,6 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
     return written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), site.alias("site"), F.array_distinct(_line_keys(text_col)).alias("keys")), "lines")
 
 
-def _of_keys(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """lines with a key of keys(k, rows), a written table that says how many rows of lines have each."""
-    hint = small_or_none(keys)
-    return lines.join(hint, "k", "left_semi") if hint is not None else join_counted(lines, keys, "k", "rows").drop("rows")
-
-
 def boilerplate_lines(keyed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Keys (k, sites, rows) of the lines of keyed_lines that stand on min_sites sites or more.
 
@@ -51,11 +45,11 @@ def boilerplate_lines(keyed: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     lines = keyed.filter("site is not null").select("site", F.explode("keys").alias("k")).filter(F.col("k") != _blank())
     ends = lines.groupBy("k").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count("*").alias("rows"))
     spread = written((ends.filter("lo <> hi") if min_sites > 1 else ends).select("k", "rows"), "spread")
-    sketches = _of_keys(lines, spread).groupBy("k").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("rows"))
+    sketches = of_keys(lines, spread, "k", "rows").groupBy("k").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("rows"))
     sketched = written(sketches.select("k", F.hll_sketch_estimate("sketch").alias("estimate"), "rows"), "sketches")
     margin = max(1.0, BAND * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.col("estimate").between(min_sites - margin, min_sites + margin)
-    counted = _of_keys(lines, sketched.filter(near).select("k", "rows")).groupBy("k", "site").agg(F.count("*").alias("n"))
+    counted = of_keys(lines, sketched.filter(near).select("k", "rows"), "k", "rows").groupBy("k", "site").agg(F.count("*").alias("n"))
     counted = counted.groupBy("k").agg(F.count("*").alias("sites"), F.sum("n").alias("rows"))
     far = sketched.filter(~near & (F.col("estimate") > min_sites)).select("k", F.col("estimate").alias("sites"), "rows")
     return far.unionByName(counted.filter(F.col("sites") >= min_sites))
@@ -74,7 +68,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bad = written(boilerplate_lines(keyed, min_sites).select("k", "rows"), "boilerplate")
     # A row without a site isn't counted in rows, but has its lines removed.
     lines = keyed.select("id", "text_hash", F.explode("keys").alias("k"))
-    hits = _of_keys(lines, bad).groupBy("id", "text_hash").agg(F.collect_set("k").alias("bad")).select(F.col("id").alias("hit"), F.col("text_hash").alias("hit_hash"), "bad")
+    hits = of_keys(lines, bad, "k", "rows").groupBy("id", "text_hash").agg(F.collect_set("k").alias("bad")).select(F.col("id").alias("hit"), F.col("text_hash").alias("hit_hash"), "bad")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.join(hits.hint("shuffle_hash"), rows["id"].eqNullSafe(hits["hit"]) & (F.xxhash64(rows["text"]) == hits["hit_hash"]), "left")
     lines = F.split("text", "\n")
