@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .percentiles import exact_percentiles, percentile_columns
+
 STATS = ("mean", "std", "min", "max", "sum", "first", "last")
 
 
@@ -124,7 +126,9 @@ def block_stats(df: DataFrame, keys: Sequence[str], frame: str = "frame") -> Dat
 
 
 def cluster_summary(df: DataFrame, cluster: str, value: str) -> DataFrame:
-    return df.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("max"))
+    s = df.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    m = percentile_columns(df, value, {"median": 0.5}, [cluster])
+    return s.join(m, s[cluster].eqNullSafe(m[cluster]), "left").select(s[cluster], "n", "mean", "median", "max")
 
 
 def confusion(preds: DataFrame, label: str = "label", predicted: str = "predicted", weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -171,8 +175,11 @@ def error_profile(preds: DataFrame, by: str = "split") -> DataFrame:
     """Counts, precision, recall, F1, and the probabilities of false positives and negatives, by split."""
     out = binary_metrics(preds, [by]).select(by, "tp", "fp", "fn", "tn", "precision", "recall", "f1")
     kinds = {"fp": (F.col("label") == 0) & (F.col("predicted") == 1), "fn": (F.col("label") == 1) & (F.col("predicted") == 0)}
-    stats = [f(F.when(c, F.col("prob"))).alias(f"{k}_{n}") for k, c in kinds.items() for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("median", lambda x: F.percentile(x, 0.5)))]
-    return out.join(preds.groupBy(by).agg(*stats), by)
+    stats = [f(F.when(c, F.col("prob"))).alias(f"{k}_{n}") for k, c in kinds.items() for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    out = out.join(preds.groupBy(by).agg(*stats), by)
+    wrong = preds.select(by, F.when(kinds["fp"], "fp").when(kinds["fn"], "fn").alias("__kind"), "prob").filter("__kind is not null")
+    medians = percentile_columns(wrong, "prob", {"median": 0.5}, [by, "__kind"]).groupBy(by).agg(*[F.max(F.when(F.col("__kind") == k, F.col("median"))).alias(f"{k}_median") for k in kinds])
+    return out.join(medians, by, "left")
 
 
 def missed_by_intensity(preds: DataFrame, by: str = "split") -> DataFrame:
@@ -279,9 +286,13 @@ def cohens_d(df: DataFrame, label: str, value: str) -> DataFrame:
 def resolve_thresholds(df: DataFrame, value: str, percentiles: Sequence[float], baseline: Column, sigmas: Sequence[float]) -> DataFrame:
     """(name, threshold): exact percentiles of all values; mean + k population deviations of baseline ones."""
     base = F.when(baseline, F.col(value))
-    named = {f"percentile:{q:g}": F.percentile(value, q / 100) for q in percentiles} | {f"sigma:{k:g}": F.avg(base) + k * F.stddev_pop(base) for k in sigmas}
-    row = df.agg(*[c.alias(f"{i}") for i, c in enumerate(named.values())])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{i}").alias("threshold")) for i, n in enumerate(named)])).alias("x")).select("x.*")
+    named = {f"sigma:{k:g}": F.avg(base) + k * F.stddev_pop(base) for k in sigmas}
+    row = df.agg(*[c.alias(f"{i}") for i, c in enumerate(named.values())], F.lit(0).alias("one"))
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{i}").alias("threshold")) for i, n in enumerate(named)])).alias("x")).select("x.*")
+    if not percentiles:
+        return out
+    name = F.element_at(F.create_map(*[F.lit(x) for q in percentiles for x in (q / 100, f"percentile:{q:g}")]), F.col("share"))
+    return exact_percentiles(df, value, [q / 100 for q in percentiles]).select(name.alias("name"), F.col("percentile").alias("threshold")).unionByName(out)
 
 
 def composite_scores(df: DataFrame, fraction: str, auc: str, latency: str, weights: tuple[float, float] = (3.0, 1.0), user: str | None = None) -> DataFrame:

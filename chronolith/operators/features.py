@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import signal as G
 from . import windows as W_
+from .percentiles import column_medians
 from .store import written
 
 # Names and edges of the scorer's frequency bands, in Hz.
@@ -70,7 +71,7 @@ def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Infinite and NaN values and nulls as the column's median, 0 where it has none."""
     bad = lambda n: F.col(n).isNull() | F.isnan(n) | (F.abs(n) == float("inf"))
     clean = df.withColumns({n: F.when(~bad(n), F.col(n).cast("double")) for n in columns})
-    row = clean.agg(*[F.percentile(n, 0.5).alias(n) for n in columns]).first()
+    row = column_medians(clean, columns)
     return clean.withColumns({n: F.coalesce(F.col(n), F.lit(row[n] if row[n] is not None else 0.0)) for n in columns})
 
 

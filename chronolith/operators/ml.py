@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .grams import explained, fit_components, fit_motifs, fit_preprocessor, lag_components, motif_weights, subclusters, time_importance  # noqa: F401
 from .joins import range_pairs
+from .percentiles import exact_percentiles, percentile_columns
 from .store import written
 from .windows import global_rank, lag_embedding, running_sums
 
@@ -34,52 +34,6 @@ def normalize(df: DataFrame, columns: Sequence[str], mode: str, fit: DataFrame |
     return df.withColumns({c: (F.col(c) - F.lit(row[f"a{i}"] or 0.0)) / F.lit(row[f"b{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
-def preprocessor(trace: Sequence[str], scalars: Sequence[str], components: int) -> Pipeline:
-    """Medians for nulls, scaling, components of the trace columns, and all of it in `features`."""
-    stages = [Imputer(strategy="median", inputCols=[*trace, *scalars], outputCols=[f"{c}__" for c in (*trace, *scalars)])]
-    stages += [VectorAssembler(inputCols=[f"{c}__" for c in trace], outputCol="__trace"), StandardScaler(withMean=True, inputCol="__trace", outputCol="__scaled")]
-    stages += [PCA(k=components, inputCol="__scaled", outputCol="__pcs")]
-    if scalars:
-        stages += [VectorAssembler(inputCols=[f"{c}__" for c in scalars], outputCol="__scalars"), StandardScaler(withMean=True, inputCol="__scalars", outputCol="__scalars_scaled")]
-    stages += [VectorAssembler(inputCols=["__pcs", *(["__scalars_scaled"] if scalars else [])], outputCol="features")]
-    return Pipeline(stages=stages)
-
-
-def centred(df: DataFrame, trace: str, out: str) -> DataFrame:
-    """df with trace less the table's mean trace, as a vector."""
-    mean = df.select(Summarizer.mean(array_to_vector(F.col(trace))).alias("m")).first()["m"]
-    middle = F.array(*[F.lit(float(x)) for x in (mean.toArray() if mean is not None else [])])
-    return df.withColumn(out, array_to_vector(F.zip_with(F.col(trace), middle, lambda x, m: x - m)))
-
-
-def fit_components(df: DataFrame, trace: str, k: int) -> tuple[PCAModel, DataFrame]:
-    """Components of centred traces, each with its largest loading positive, and df with scores `pcs`."""
-    c = centred(df, trace, "__c")
-    model = PCA(k=k, inputCol="__c", outputCol="__pcs").fit(c)
-    loads = model.pc.toArray()
-    signs = np.sign(loads[np.abs(loads).argmax(0), np.arange(k)])
-    scored = model.transform(c)
-    s = F.array(*[F.lit(float(x)) for x in signs])
-    return model, scored.withColumn("pcs", F.zip_with(vector_to_array("__pcs"), s, lambda x, y: x * y)).drop("__c", "__pcs")
-
-
-def explained(model: PCAModel, spark) -> DataFrame:
-    v = model.explainedVariance.toArray()
-    return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(v)], "component int, variance double")
-
-
-def time_importance(model: PCAModel, spark, top: int) -> DataFrame:
-    """(t, importance): mean absolute loading over the first components; one row a time point."""
-    loads = np.abs(model.pc.toArray()[:, :top]).mean(1)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(loads)], "t int, importance double")
-
-
-def lag_components(trials: DataFrame, trace: str, lag: int, k: int, key: str = "trial") -> DataFrame:
-    """(trial, start, pcs): components of every trial's overlapping windows of `lag` samples."""
-    windows = trials.select(key, F.posexplode(lag_embedding(trace, lag)).alias("start", "window"))
-    return fit_components(windows, "window", k)[1].drop("window")
-
-
 def projection_matrix(projected: DataFrame, points: int, key: str = "trial") -> DataFrame:
     """(trial, flat): the first `points` windows' components, component by component."""
     pairs = F.array_sort(F.collect_list(F.struct("start", "pcs")))
@@ -97,14 +51,54 @@ def with_measurements(df: DataFrame, trace: str, columns: Sequence[str], weight:
     return z.withColumn(trace, F.concat(F.col(trace), F.array(*[weight * F.col(c) for c in columns])))
 
 
-def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster") -> float | None:
-    """Squared-Euclidean silhouette without noise (-1); None with fewer than two clusters."""
+#: Rows of whose distances the Euclidean silhouette takes every one; the table of them is broadcast.
+SILHOUETTE_ROWS = 20_000
+
+
+def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluster", squared: bool = True, most: int = SILHOUETTE_ROWS) -> float | None:
+    """Mean silhouette without noise (-1); None with fewer than two clusters.
+
+    squared takes squared Euclidean distances, for which sums of clusters suffice. Plain
+    ones need every pair of rows: tasks compare theirs with a broadcast table of at most
+    `most` rows; larger tables fall back on squared ones.
+    """
     inside = df.filter(F.col(cluster) >= 0)
     if inside.select(cluster).distinct().limit(2).count() < 2:
         return None
+    if not squared:
+        kind = dict(df.dtypes)[features]
+        points = inside.select(F.col(cluster).cast("long").alias("c"), (vector_to_array(features) if kind == "vector" else F.col(features).cast("array<double>")).alias("x"))
+        if points.limit(most + 1).count() <= most:
+            return _plain_silhouette(points)
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(inside.withColumn(cluster, F.col(cluster).cast("double")))
 
 
+def _plain_silhouette(points: DataFrame) -> float:
+    rows = written(points, "points")
+    table = rows.toArrow()
+    x, label = table["x"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1), table["c"].to_numpy()
+    names = np.unique(label)
+    shared = points.sparkSession.sparkContext.broadcast((x, (label[:, None] == names).astype(float), names))
+
+    def run(batches):
+        every, one_hot, known = shared.value
+        sizes = one_hot.sum(0)
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                own = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                far = np.sqrt(np.maximum(0, ((own[:, None, :] - every[None]) ** 2).sum(2))) @ one_hot
+                at = np.searchsorted(known, b.column(0).to_numpy())
+                i = np.arange(b.num_rows)
+                inner = far[i, at] / np.maximum(sizes[at] - 1, 1)
+                means = far / sizes
+                means[i, at] = np.inf
+                outer = means.min(1)
+                s = np.where(sizes[at] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(s)], ["s"])
+
+    return rows.mapInArrow(run, "s double").agg(F.avg("s")).first()[0]
+
+
 def best_kmeans(df: DataFrame, least: int, most: int, seed: int = 67, features: str = "features") -> DataFrame:
     """df with `cluster` by the k of the best silhouette."""
     best = None
@@ -222,27 +216,10 @@ def density_clusters(points: DataFrame, key: str, coords: Sequence[str], eps: fl
     return out.select(F.col("a").alias(key), F.coalesce("label", "reach", F.lit(-1)).alias("cluster"))
 
 
-def subclusters(df: DataFrame, parents: Sequence[int], k: int, trace: str = "trace", cluster: str = "cluster", seed: int = 67) -> DataFrame:
-    """Rows of the parent clusters with `sub`, from components and bisecting k-means inside each."""
-    parts = []
-    for p in parents:
-        inside = df.filter(F.col(cluster) == p)
-        scored = fit_components(inside, trace, 3)[1].withColumn("features", array_to_vector("pcs"))
-        parts.append(BisectingKMeans(k=k, seed=seed, predictionCol="sub").fit(scored).transform(scored).drop("features", "pcs"))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def membership(df: DataFrame, cluster: str = "cluster", sub: str = "sub") -> DataFrame:
     return df.groupBy(cluster, sub).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(cluster)))
 
 
-def motifs(binned: DataFrame, rank: int, row: str = "trial", col: str = "bin", value: str = "mean", seed: int = 67) -> tuple[DataFrame, DataFrame]:
-    """(row, weights) and (col, weights) of a nonnegative factorisation; negative values count as 0."""
-    x = binned.select(F.col(row).cast("int"), F.col(col).cast("int"), F.greatest(F.lit(0.0), F.col(value)).cast("float").alias(value))
-    m = ALS(rank=rank, maxIter=8, nonnegative=True, userCol=row, itemCol=col, ratingCol=value, seed=seed).fit(x)
-    return m.userFactors.withColumnRenamed("id", row), m.itemFactors.withColumnRenamed("id", col)
-
-
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row `ari` from the counts of pairs of labels."""
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
@@ -353,6 +330,13 @@ def estimator(name: str, weight: str | None = None, seed: int = 67, inputs: int
     raise ValueError(name)
 
 
+def forest_importances(train: DataFrame, columns: Sequence[str], features: str = "features", weight: str | None = "weight", seed: int = 67) -> DataFrame:
+    """(feature, importance, place): a forest's importances, which add up to 1, and their order."""
+    model = estimator("rf", weight, seed).setFeaturesCol(features).fit(train)
+    rows = sorted(zip(columns, model.featureImportances.toArray().tolist(), strict=True), key=lambda r: (-r[1], r[0]))
+    return train.sparkSession.createDataFrame([(c, float(v), i + 1) for i, (c, v) in enumerate(rows)], "feature string, importance double, place int")
+
+
 def one_versus_rest(seed: int = 67) -> OneVsRest:
     return OneVsRest(classifier=GBTClassifier(maxIter=8, maxDepth=3, seed=seed))
 
@@ -409,10 +393,11 @@ def gated_scores(df: DataFrame, features: str = "features", seed: int = 67) -> D
 
 def pseudo_labels(df: DataFrame, value: str, gate: float = 0.42, cuts: Sequence[float] = (0.27, 0.53, 0.73, 0.87)) -> DataFrame:
     """df with `pseudo` 0-5: 0 below the gate's percentile, then by percentiles of those above it."""
-    zero = df.agg(F.percentile(value, gate).alias("q")).first()["q"]
-    above = df.filter(F.col(value) > zero)
-    qs = above.agg(*[F.percentile(value, c).alias(f"q{i}") for i, c in enumerate(cuts)]).first()
-    level = reduce(lambda a, i: a + (F.col(value) > F.lit(qs[f"q{i}"])).cast("int"), range(len(cuts)), F.lit(1))
+    zero = (exact_percentiles(df, value, [gate]).first() or {"percentile": None})["percentile"]
+    above = df.filter(F.col(value) > F.lit(zero))
+    row = percentile_columns(above, value, {f"q{i}": c for i, c in enumerate(cuts)}).first()
+    qs = row.asDict() if row else {}
+    level = reduce(lambda a, i: a + (F.col(value) > F.lit(qs.get(f"q{i}"))).cast("int"), range(len(cuts)), F.lit(1))
     return df.withColumn("pseudo", F.when(F.col(value) <= zero, 0).otherwise(level))
 
 

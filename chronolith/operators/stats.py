@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .percentiles import percentile_columns
 from .store import written
 from .windows import benjamini_hochberg, kaplan_meier, median_survival, runs
 
@@ -161,9 +162,19 @@ def flipped(diffs: DataFrame, perms: int, seed: int, subject: str = "subject", v
     return diffs.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms)))).withColumn(value, F.col(value) * sign)
 
 
-def randomization_test(diffs: DataFrame, perms: int = 200, seed: int = 67, frame: str = "frame", value: str = "diff") -> DataFrame:
-    """(frame, effect, p, q): share of sign-flipped means as far from 0 as the observed, Benjamini-Hochberg."""
-    means = flipped(diffs, perms, seed).groupBy("perm", frame).agg(F.avg(value).alias("m"))
+def randomization_test(diffs: DataFrame, perms: int = 200, seed: int = 67, frame: str = "frame", value: str = "diff", statistic: str = "mean") -> DataFrame:
+    """(frame, effect, p, q): share of sign-flipped means, or medians, as far from 0 as the observed, Benjamini-Hochberg.
+
+    A median is found by ranks in cells of values, so that no task holds a list of a
+    permutation's values.
+    """
+    flips = flipped(diffs, perms, seed)
+    if statistic == "median":
+        means = written(percentile_columns(flips, value, {"m": 0.5}, ["perm", frame], keep=False), "medians")
+    elif statistic == "mean":
+        means = flips.groupBy("perm", frame).agg(F.avg(value).alias("m"))
+    else:
+        raise ValueError(f"no such statistic: {statistic}")
     seen = means.filter("perm = 0").select(frame, F.col("m").alias("effect"))
     far = means.filter("perm > 0").join(seen, frame).groupBy(frame).agg(F.first("effect").alias("effect"), F.count_if(F.abs("m") >= F.abs("effect") - 1e-12).alias("extreme"))
     return benjamini_hochberg(far.select(frame, "effect", ((1 + F.col("extreme")) / F.lit(1.0 + perms)).alias("p")), "p", frame)
@@ -267,9 +278,9 @@ def latencies_at(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[fl
 
 
 def hazard_sweep(frames: DataFrame, keys: Sequence[str], thresholds: Sequence[float], strata: Sequence[str] = ("subject",)) -> DataFrame:
-    """(threshold, beta, hr, ci_low, ci_high, p, best): the stratified Cox model at each threshold; best has the smallest p."""
+    """(threshold, beta, hr, ci_low, ci_high, p, best): the stratified Cox model at each threshold; best is the largest abs(ln HR), of equal ones the first."""
     fits = cox_binary(latencies_at(frames, keys, thresholds), strata, by=["threshold"])
-    first = F.row_number().over(W.orderBy(F.col("p").asc_nulls_last(), "threshold"))  # a row a threshold
+    first = F.row_number().over(W.orderBy(F.abs("beta").desc_nulls_last(), "threshold"))  # a row a threshold
     return fits.withColumn("best", first == 1)
 
 

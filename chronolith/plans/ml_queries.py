@@ -12,6 +12,7 @@ from ..functions import signal as G
 from ..operators import aggregate as A
 from ..operators import features as FE
 from ..operators import ml as M
+from ..operators import models as O
 from ..operators.windows import cumulative_variance, time_bins
 from . import fixtures as X
 from .fixtures import FRAMES, PREDICTIONS, SAMPLES, TRACES, with_
@@ -159,17 +160,22 @@ def ml01_normalize(spark, sf):
     return M.normalize(M.normalize(p, ["x"], "zscore"), ["y"], "minmax")
 
 
-def _points(spark, sf, n: int = 8):
-    t = X.traces(spark, sf)
-    return t.select("trial", "cluster", *[_C("trace")[i].alias(f"v{i}") for i in range(n)])
+def _scores(spark, sf, k: int):
+    """(trial, given, pcs): scores of k components of whole traces."""
+    return M.fit_components(X.traces(spark, sf), "trace", k)[1].select("trial", F.col("cluster").alias("given"), "pcs")
+
+
+def _points(spark, sf, n: int):
+    return _scores(spark, sf, n).select("trial", *[_C("pcs")[i].alias(f"v{i}") for i in range(n)])
 
 
 @query()
 def ml02_preprocessor(spark, sf):
-    p = _points(spark, sf).withColumn("v7", F.when(_C("trial") % 5 != 0, _C("v7")))
-    pipe = M.preprocessor([f"v{i}" for i in range(7)], ["v7"], 3)
-    out = pipe.fit(p).transform(p)
-    return out.select("trial", F.size(M.vector_to_array("features")).cast("long").alias("n"), F.abs(M.vector_to_array("features")[3]).alias("scalar"))
+    names = [f"v{i}" for i in range(64)]
+    p = X.traces(spark, sf).select("trial", *[_C("trace")[i].alias(c) for i, c in enumerate(names)])
+    p = p.withColumns({"v7": F.when(_C("trial") % 5 != 0, _C("v7")), "scalar": F.when(_C("trial") % 3 != 0, _C("trial") % 11)})
+    out = M.fit_preprocessor(p, names, ["scalar"], 3).transform(p)
+    return out.select("trial", *[_C("features")[i].alias(n) for i, n in enumerate(("pc1", "pc2", "pc3", "scaled"))])
 
 
 @query()
@@ -201,7 +207,7 @@ def ml06_measurement_columns(spark, sf):
 
 
 def _vectors(spark, sf):
-    return X.traces(spark, sf).select("trial", "cluster", array_to_vector(F.slice("trace", 1, 6)).alias("features")).withColumnRenamed("cluster", "given")
+    return M.written(_scores(spark, sf, 6), "scores").select("trial", "given", array_to_vector("pcs").alias("features"))
 
 
 @query()
@@ -216,7 +222,7 @@ def ml08_mixture_grid(spark, sf):
 
 @query()
 def ml08_diagonal_mixture(spark, sf):
-    out, ll = M.diagonal_mixture(_points(spark, sf, 3).drop("cluster"), ["v0", "v1", "v2"], 3)
+    out, ll = M.diagonal_mixture(_points(spark, sf, 3), ["v0", "v1", "v2"], 3)
     return out.groupBy("cluster").agg(F.count("*").alias("n"), F.lit(ll).alias("log_likelihood"))
 
 
@@ -227,12 +233,12 @@ def ml08_best_mixture(spark, sf):
 
 @query()
 def ml09_density_clusters(spark, sf):
-    return M.density_clusters(_points(spark, sf, 2), "trial", ["v0", "v1"], 0.02, 4)
+    return M.density_clusters(_points(spark, sf, 2), "trial", ["v0", "v1"], 0.05, 4)
 
 
 @query()
 def ml10_subclusters(spark, sf):
-    return M.membership(M.subclusters(X.traces(spark, sf), [0, 1], 2))
+    return M.membership(M.subclusters(X.traces(spark, sf), 2))
 
 
 @query()
@@ -245,23 +251,30 @@ def ml11_reaction_profiles(spark, sf):
     return M.best_kmeans(vec, 2, 3).select("trial", "cluster")
 
 
+def _binned(spark, sf):
+    """(trial, x): means of bins of 8 samples, in order."""
+    bins = time_bins(X.samples(spark, sf), ["trial"], "t", "v", 0, 64, 8)
+    return bins.groupBy("trial").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mean"))), lambda b: b["mean"]).alias("x"))  # 8 bins a trial
+
+
 @query()
 def ml12_motifs(spark, sf):
-    bins = time_bins(X.samples(spark, sf), ["trial"], "t", "v", 0, 64, 8)
-    return M.motifs(bins, 3)[0].select("trial", *[_C("features")[i].alias(f"motif{i}") for i in range(3)])
+    rows = M.written(_binned(spark, sf), "binned")
+    motifs = M.fit_motifs(rows, "x", 3)
+    w = M.motif_weights(_C("x"), motifs)
+    return rows.withColumn("w", w).select("trial", *[_C("w")[i].alias(f"motif{i}") for i in range(3)], F.lit(motifs.explained).alias("explained"))
 
 
 @query()
 def ml13_projection_matrix(spark, sf):
     flat = M.projection_matrix(M.lag_components(X.traces(spark, sf), "trace", 16, 2), 20)
-    return flat.select("trial", F.size("flat").cast("long").alias("n"), F.abs(_C("flat")[0]).alias("first"), F.abs(F.element_at("flat", -1)).alias("last"))
+    return flat.select("trial", F.posexplode("flat").alias("place", "score"))
 
 
 @query()
 def ml14_silhouette(spark, sf):
     v = _vectors(spark, sf).withColumn("cluster", F.when(_C("trial") % 50 == 0, -1).otherwise(_C("given")))
-    score = M.silhouette(v)
-    return v.agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(score))
+    return v.agg(F.count("*").alias("n")).withColumns({"silhouette": F.lit(M.silhouette(v, squared=False)), "squared": F.lit(M.silhouette(v))})
 
 
 @query(
@@ -281,19 +294,33 @@ def ml16_calinski_harabasz(spark, sf):
     return M.calinski_harabasz(X.samples(spark, sf))
 
 
+_LEARNED = ["value_mean", "value_std", "value_min", "value_max", "frame_count"]
+
+
 def _learnable(spark, sf):
     """A feature row a trial with label, weight, split and intensity."""
     agg = A.aggregate_trials(X.frames(spark, sf), X.KEYS, ["value"], ["mean", "std", "min", "max"]).na.fill(0.0)
     rows = agg.join(X.predictions(spark, sf).select(*X.KEYS, "label", "weight", "split", "intensity"), X.KEYS)
-    cols = ["value_mean", "value_std", "value_min", "value_max", "frame_count"]
+    cols = _LEARNED
     rows = VectorAssembler(inputCols=cols, outputCol="features").transform(M.normalize(rows, cols, "zscore", rows.filter("split = 'train'")))
     return M.written(rows.select(*X.KEYS, F.col("label").cast("double").alias("label"), "weight", "split", "intensity", "features", *cols), "learnable")
 
 
+def _arrays(spark, sf):
+    return _learnable(spark, sf).withColumn("features", M.vector_to_array("features"))
+
+
 @query()
 def ml17_linear_probe(spark, sf):
-    rows = M.group_folds(_learnable(spark, sf), 5)
-    return M.cross_validate(rows, "logreg", 5).groupBy("fold").agg(F.avg((_C("label") == _C("predicted")).cast("double")).alias("accuracy"))
+    rows = O.stratified_folds(_arrays(spark, sf), 5, "label", X.KEYS)
+    return O.fold_metrics(O.out_of_fold(rows, "features", "label", X.KEYS), ["fold"]).select("fold", "n", "accuracy")
+
+
+@query()
+def ml18_leave_subjects_out(spark, sf):
+    scored = O.leave_subjects_out(_arrays(spark, sf), "features", "label", X.KEYS)
+    sizes = scored.agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"), F.first("folds_by").alias("folds_by"))
+    return sizes.join(M.auroc(scored, "label", "prob"), F.lit(True)).join(M.average_precision(scored, "label", "prob"), F.lit(True))
 
 
 _AUC = """asc_ AS (SELECT prob, sum(label) AS pos, count(*) - sum(label) AS neg, count(*) AS n FROM preds GROUP BY prob), aw AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
@@ -322,17 +349,40 @@ def _trained(name: str):
     return run
 
 
-for _n, _m in (("ml20_logistic", "logreg"), ("ml21_forest", "rf"), ("ml22_network", "mlp"), ("ml23_boosting", "gbt")):
+for _n, _m in (("ml20_logistic", "logreg"), ("ml21_forest", "rf"), ("ml23_boosting", "gbt")):
     _f = _trained(_m)
     _f.__name__ = _n
     query()(_f)
 
 
+@query()
+def ml21_importances(spark, sf):
+    rows = _learnable(spark, sf)
+    return M.forest_importances(rows.filter("split = 'train'"), _LEARNED)
+
+
+def _network(spark, sf, hidden, class_weights=None):
+    rows = O.example_table(_arrays(spark, sf), "features", "label", "weight", [*X.KEYS, "split"])
+    net, _ = O.fit_network(rows.filter("split = 'train'"), hidden, 2, reg=1.0, class_weights=class_weights, tol=1e-2)
+    out = O.network_scores(rows, net, [*X.KEYS, "split"]).select(*X.KEYS, "split", _C("y").cast("int").alias("label"), "predicted")
+    return A.binary_metrics(out, ["split"])
+
+
+@query()
+def ml22_network(spark, sf):
+    return _network(spark, sf, [8])
+
+
+@query()
+def ml22_two_layers(spark, sf):
+    return _network(spark, sf, [8, 4], [1.0, 3.0])
+
+
 @query()
 def ml23_ordinal(spark, sf):
     rows = _learnable(spark, sf).withColumn("label", _C("intensity").cast("double"))
     model = M.one_versus_rest().fit(rows.filter("split = 'train'"))
-    return model.transform(rows).groupBy("intensity", _C("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    return model.transform(rows).select(*X.KEYS, "intensity", _C("prediction").cast("int").alias("predicted"))
 
 
 @query(with_(FRAMES, PREDICTIONS) + f"SELECT {_K}, CAST(i AS INTEGER) AS copy FROM preds, range(1, 6) r(i) WHERE i <= greatest(1, CAST(round_even(weight, 0) AS INTEGER))")
@@ -394,6 +444,17 @@ def ml30_sweep(spark, sf):
     return M.sweep(_learnable(spark, sf), [1e-3, 1e-1], [0.5, 1.0])
 
 
+@query()
+def ml30_random_search(spark, sf):
+    return O.random_search(M.group_folds(_arrays(spark, sf), 5), O.drawn(8), "features", "label", "weight")
+
+
+@query()
+def ml31_seeds(spark, sf):
+    rows = _arrays(spark, sf).drop("split")
+    return O.seeded_comparison(rows, "features", "label", X.KEYS, seeds=(1, 2, 3))
+
+
 @query()
 def ml31_split_strategies(spark, sf):
     rows = _learnable(spark, sf).drop("split")
@@ -407,7 +468,7 @@ def ml31_split_strategies(spark, sf):
 
 @query()
 def ml32_gated_scores(spark, sf):
-    return M.gated_scores(_learnable(spark, sf)).groupBy("intensity", "score").agg(F.count("*").alias("n"))
+    return M.gated_scores(_learnable(spark, sf)).select(*X.KEYS, "intensity", "p_react", "score")
 
 
 _Q = [0.27, 0.53, 0.73, 0.87]

@@ -107,6 +107,17 @@ def h05_randomization(spark, sf):
     return H.randomization_test(diffs(spark, sf), _PERMS)
 
 
+@query(
+    with_(*_D, _FLIP)
+    + f""", m AS (SELECT perm, frame, quantile_cont(diff, 0.5) AS m FROM flip GROUP BY ALL), o AS (SELECT frame, m AS effect FROM m WHERE perm = 0),
+p AS (SELECT frame, max(effect) AS effect, (1 + count(*) FILTER (WHERE abs(m) >= abs(effect) - 1e-12)) / CAST({_PERMS + 1} AS DOUBLE) AS p FROM m JOIN o USING (frame) WHERE perm > 0 GROUP BY frame),
+r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, frame) AS raw FROM p)
+SELECT frame, {R('effect', 'effect')}, {R('p', 'p')}, {R('least(1.0, min(raw) OVER (ORDER BY p DESC, frame DESC ROWS UNBOUNDED PRECEDING))', 'q')} FROM r"""
+)
+def h05_median_randomization(spark, sf):
+    return H.randomization_test(diffs(spark, sf), _PERMS, statistic="median")
+
+
 @query(
     with_(*_D, _FLIP)
     + f""", t AS (SELECT perm, frame, avg(diff) / (stddev_samp(diff) / sqrt(count(*))) AS t FROM flip GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(diff) > 0),
