@@ -116,13 +116,7 @@ def signed_rank_counts(n: int) -> list[int]:
 
 def wilcoxon_exact(tests: DataFrame, most: int = 50) -> DataFrame:
     """wilcoxon's rows with p_exact where n <= most and nothing is zero or tied; the table is n's own."""
-    rows = []
-    for n in range(1, most + 1):
-        counts, tail = signed_rank_counts(n), 0
-        for w, c in enumerate(counts[: len(counts) // 2 + 1]):
-            tail += c
-            rows.append((n, w, min(1.0, 2 * tail / 2**n)))
-    table = tests.sparkSession.createDataFrame(rows, "n long, low int, p_exact double")
+    table = tests.sparkSession.createDataFrame(signed_rank_tails(most), "n long, low int, p_exact double")
     low = F.least(F.col("w_plus"), F.col("n") * (F.col("n") + 1) / 2 - F.col("w_plus"))
     keyed = tests.withColumn("low", F.when((F.col("zeros") == 0) & (low == F.floor(low)), low.cast("int")))
     return keyed.join(F.broadcast(table), ["n", "low"], "left").drop("low")
@@ -192,6 +186,109 @@ def cluster_permutation(diffs: DataFrame, perms: int = 200, seed: int = 67, thre
     return met.groupBy("start", "end", "length", "mass").agg(((1 + F.count("top")) / F.lit(1.0 + perms)).alias("p"))
 
 
+def signed_rank_tails(most: int = 50) -> list[tuple[int, int, float]]:
+    """(n, smaller rank sum, exact two-sided p) of signed ranks without ties."""
+    rows = []
+    for n in range(1, most + 1):
+        counts, tail = signed_rank_counts(n), 0
+        for w, c in enumerate(counts[: len(counts) // 2 + 1]):
+            tail += c
+            rows.append((n, w, min(1.0, 2 * tail / 2**n)))
+    return rows
+
+
+def permuted_statistics(diffs: DataFrame, perms: int, seed: int, method: str, frame: str = "frame", value: str = "diff") -> DataFrame:
+    """(perm, frame, statistic, p) of sign-flipped differences, permutation 0 as they are.
+
+    t: Student's; without spread it is infinite, or 0 with p 1 where the mean is 0 too.
+    wilcoxon: the smaller rank sum, zeros dropped, p exact for 50 differences at most
+    without zeros or ties, else normal with tie and continuity correction; ranks are those
+    of absolute differences, which flips leave alone. Fewer than two differences give none.
+    """
+    if method == "t":
+        s = flipped(diffs, perms, seed).groupBy("perm", frame).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd")).filter("n > 1")
+        flat = F.col("sd") <= 1e-12
+        endless = F.signum("m") * F.lit(float("inf"))
+        t = F.when(~flat, F.col("m") / (F.col("sd") / F.sqrt("n"))).when(F.abs("m") > 1e-12, endless).otherwise(0.0)
+        p = F.when(~flat, t_two_sided(t, F.col("n") - 1.0)).when(F.abs("m") > 1e-12, 0.0).otherwise(1.0)
+        return s.select("perm", frame, t.alias("statistic"), p.alias("p"))
+    if method != "wilcoxon":
+        raise ValueError(f"no such statistic: {method}")
+    exact = diffs.filter(F.col(value).isNotNull()).withColumn(value, F.round(value, 9))
+    sizes = exact.groupBy(frame).agg(F.count("*").alias("all")).filter("all > 1")
+    ranked = written(average_ranks(exact.filter(F.col(value) != 0), [frame], F.abs(value)).join(sizes, frame), "ranked")
+    up, k, n = F.col(value) > 0, F.col("rank"), F.col("n").cast("double")
+    s = flipped(ranked, perms, seed).groupBy("perm", frame).agg(
+        F.count("*").alias("n"), F.max("all").alias("all"), F.max("ties").alias("most_ties"), F.sum(F.col("ties") ** 2 - 1).alias("tied"),
+        F.coalesce(F.sum(F.when(up, k)), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(~up, k)), F.lit(0.0)).alias("minus"),
+    )
+    table = diffs.sparkSession.createDataFrame(signed_rank_tails(), "__n long, __low int, p_exact double")
+    low = F.least("plus", "minus")
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48
+    z = F.when(var > 0, (F.abs(low - mean) - 0.5) / F.sqrt(var))
+    alone = (F.col("n") == F.col("all")) & (F.col("most_ties") == 1)
+    s = s.withColumns({"statistic": low, "__at": F.when(alone, low.cast("int")), "approx": F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * normal_sf(z)))})
+    s = s.join(F.broadcast(table), (F.col("n") == F.col("__n")) & (F.col("__at") == F.col("__low")), "left")
+    return s.select("perm", frame, "statistic", F.coalesce("p_exact", "approx").alias("p"))
+
+
+def cluster_test(diffs: DataFrame, perms: int = 200, seed: int = 67, alpha: float = 0.05, method: str = "t", frame: str = "frame", value: str = "diff") -> tuple[DataFrame, DataFrame]:
+    """(clusters, times) of runs of frames of one sign whose p is below alpha.
+
+    clusters(cluster_id, start, end, length, sign, mass, p_cluster): numbered by start; mass
+    is the sum of absolute statistics, p_cluster the share of permutations whose largest
+    mass is as large, 0 for those without a run. times(frame, statistic, p, cluster_id,
+    p_cluster) has every frame; cluster_id is 0 outside of clusters.
+    """
+    s = written(permuted_statistics(diffs, perms, seed, method, frame, value), "statistics")
+    cut = s.filter((F.col("p") < alpha) & (F.col("statistic") != 0)).withColumn("sign", F.signum("statistic").cast("int"))
+    island = F.col(frame) - F.row_number().over(W.partitionBy("perm", "sign").orderBy(frame))
+    runs_ = cut.withColumn("island", island).groupBy("perm", "sign", "island").agg(F.min(frame).alias("start"), F.max(frame).alias("end"), F.count("*").alias("length"), F.sum(F.abs("statistic")).alias("mass"))
+    runs_ = written(runs_, "runs")
+    top = runs_.filter("perm > 0").groupBy("perm").agg(F.max("mass").alias("top"))
+    seen = runs_.filter("perm = 0").drop("perm", "island")
+    met = seen.join(top, F.col("top") >= F.col("mass") - 1e-9, "left")  # a row for each of the few runs and permutations
+    found = met.groupBy("start", "end", "length", "sign", "mass").agg(((1 + F.count("top")) / F.lit(1.0 + perms)).alias("p_cluster"))
+    found = written(found.withColumn("cluster_id", F.row_number().over(W.orderBy("start"))), "clusters")  # a row a run
+    times = s.filter("perm = 0").select(frame, "statistic", "p")
+    inside = times.join(F.broadcast(found), (F.col(frame) >= F.col("start")) & (F.col(frame) <= F.col("end")), "left")
+    return found.select("cluster_id", "start", "end", "length", "sign", "mass", "p_cluster"), inside.select(frame, "statistic", "p", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"), "p_cluster")
+
+
+def summary_rows(clusters: DataFrame | None = None, survival: DataFrame | None = None, hazards: DataFrame | None = None, spline: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
+    """(section, item, figure, value): what a report says of clusters, survival and a spline, one figure a row.
+
+    clusters is cluster_test's: how many there are and are significant, and each significant
+    one's start, end, mass and p, by p, then start. survival is survival_sweep's and hazards
+    hazard_sweep's, an item a threshold; of the spline the largest absolute difference, its
+    frame, and the Wald test of the groups' shapes.
+    """
+    parts = []
+
+    def rows(df: DataFrame, section: str, item: Column, figures: Sequence[str]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(f).alias("figure"), F.col(f).cast("double").alias("value")) for f in figures])
+        return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), F.explode(each).alias("x")).select("section", "item", "x.*")
+
+    if clusters is not None:
+        significant = clusters.filter(F.col("p_cluster") < alpha)
+        counts = clusters.agg(F.count("*").alias("clusters"), F.count_if(F.col("p_cluster") < alpha).alias("significant"))
+        place = F.row_number().over(W.orderBy("p_cluster", "start"))  # a row a cluster
+        parts += [rows(counts, "clusters", F.lit("all"), ["clusters", "significant"]), rows(significant.withColumn("place", place), "clusters", F.col("place"), ["start", "end", "sign", "mass", "p_cluster"])]
+    if survival is not None:
+        parts.append(rows(survival, "survival", F.col("threshold"), ["chi2", "p", "median_a", "median_b"]))
+    if hazards is not None:
+        parts.append(rows(hazards.withColumn("best", F.col("best").cast("int")), "hazard", F.col("threshold"), ["hr", "ci_low", "ci_high", "p", "best"]))
+    if spline is not None:
+        peak = spline.orderBy(F.abs("difference").desc(), "frame").limit(1).select(F.abs("difference").alias("peak_difference"), F.col("frame").alias("peak_frame"), "wald", "wald_p")
+        parts.append(rows(peak, "spline", F.lit("all"), ["peak_difference", "peak_frame", "wald", "wald_p"]))
+    if not parts:
+        raise ValueError("nothing to summarise")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def equivalence(diffs: DataFrame, by: str = "frame", value: str = "diff", margin: float | None = None, sd_share: float = 0.5) -> DataFrame:
     """(by, n, mean, margin, p_low, p_high, p): two one-sided t tests against +-margin, or a share of the deviation."""
     s = diffs.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).filter("n > 1 and sd > 0")

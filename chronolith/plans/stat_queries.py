@@ -129,6 +129,35 @@ def h06_cluster_permutation(spark, sf):
     return H.cluster_permutation(diffs(spark, sf), _PERMS, threshold=1.0)
 
 
+_CUT = 0.2
+_CLUSTERS = f""", t0 AS (SELECT perm, frame, count(*) AS n, avg(diff) / (stddev_samp(diff) / sqrt(count(*))) AS t FROM flip GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(diff) > 1e-12),
+t1 AS (SELECT *, 2 * ({_sf('abs(t)', '(n - 1)')}) AS p FROM t0), i AS (SELECT *, sign(t) AS side, frame - row_number() OVER (PARTITION BY perm, sign(t) ORDER BY frame) AS island FROM t1 WHERE p < {_CUT}),
+c AS (SELECT perm, min(frame) AS "start", max(frame) AS "end", count(*) AS length, CAST(side AS INTEGER) AS sign, sum(abs(t)) AS mass FROM i GROUP BY perm, side, island), x AS (SELECT perm, max(mass) AS top FROM c WHERE perm > 0 GROUP BY perm),
+cl AS (SELECT CAST(row_number() OVER (ORDER BY "start") AS INTEGER) AS cluster_id, "start", "end", length, sign, mass, (1 + (SELECT count(*) FROM x WHERE top >= mass - 1e-9)) / CAST({_PERMS + 1} AS DOUBLE) AS p_cluster FROM c WHERE perm = 0)"""
+
+
+@query(with_(*_D, _FLIP) + _CLUSTERS + f' SELECT cluster_id, "start", "end", length, sign, {R("mass", "mass")}, {R("p_cluster", "p_cluster")} FROM cl')
+def h06_clusters(spark, sf):
+    return H.cluster_test(diffs(spark, sf), _PERMS, alpha=_CUT)[0]
+
+
+@query(with_(*_D, _FLIP) + _CLUSTERS + f' SELECT frame, {R("t", "statistic")}, {R("p", "p")}, coalesce(cluster_id, 0) AS cluster_id, {R("p_cluster", "p_cluster")} FROM t1 LEFT JOIN cl ON frame BETWEEN "start" AND "end" WHERE perm = 0')
+def h06_cluster_times(spark, sf):
+    return H.cluster_test(diffs(spark, sf), _PERMS, alpha=_CUT)[1]
+
+
+@query()
+def h06_wilcoxon_clusters(spark, sf):
+    return H.cluster_test(diffs(spark, sf), _PERMS, alpha=_CUT, method="wilcoxon")[1]
+
+
+@query()
+def h13_sections(spark, sf):
+    frames = X.frames(spark, sf)
+    sweep = [50, 75, 100]
+    return H.summary_rows(H.cluster_test(diffs(spark, sf), _PERMS, alpha=_CUT)[0], H.survival_sweep(frames, X.KEYS, sweep), H.hazard_sweep(frames, X.KEYS, sweep), H.mixed_spline(_grouped(spark, sf), 12), alpha=0.5)
+
+
 @query(
     with_(*_D, _MOM)
     + f""", e AS (SELECT *, (mean + 0.5 * sd) / (sd / sqrt(n)) AS tl, (0.5 * sd - mean) / (sd / sqrt(n)) AS th FROM mom WHERE n > 1 AND sd > 0), p AS (SELECT *, {_sf('tl', '(n - 1)')} AS pl, {_sf('th', '(n - 1)')} AS ph FROM e)
