@@ -148,7 +148,9 @@ def g09_preprocess(spark, sf):
 
 @query()
 def g10_feature_table(spark, sf):
-    return FE.feature_table(FE.preprocess(X.traces(spark, sf), "trace", 20), "trial", "trace", 20, 40.0, bands=_BANDS)
+    rows = M.written(FE.preprocess(X.traces(spark, sf), "trace", 20), "preprocessed")
+    table = M.written(FE.feature_table(rows, "trial", "trace", 20, 40.0, bands=_BANDS), "features")
+    return table.join(FE.component_features(rows, "trial", "trace", 20, 40.0, table, 16, split=0.4), "trial", "left")
 
 
 @query(
