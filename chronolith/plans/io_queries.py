@@ -200,6 +200,26 @@ def st1_trial_aggregates(spark, sf):
     return ST.run_to_end(ST.trial_aggregates(_streamed(spark, sf), X.KEYS, ["value"]), "complete", "aggregates")
 
 
+def _by_days(spark, sf):
+    """A stream of events in files that follow each other in time, one a batch."""
+    path = scratch(spark, "days")
+    events = X.table(spark, sf, "events")
+    for low, high in ((1, 8), (8, 15), (15, 22), (22, 32)):
+        events.filter((F.day("ts") >= low) & (F.day("ts") < high)).coalesce(1).write.mode("append").parquet(path)
+    return ST.frame_stream(spark, path, 1)
+
+
+@query(
+    f"""SELECT user_id, event_type, count(*) AS frame_count, {R('avg(value)', 'value_mean')}, {R('stddev_samp(value)', 'value_std')}, {R('min(value)', 'value_min')}, {R('max(value)', 'value_max')}, {R('sum(value)', 'value_sum')},
+ {R('arg_min(value, event_id)', 'value_first')}, {R('arg_max(value, event_id)', 'value_last')} FROM events GROUP BY user_id, event_type"""
+)
+def st1_windowed_aggregates(spark, sf):
+    """State ends with each day's window; a day's late rows may come for two days."""
+    sums = ST.trial_sums(_by_days(spark, sf), ["user_id", "event_type"], ["value"], "ts", "1 day", "2 days", "event_id")
+    rows, _ = ST.run_updates(sums, ["window_start", "user_id", "event_type"], "sums")
+    return ST.merged_aggregates(rows, ["user_id", "event_type"], ["value"])
+
+
 @query(with_(FRAMES, _FLAGS) + RESPONDER)
 def st2_responders(spark, sf):
     return ST.run_to_end(ST.responders(P.epoch_flags(_streamed(spark, sf)), X.KEYS, fps=X.FPS), "complete", "responders")

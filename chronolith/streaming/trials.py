@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -26,6 +29,55 @@ def trial_aggregates(stream: DataFrame, keys: Sequence[str], values: Sequence[st
     return aggregate_trials(stream, keys, values, stats)
 
 
+def trial_sums(stream: DataFrame, keys: Sequence[str], values: Sequence[str], time: str, window: str, late: str, frame: str) -> DataFrame:
+    """Sums of each trial and event-time window from which merged_aggregates makes its figures; for update or append mode.
+
+    The state of a window is dropped once the watermark, `late` behind the newest row, has
+    passed its end, so that state is as large as what is still open; rows for a window that
+    is gone are dropped. Figures of a window: count, and of each value its number, mean, sum
+    of squared deviations, least, greatest, and its first and last by frame. A time without
+    a zone counts as UTC.
+    """
+    if dict(stream.dtypes)[time] == "timestamp_ntz":
+        stream = stream.withColumn(time, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(time)).cast("timestamp"))
+    figures = [F.count("*").alias("frame_count")]
+    for v in values:
+        there = F.when(F.col(v).isNotNull(), F.struct(F.col(frame).alias("at"), F.col(v).alias("v")))
+        spread = (F.var_pop(v) * F.count(v)).alias(f"{v}_m2")
+        figures += [F.count(v).alias(f"{v}_n"), F.avg(v).alias(f"{v}_mean"), spread, F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.min(there).alias(f"{v}_first"), F.max(there).alias(f"{v}_last")]
+    sums = stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(*figures)
+    return sums.select(F.col("window.start").alias("window_start"), *keys, *[c for c in sums.columns if c not in ("window", *keys)])
+
+
+def merged_aggregates(sums: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(keys, frame_count, and of each value mean, sample deviation, min, max, sum, first and last) of trials over all their windows."""
+    means = sums
+    for v in values:  # the trial's mean, for the squares between windows
+        means = means.withColumns({f"__{v}": F.try_divide(F.sum(F.col(f"{v}_mean") * F.col(f"{v}_n")).over(W.partitionBy(*keys)), F.sum(f"{v}_n").over(W.partitionBy(*keys)))})
+    out = [F.sum("frame_count").alias("frame_count")]
+    for v in values:
+        n, far = F.sum(f"{v}_n"), F.col(f"{v}_mean") - F.col(f"__{v}")
+        squares = F.sum(F.col(f"{v}_m2") + F.col(f"{v}_n") * far * far)
+        out += [F.max(f"__{v}").alias(f"{v}_mean"), F.when(n > 1, F.sqrt(squares / (n - 1))).alias(f"{v}_std"), F.min(f"{v}_min").alias(f"{v}_min"), F.max(f"{v}_max").alias(f"{v}_max"), F.sum(F.col(f"{v}_mean") * F.col(f"{v}_n")).alias(f"{v}_sum"), F.min(f"{v}_first")["v"].alias(f"{v}_first"), F.max(f"{v}_last")["v"].alias(f"{v}_last")]
+    return means.groupBy(*keys).agg(*out)
+
+
+def run_updates(result: DataFrame, keys: Sequence[str], name: str) -> tuple[DataFrame, list[dict]]:
+    """(the last row of every key, progress of every batch) of a stream in update mode that is processed to its end.
+
+    A batch overwrites a folder of its own number, so that one that is run again leaves no
+    second copy; of the rows of a key that of the latest batch counts.
+    """
+    spark = result.sparkSession
+    out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    query = result.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    finish(query)
+    rows = spark.read.option("basePath", out).schema(T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in result.columns if c not in keys]), "batch").alias("x"))
+    return latest.select(*keys, "x.*").select(*result.columns), [dict(p) if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+
+
 def windowed_counts(stream: DataFrame, time: str, kind: str, window: str, late: str) -> DataFrame:
     """(start, kind, n, total) by event-time window; rows later than the watermark are dropped.
 
