@@ -103,14 +103,16 @@ def code_map(codes: Column) -> Column:
     """A JSON text as a map of code to text.
 
     A map, one nested under a known name, a list (codes are places from 0), or lists of
-    texts and of their codes, which count from 0 where their numbers differ.
+    texts and of their codes, which count from 0 where their numbers differ. Of a repeated
+    code the first text counts, and a null one is none.
     """
     flat = "map<string,string>"
     m = F.from_json(codes, flat)
     of = lambda names, kind: F.coalesce(*[F.from_json(F.try_element_at(m, F.lit(n)), kind) for n in names])
     places = lambda a: F.when(F.size(a) > 0, F.transform(a, lambda _, i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
     plain, texts, keys = F.from_json(codes, "array<string>"), of(LISTED, "array<string>"), of(PAIRED, "array<string>")
-    paired = F.when(F.size(keys) == F.size(texts), F.map_from_arrays(keys, texts)).otherwise(F.map_from_arrays(places(texts), texts))
+    first = F.filter(F.arrays_zip(keys.alias("k"), texts.alias("v")), lambda x, i: x["k"].isNotNull() & (F.array_position(keys, x["k"]) == i + 1))
+    paired = F.when(F.size(keys) == F.size(texts), F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))).otherwise(F.map_from_arrays(places(texts), texts))
     listed = F.when(F.startswith(F.ltrim(codes), F.lit("[")), F.map_from_arrays(places(plain), plain))
     return F.coalesce(listed, of(NESTED, flat), F.when(texts.isNotNull(), paired), m)
 

@@ -72,16 +72,27 @@ def butterworth(cutoff: float, fps: float) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def _filtered(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows of x, all a step at a time."""
     for b, a in sections:
-        gain = b.sum() / a.sum()
-        y = np.full(len(x) + 2, x[0] * gain)
-        u = np.r_[x[0], x[0], x]
-        for i in range(2, len(u)):
-            y[i] = sum(b[j] * u[i - j] for j in range(len(b))) - sum(a[j] * y[i - j] for j in range(1, len(a)))
-        x = y[2:]
+        start = x[:, :1]
+        u = np.hstack([start, start, x])
+        fed = sum(b[j] * u[:, 2 - j : u.shape[1] - j] for j in range(len(b)))
+        y = np.repeat(start * (b.sum() / a.sum()), u.shape[1], axis=1)
+        for i in range(x.shape[1]):
+            y[:, i + 2] = fed[:, i] - sum(a[j] * y[:, i + 2 - j] for j in range(1, len(a)))
+        x = y[:, 2:]
     return x
 
 
+def _lowpassed(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Traces of one length, a row each."""
+    pad = min(12, x.shape[1] - 1)
+    if pad < 1:
+        return x
+    y = np.hstack([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]])
+    return _filtered(_filtered(y, sections)[:, ::-1], sections)[:, ::-1][:, pad : pad + x.shape[1]]
+
+
 def lowpass(trace: Column, cutoff: float, fps: float) -> Column:
     """Zero-phase third-order Butterworth low-pass: forward, then backward, ends mirrored about their value."""
     return _lowpass_udf(cutoff, fps)(trace)
@@ -92,13 +103,13 @@ def _lowpass_udf(cutoff: float, fps: float):
 
     @F.pandas_udf(DOUBLES)
     def run(s: pd.Series) -> pd.Series:
-        out = []
-        for x in _traces(s):
-            pad = min(12, len(x) - 1)
-            if pad > 0:
-                y = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
-                x = _filtered(_filtered(y, sections)[::-1], sections)[::-1][pad : pad + len(x)]
-            out.append(x)
+        traces = list(_traces(s))
+        sizes = np.array([len(x) for x in traces])
+        out: list[np.ndarray] = [np.zeros(0)] * len(traces)
+        for n in set(sizes.tolist()) - {0}:
+            at = np.flatnonzero(sizes == n)
+            for k, x in zip(at.tolist(), _lowpassed(np.stack([traces[k] for k in at]), sections), strict=True):
+                out[k] = x
         return pd.Series(out)
 
     return run

@@ -17,6 +17,7 @@ from ..operators.windows import cumulative_variance, time_bins
 from . import fixtures as X
 from .fixtures import FRAMES, PREDICTIONS, SAMPLES, TRACES, with_
 from .registry import R, query
+from .stat_queries import _nsf, _t2
 
 _K = "dataset, subject, trial"
 _C = F.col
@@ -511,7 +512,8 @@ def ud2_segments(spark, sf):
     return spark.sql("SELECT trial, s.* FROM chronolith_traces, LATERAL segments(40.0D, 2.0D, 1000 + cluster) s")
 
 
-@query("SELECT vec_id AS trial, round(0.3173105, 4) AS p1, round(0.0455003, 4) AS p2, round(0.0500, 4) AS p3 FROM embeddings")
+@query(f"""WITH z AS (SELECT vec_id AS trial, CAST(embedding[1] AS DOUBLE) * 9 AS a, CAST(embedding[2] AS DOUBLE) * 9 AS b, CAST(embedding[3] AS DOUBLE) * 9 AS c FROM embeddings)
+SELECT trial, {R(_nsf('a'), 'normal')}, {R('2 * (' + _nsf('abs(b)') + ')', 'chi2')}, {R(_t2('c', '10'), 't')} FROM z""")
 def ud4_tails(spark, sf):
     _views(spark, sf)
-    return spark.sql("SELECT trial, round(chi2_1_sf(1.0D), 4) AS p1, round(2 * normal_sf(2.0D), 4) AS p2, round(t_two_sided(2.228139D, 10D), 4) AS p3 FROM chronolith_traces")
+    return spark.sql("SELECT trial, normal_sf(trace[0] * 9) AS normal, chi2_1_sf(pow(trace[1] * 9, 2)) AS chi2, t_two_sided(trace[2] * 9, 10D) AS t FROM chronolith_traces")
