@@ -158,7 +158,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     conversation in order of turn, role, text make its whole text. A null or unknown
     role may become any at a relabel's cost; null text is empty; rows with a null
     conversation are one conversation; null turns come first. Repeated rows count once.
-    An empty table gives no rows.
+    Very long texts are carried whole, long conversations in pieces; of repairs of equal cost
+    the first in the automaton's order counts. An empty table gives no rows; other columns,
+    and their names, have no effect.
     """
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")

@@ -324,7 +324,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """docs without the rows that hold a benchmark passage; columns as before, nothing shuffled.
 
     Each row counts by itself: repeated rows and null ids like any other; rows of null
-    or empty text stay, very long ones are read whole. An empty table stays empty.
+    or empty text stay, very long ones are read whole. Ties among items change nothing, as
+    one is enough. An empty table stays empty; other columns, whatever their names, stay.
     """
     for block, last in _passes(benchmark):
         docs = docs.filter(F.size(leaked(docs, block, F.col(text_col))) == 0)

@@ -148,7 +148,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, held_out, lang_pred, score; learned from the rows that are not held out.
 
     Null ids are not held out and not learned from; repeated rows get the same answer.
-    An empty table gives no rows; a table without usable languages gives `und`.
+    Very long texts are read whole, in pieces; of equal scores the first language by name
+    counts. An empty table gives no rows; a table without usable languages gives `und`;
+    other columns, and their names, have no effect.
     """
     model = train(docs, id_col, text_col, lang_col, ~held_out(id_col) & F.col(id_col).isNotNull())
     return identify(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

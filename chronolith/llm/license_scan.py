@@ -180,7 +180,8 @@ def license_scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame =
     canonical digest; notices are the licences, sorted, that entire lines of the text
     name by the same digests, comma-joined; n_notices counts those lines. Null and empty
     texts have none; repeated rows, ties and null ids give rows of their own, and of
-    licences with one digest the first by name counts. An empty table gives no rows;
+    licences with one digest the first by name counts; very long texts get one digest of all
+    their characters. An empty table gives no rows;
     other columns, and their names, have no effect. known is a table (license, known),
     as of license_texts, or pairs of them, any number. Only texts with one of ANCHORS
     get a digest, unless a known text has none of them.

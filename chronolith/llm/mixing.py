@@ -231,7 +231,10 @@ def mix(
     meet are met as nearly as least squares can. Repeated rows count as often as they
     stand there. known has the texts of the labels where
     docs no longer has all of them. Null and empty texts have no tokens;
-    labels of other domains, null ids and nulls in labels aren't learned from.
+    labels of other domains, null ids and nulls in labels aren't learned from. Very long
+    texts count with all their tokens; ties don't arise but in the samples, where the id's
+    hash decides. An empty table gives no rows; other columns, and their names, have no
+    effect. At most MAX_DOMAINS domains.
     """
     names = sorted(targets)
     if not names or len(names) > MAX_DOMAINS or min(targets.values()) < 0 or not sum(targets.values()):

@@ -251,7 +251,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the row's own included. Texts without words, and null texts, have fingerprint zero
     and are linked like any other. Null ids take part and get the component_id of the
     others, or null. A repeated row gives a repeated row; an empty table gives none.
-    Ids are integers.
+    Very long texts count with all their shingles; other columns, and their names, have no
+    effect. Ids are integers.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "classes")

@@ -42,6 +42,67 @@ def test_nothing_to_learn_from(odd, side):
     assert decontaminate.contamination(odd, bench).count() == 0
 
 
+def test_leaks_of_odd_rows(odd, empty, side):
+    _, bench = side
+    got = sorted(tuple(r) for r in decontaminate.contamination(odd, bench).collect())
+    assert got == [(5, 1, 0), (6, 1, 0)]  # "same text", whatever its case, a row an id and item; null and empty items match nothing
+    assert decontaminate.contamination(empty, bench).count() == 0
+
+
+def test_chats_decide_ties_repeats_and_nulls(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, None, None, None), (2, 1, "assistant", "d"), (None, 0, "user", "x"), (None, 0, "user", "y"), (3, 0, "assistant", "only")]
+    t = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, piece string, last int")
+    out = chat_format.format_chats(t).collect()
+    got = {(r[0], r[1], r["rendered"]): r for r in out}
+    assert len(out) == 8  # the repeated row counts once
+    assert [r["action"] for k, r in got.items() if k[:2] == (1, 1)] == ["merge"]
+    assert [r["role"] for k, r in got.items() if k[:2] == (2, None)] == ["user"]
+    assert sorted(r["action"] == "keep" for k, r in got.items() if k[0] is None) == [False, True]  # of a tie in turn the first by role, then text, stays
+    assert [r["inserted"] for k, r in got.items() if k[0] == 3] == [1]
+    again = chat_format.format_chats(t.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_mixing_stage_on_odd_and_no_rows(spark, odd, empty, side, tmp_path):
+    import corpus_pipeline
+
+    labels, _ = side
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.mixture(spark, odd, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == sorted(r["doc_id"] or 0 for r in odd.collect())
+    assert all(r["rate"] >= 0 and r["copies"] >= 0 for r in got) and [r["tokens"] for r in got if r["doc_id"] in (1, 2, 3)] == [0, 0, 0]
+    assert corpus_pipeline.mixture(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_equals_brute_force_of_its_deduplication(spark):
+    """The rows of a run are those that brute force over all pairs leaves, of what toxicity and decontamination accept."""
+    import corpus_pipeline
+    from chronolith.llm import wide_simhash
+    from chronolith.llm.common import table
+
+    labels, bench = (table(spark, DATA, n) for n in ("labels", "benchmark"))
+    left = {r["doc_id"]: r["text"] for r in toxicity.drop_toxic(table(spark, DATA, "documents"), labels).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    largest = {t.translate(lower): i for i, t in sorted(left.items())}
+    left = {i: left[i] for i in largest.values()}
+    sets, root = {i: wide_simhash.shingles(t) for i, t in left.items()}, {i: i for i in left}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and wide_simhash.similar(sets[a], sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    left = {i: t for i, t in left.items() if root[i] == i}
+    rows = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    leaks = {r[0] for r in decontaminate.contamination(rows, bench).collect()}
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(left) - leaks)
+    total = sum(r["tokens"] for r in got)
+    for d, target in corpus_pipeline.TARGETS.items():
+        share = sum(r["tokens"] * r[f"p_{d}"] * r["rate"] for r in got) / total
+        assert abs(share - target / sum(corpus_pipeline.TARGETS.values())) < 1e-4
+
+
 @pytest.mark.parametrize("stage", [0, 1, 2, 3])
 def test_stages_keep_the_columns(spark, odd, empty, stage, tmp_path, side):
     import corpus_pipeline
