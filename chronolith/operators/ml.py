@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .density import density_clusters  # noqa: F401
 from .grams import explained, fit_components, fit_motifs, fit_preprocessor, lag_components, motif_weights, subclusters, time_importance  # noqa: F401
-from .joins import range_pairs
 from .percentiles import exact_percentiles, percentile_columns
 from .store import written
 from .windows import global_rank, lag_embedding, running_sums
@@ -201,21 +200,6 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
     return rows.withColumn("cluster", (F.array_position(parts, F.array_max(parts)) - 1).cast("int")), ll
 
 
-def density_clusters(points: DataFrame, key: str, coords: Sequence[str], eps: float, least: int) -> DataFrame:
-    """(key, cluster): DBSCAN; cluster is its smallest core key, -1 for noise.
-
-    Neighbours come from the grid join; the components of the core pairs are the clusters.
-    """
-    pairs = written(range_pairs(points, key, coords, eps), "pairs")
-    core = written(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= least).select("a"), "core")
-    links = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").filter("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected_components(links)
-    label = written(core.join(roots, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("label")), "label")
-    edge = pairs.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("reach"))
-    out = points.select(F.col(key).alias("a")).join(label, "a", "left").join(edge, "a", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("label", "reach", F.lit(-1)).alias("cluster"))
-
-
 def membership(df: DataFrame, cluster: str = "cluster", sub: str = "sub") -> DataFrame:
     return df.groupBy(cluster, sub).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(cluster)))
 

@@ -155,7 +155,7 @@ def h06_wilcoxon_clusters(spark, sf):
 def h13_sections(spark, sf):
     frames = X.frames(spark, sf)
     sweep = [50, 75, 100]
-    return H.summary_rows(H.cluster_test(diffs(spark, sf), _PERMS, alpha=_CUT)[0], H.survival_sweep(frames, X.KEYS, sweep), H.hazard_sweep(frames, X.KEYS, sweep), H.mixed_spline(_grouped(spark, sf), 12), alpha=0.5)
+    return H.summary_rows(H.cluster_test(diffs(spark, sf), _PERMS, alpha=_CUT)[0], H.survival_sweep(frames, X.KEYS, sweep), H.hazard_sweep(frames, X.KEYS, sweep), _spline(spark, sf), alpha=0.5)
 
 
 @query(
@@ -213,9 +213,15 @@ def h11_hazard_ratios(spark, sf):
     return H.hazard_sweep(X.frames(spark, sf), X.KEYS, [50, 75, 100])
 
 
+def _spline(spark, sf):
+    """Of all frames; the longest trial gives the length."""
+    frames = _grouped(spark, sf)
+    return H.mixed_spline(frames, (frames.agg(F.max("frame")).first()[0] or 0) + 1)
+
+
 @query()
 def h12_mixed_spline(spark, sf):
-    return H.mixed_spline(_grouped(spark, sf), 12)
+    return _spline(spark, sf)
 
 
 @query(
