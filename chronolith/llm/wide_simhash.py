@@ -8,8 +8,9 @@ Fingerprints that are near each other at an anchor are pairs to check on the shi
 
 A crowd of copies isn't laid out in pairs. First come links that surely hold, as a
 forest at each anchor; then, of what these links haven't joined, each fingerprint with
-the nearest one of another component at its anchor; and what is left then, in full. A
-pair's longer fingerprints are compared before its texts are.
+the nearest one of another component at its anchor; and what is left then, in full:
+there the longer fingerprints come along, so that a crowd's pairs that they tell apart
+are never rows. A pair's longer fingerprints are compared before its texts are.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ COMPARED, MOST, SURE = 2, 31, 8
 LONG, DEVIATIONS = 16, 2.33
 #: Fingerprints that an anchor is the home of, on average; with more, parts get wider. Homes of one anchor that one task compares.
 EACH, HOMES = 1 << 10, 1 << 16
-#: Distances that are computed at once; bytes of text that are looked at at once; shingles that a task keeps for later pairs.
-AT_ONCE, PIECE, KEPT = 1 << 18, 1 << 20, 1 << 22
+#: Distances that are computed at once, and pairs part by part; bytes of text that are looked at at once; shingles that a task keeps for later pairs.
+AT_ONCE, PAIRS, PIECE, KEPT = 1 << 18, 1 << 13, 1 << 20, 1 << 22
 #: Characters of texts that are broadcast in all.
 BROADCAST_CHARS = 1 << 24
 _ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,9 +141,11 @@ def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "id long, text string, fp array<long>")
 
 
-def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES) -> DataFrame:
+def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: int = COMPARED) -> DataFrame:
     """nodes(node, root, fp) at all their anchors: (cell, salt, node, root, f0, f1, home), each cell in one task, in order.
 
+    So many `words` of fp come along, f0, f1 and on.
+
     A cell that is home to more than `homes` fingerprints is split: its homes go to
     several tasks, its replicas to each of them.
     """
@@ -163,10 +166,11 @@ def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES) -> DataF
                     row, col = np.nonzero(new)
                     anchor = at[row, col]
                     own = anchor == home(x, width, near)[row]
-                    columns = [(np.uint64(p << 48) | anchor).view(np.int64), node[row], root[row], *(fp[row, i].view(np.int64) for i in range(COMPARED)), own]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "root", "f0", "f1", "home"])
+                    columns = [(np.uint64(p << 48) | anchor).view(np.int64), node[row], root[row], *(fp[row, i].view(np.int64) for i in range(words)), own]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "root", *shown, "home"])
 
-    at = nodes.select("node", "root", "fp").mapInArrow(run, "cell long, node long, root long, f0 long, f1 long, home boolean")
+    shown = [f"f{i}" for i in range(words)]
+    at = nodes.select("node", "root", "fp").mapInArrow(run, f"cell long, node long, root long, {', '.join(f'{c} long' for c in shown)}, home boolean")
     hot = at.filter("home").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > homes)
     hot = written(hot.select("cell", F.ceil(F.col("n") / homes).cast("int").alias("salts")), "hot")
     at = at.withColumn("salt", F.lit(0))
@@ -174,14 +178,14 @@ def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES) -> DataF
         at = at.join(small(hot), "cell", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
         at = at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("home", F.col("home") & (F.col("salt") == own))
-    return at.select("cell", "salt", "node", "root", "f0", "f1", "home").repartition("cell", "salt").sortWithinPartitions("cell", "salt")
+    return at.select("cell", "salt", "node", "root", *shown, "home").repartition("cell", "salt").sortWithinPartitions("cell", "salt")
 
 
 def _differ(f: np.ndarray, a: np.ndarray, b: np.ndarray | slice) -> np.ndarray:
     return sum(np.bitwise_count(x[a, None] ^ x[b]) for x in f)
 
 
-def sure_links(node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray) -> Iterator[Links]:
+def sure_links(cell: int, node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray) -> Iterator[Links]:
     """Of a cell: a forest of pairs of SURE bits at most, and each node that has one within MOST bits with itself.
 
     A home that an earlier one has joined isn't compared with all others again, only
@@ -217,8 +221,8 @@ def sure_links(node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarra
     yield node[near], node[near]
 
 
-def open_pairs(node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray, nearest: bool) -> Iterator[Links]:
-    """Of a cell: pairs of different roots within MOST bits; of each home only the nearest one, if so asked."""
+def _open(node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a cell: (homes, rows, how many bits each two differ in, 255 for those of one root), some homes at a time."""
     roots, inside, n = np.unique(root, return_inverse=True, return_counts=True)
     if len(roots) == 1:
         return
@@ -227,13 +231,41 @@ def open_pairs(node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarra
         step = max(1, AT_ONCE // len(rows))
         for i in range(0, len(homes), step):
             todo = homes[i : i + step]
-            d = _differ(f, todo, rows)
+            d = _differ(f[:COMPARED], todo, rows)
             d[inside[todo, None] == inside[rows]] = 255
-            a, j = np.nonzero(d <= MOST)
-            if nearest:
-                a = np.unique(a)
-                j = d[a].argmin(1)
-            yield node[todo[a]], node[rows[j]]
+            yield todo, rows, d
+
+
+def nearest_pairs(cell: int, node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray) -> Iterator[Links]:
+    """Of a cell: each home with the nearest of another root, where that is within MOST bits."""
+    for todo, rows, d in _open(node, root, f, own):
+        a = np.flatnonzero(d.min(1) <= MOST)
+        yield node[todo[a]], node[rows[d[a].argmin(1)]]
+
+
+def likely_pairs(cell: int, node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray, width: int) -> Iterator[Links]:
+    """Of a cell: all pairs of different roots within MOST bits that the longer fingerprints leave.
+
+    Two of one bit's difference in a part meet at each one's home: the smaller node's
+    names them, in the first such part.
+    """
+    part = cell >> 48
+    for todo, rows, d in _open(node, root, f, own):
+        a, j = np.nonzero(d <= MOST)
+        a, j = todo[a], rows[j]
+        far = np.zeros(len(a), np.uint16)
+        for x in f:
+            far += np.bitwise_count(x[a] ^ x[j])
+        left = np.flatnonzero(far <= most_long())
+        for k in (left[i : i + PAIRS] for i in range(0, len(left), PAIRS)):
+            u, v = a[k], j[k]
+            bits = np.unpackbits(np.ascontiguousarray((f[:, u] ^ f[:, v]).T).view(np.uint8), axis=1, bitorder="little")
+            known = min(part + 1, bits.shape[1] // width)
+            meet = bits[:, : known * width].reshape(len(k), known, width).sum(2) <= 1
+            new = ~meet[:, :part].any(1)
+            if known > part:
+                new &= ~meet[:, part] | (node[u] < node[v])
+            yield node[u[new]], node[v[new]]
 
 
 def at_cells(dealt: DataFrame, look: Callable[..., Iterator[Links]]) -> DataFrame:
@@ -268,11 +300,11 @@ def at_cells(dealt: DataFrame, look: Callable[..., Iterator[Links]]) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
 
         for rows, cut in whole(batches):
-            _, _, node, root, f0, f1, own = rows
-            f = np.stack([f0, f1]).view(np.uint64)
+            cell, _, node, root, *shown, own = rows
+            f = np.stack(shown).view(np.uint64)
             some = np.flatnonzero((np.diff(cut) > 1) & (np.add.reduceat(own, cut[:-1], dtype=np.int64) > 0))
             for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True):
-                for u, v in look(node[a:b], root[a:b], f[:, a:b], own[a:b]):
+                for u, v in look(int(cell[a]), node[a:b], root[a:b], f[:, a:b], own[a:b]):
                     us.append(u)
                     vs.append(v)
                     many += len(u)
@@ -296,13 +328,17 @@ def with_long(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["node long, text string", *(f"l{i} long" for i in range(LONG))]))
 
 
+def most_long() -> int:
+    """Bits in which longer fingerprints differ at most where the least similarity is possible."""
+    bits, p = 64 * LONG, differing()
+    return int(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs(u, v) whose longer fingerprints leave the least similarity possible."""
-    bits, p = 64 * LONG, differing()
-    most = int(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
     one = lambda c: small(texts.select(F.col("node").alias(c), *[F.col(f"l{i}").alias(f"{c}{i}") for i in range(LONG)]))
     far = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(LONG)), F.lit(0))
-    return pairs.join(one("u"), "u").join(one("v"), "v").filter(far <= most).select("u", "v")
+    return pairs.join(one("u"), "u").join(one("v"), "v").filter(far <= most_long()).select("u", "v")
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -354,9 +390,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = written(classes.join(small(near), "node", "left_semi").select("node", "fp"), "few")
     links = written(checked(seen.filter("u < v"), texts), "checked")
     roots = written(connected_components(links), "roots")
-    for nearest in (True, False):
-        labelled = few.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-        found = written(at_cells(cells(labelled, width, parts, homes), partial(open_pairs, nearest=nearest)), "open")
+    long = F.array(*[f"l{i}" for i in range(LONG)])
+    longer = few.join(texts.select("node", long.alias("long")), "node").select("node", F.when(F.size("fp") < LONG, F.col("long")).otherwise(F.col("fp")).alias("fp"))
+    for nodes, words, look in ((few, COMPARED, nearest_pairs), (longer, LONG, partial(likely_pairs, width=width))):
+        labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+        found = written(at_cells(cells(labelled, width, parts, homes, words), look), "open")
         links = links.union(written(checked(found, texts), "checked"))
         roots = written(connected_components(links), "roots")
     member = classes.join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root"))

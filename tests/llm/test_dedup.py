@@ -156,6 +156,27 @@ def test_near_copies_from_a_similarity_of_four_fifths(make, homes):
     assert sum(got[i] == c for i, c in root.items()) >= 0.97 * len(root)
 
 
+def test_a_crowd_beside_texts_below_the_similarity_is_not_laid_out_in_pairs(make, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(n):
+        return " ".join(f"new{rng.random()}" if i in at else w for at in [set(rng.sample(range(300), n))] for i, w in enumerate(base))
+
+    rows = [(i, changed(1), "en", "a") for i in range(60)] + [(100 + i, changed(13), "en", "a") for i in range(40)] + [(200 + i, changed(6), "en", "a") for i in range(10)]
+    sets = {r[0]: wide_simhash.shingles(r[1]) for r in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if wide_simhash.similar(sets[a], sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    made, plain = [], wide_simhash.checked
+    monkeypatch.setattr(wide_simhash, "checked", lambda pairs, texts: made.append((pairs.count(), wide_simhash.likely(pairs, texts).count())) or plain(pairs, texts))
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.near_components(make(rows)).collect()}
+    assert got == root and sum(r >= 100 for r in root.values()) == 40
+    assert made[-1][0] == made[-1][1] < 40 * 70 / 4
+
+
 @pytest.mark.parametrize("n", [1, 300_000, 10_000_000, 10**10])
 def test_parts_bring_near_fingerprints_together(n):
     width, parts = wide_simhash.plan(n)
