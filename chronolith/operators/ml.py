@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -156,11 +156,12 @@ def best_mixture(df: DataFrame, ks: Sequence[int], kinds: Sequence[str] = ("full
     return tried[best][5], table
 
 
-def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int = 200) -> tuple[DataFrame, float]:
-    """(df with cluster, log likelihood) of a diagonal mixture by EM, until the likelihood rests; a round is one aggregation.
+def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame, float]:
+    """(df with cluster, log likelihood) of a diagonal mixture by EM, until the likelihood rests; a round takes one row of sums from each task.
 
     A variance is at least a thousandth of its column's, as a component on a single row
-    would have a likelihood without bound. `rounds` without rest is an error.
+    would have a likelihood without bound. As it has one and no round lowers it, it comes
+    to rest, after hundreds of rounds where components overlap. NaN and infinity are an error.
     """
     rows = written(df, "mixture")
     stats = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
@@ -176,16 +177,27 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
 
         return [one(j) for j in range(k)]
 
+    known = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    sums = ["ll", "n"] + [f"r{j}" for j in range(k)] + [f"s{j}_{i}_{p}" for p in (1, 2) for j in range(k) for i in range(len(columns))]
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's sums of a round."""
+        total = np.zeros(len(sums))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
+            each = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * v).sum(1) - sum((x[:, i, None] - m[:, i]) ** 2 / (2 * v[:, i]) for i in range(x.shape[1]))
+            lse = np.logaddexp.reduce(each, axis=1)
+            r = np.exp(each - lse[:, None])
+            total += np.concatenate([[lse.sum(), len(x)], r.sum(0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([a]) for a in total], sums)
+
     ll = -math.inf
-    for _ in range(rounds):
-        scored = rows.select(*columns, F.array(*log_parts()).alias("l")).withColumn("top", F.array_max("l"))
-        scored = scored.withColumn("lse", F.col("top") + F.log(F.aggregate("l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))))
-        resp = [F.exp(F.col("l")[j] - F.col("lse")) for j in range(k)]
-        sums = [F.sum("lse").alias("ll"), F.count("*").alias("n")]
-        for j, r in enumerate(resp):
-            sums += [F.sum(r).alias(f"r{j}")] + [F.sum(r * F.col(c) ** p).alias(f"s{j}_{i}_{p}") for i, c in enumerate(columns) for p in (1, 2)]
-        s = scored.agg(*sums).first()
-        if not s["n"] or s["ll"] - ll < 1e-5 * abs(s["ll"]):
+    while True:
+        of_tasks = known.mapInArrow(part, ", ".join(f"{c} double" for c in sums))  # with the figures of this round
+        s = dict(zip(sums, np.array(of_tasks.collect()).reshape(-1, len(sums)).sum(0).tolist(), strict=True))
+        if not math.isfinite(s["ll"]):
+            raise ValueError("a mixture of values that aren't finite")
+        if not s["n"] or s["ll"] - ll <= 1e-5 * abs(s["ll"]):
             break
         ll = s["ll"]
         for j in range(k):
@@ -194,8 +206,6 @@ def diagonal_mixture(df: DataFrame, columns: Sequence[str], k: int, rounds: int
             for i in range(len(columns)):
                 m[j, i] = s[f"s{j}_{i}_1"] / r
                 v[j, i] = max(s[f"s{j}_{i}_2"] / r - m[j, i] ** 2, least[i])
-    else:
-        raise RuntimeError(f"the mixture still moves after {rounds} rounds")
     parts = F.array(*log_parts())
     return rows.withColumn("cluster", (F.array_position(parts, F.array_max(parts)) - 1).cast("int")), ll
 

@@ -167,6 +167,29 @@ def test_best_mixture_prefers_the_true_number(spark):
     assert len({(r["id"] % 2, r["cluster"]) for r in out.collect()}) == 2
 
 
+def test_diagonal_mixture_goes_on_until_it_rests(spark):
+    x = np.round(np.random.default_rng(0).normal(0, 1, 40), 3)  # overlapping components, 231 rounds
+    m, v, w = x.mean() + np.array([-0.5, 0.5]) * x.std(), np.full(2, x.var()), np.full(2, 0.5)
+    want, rounds = -math.inf, 0
+    while True:
+        parts = np.log(w) - 0.5 * np.log(2 * math.pi * v) - (x[:, None] - m) ** 2 / (2 * v)
+        each = np.logaddexp.reduce(parts, axis=1)
+        if each.sum() - want <= 1e-5 * abs(each.sum()):
+            break
+        want, rounds, r = each.sum(), rounds + 1, np.exp(parts - each[:, None])
+        w, m = r.mean(0), r.T @ x / r.sum(0)
+        v = r.T @ x**2 / r.sum(0) - m**2
+    assert rounds > 200
+    out, ll = M.diagonal_mixture(spark.createDataFrame([(i, float(a)) for i, a in enumerate(x)], "id int, a double").coalesce(1), ["a"], 2)
+    assert math.isclose(ll, want, rel_tol=1e-9)
+    assert {r["id"]: r["cluster"] for r in out.collect()} == dict(enumerate(parts.argmax(1).tolist()))
+
+
+def test_diagonal_mixture_refuses_values_that_are_not_finite(spark):
+    with pytest.raises(ValueError, match="finite"):
+        M.diagonal_mixture(spark.createDataFrame([(1.0,), (2.0,), (math.nan,)], "a double"), ["a"], 2)
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
