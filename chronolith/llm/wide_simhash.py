@@ -9,15 +9,18 @@ Fingerprints that are near each other at an anchor are pairs to check on the shi
 A crowd of copies isn't laid out in pairs. First come links that surely hold, as a
 forest at each anchor; then, of what these links haven't joined, each fingerprint with
 the nearest one of another component at its anchor; and what is left then, in full:
-there the longer fingerprints come along, so that a crowd's pairs that they tell apart
-are never rows. A pair's longer fingerprints are compared before its texts are.
+there the longer fingerprints come along, and a map of the shingles that a text doesn't
+share with the middle of its crowd, its pivot. Two texts of one pivot are as similar as
+what they have in common beyond it, which their maps bound; so a crowd's pairs that
+can't be similar are never rows. A pair's longer fingerprints are compared before its
+texts are.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -38,12 +41,15 @@ RECALL = 0.99
 COMPARED, MOST, SURE = 2, 31, 8
 #: 64-bit words of the longer fingerprints, and how many standard deviations from what the least similarity expects they may differ.
 LONG, DEVIATIONS = 16, 2.33
+#: 64-bit words of the map of the shingles that a text and its pivot don't share.
+MAPPED = 8
 #: Fingerprints that an anchor is the home of, on average; with more, parts get wider. Homes of one anchor that one task compares.
 EACH, HOMES = 1 << 10, 1 << 16
 #: Distances that are computed at once, and pairs part by part; bytes of text that are looked at at once; shingles that a task keeps for later pairs.
 AT_ONCE, PAIRS, PIECE, KEPT = 1 << 18, 1 << 13, 1 << 20, 1 << 22
 #: Characters of texts that are broadcast in all.
 BROADCAST_CHARS = 1 << 24
+BESIDE = ["pivot", "weight", "most", "hidden", *(f"m{i}" for i in range(MAPPED))]
 _ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _GAP = re.compile(rb"[ \t-\r]")
@@ -141,10 +147,10 @@ def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "id long, text string, fp array<long>")
 
 
-def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: int = COMPARED) -> DataFrame:
+def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: int = COMPARED, more: Sequence[str] = ()) -> DataFrame:
     """nodes(node, root, fp) at all their anchors: (cell, salt, node, root, f0, f1, home), each cell in one task, in order.
 
-    So many `words` of fp come along, f0, f1 and on.
+    So many `words` of fp come along, f0, f1 and on, and the columns `more`, of longs.
 
     A cell that is home to more than `homes` fingerprints is split: its homes go to
     several tasks, its replicas to each of them.
@@ -155,8 +161,8 @@ def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: i
         flips = np.r_[np.uint64(0), powers]
         for whole in batches:
             for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                node, root = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                fp = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1)
+                node, root, *beside = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns - 1))
+                fp = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1)
                 bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
                 for p in range(parts):
                     x = bits[:, p * width : (p + 1) * width].astype(np.uint64) @ powers
@@ -166,11 +172,11 @@ def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: i
                     row, col = np.nonzero(new)
                     anchor = at[row, col]
                     own = anchor == home(x, width, near)[row]
-                    columns = [(np.uint64(p << 48) | anchor).view(np.int64), node[row], root[row], *(fp[row, i].view(np.int64) for i in range(words)), own]
+                    columns = [(np.uint64(p << 48) | anchor).view(np.int64), node[row], root[row], *(fp[row, i].view(np.int64) for i in range(words)), *(x[row] for x in beside), own]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "root", *shown, "home"])
 
-    shown = [f"f{i}" for i in range(words)]
-    at = nodes.select("node", "root", "fp").mapInArrow(run, f"cell long, node long, root long, {', '.join(f'{c} long' for c in shown)}, home boolean")
+    shown = [*(f"f{i}" for i in range(words)), *more]
+    at = nodes.select("node", "root", *more, "fp").mapInArrow(run, f"cell long, node long, root long, {', '.join(f'{c} long' for c in shown)}, home boolean")
     hot = at.filter("home").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > homes)
     hot = written(hot.select("cell", F.ceil(F.col("n") / homes).cast("int").alias("salts")), "hot")
     at = at.withColumn("salt", F.lit(0))
@@ -244,12 +250,15 @@ def nearest_pairs(cell: int, node: np.ndarray, root: np.ndarray, f: np.ndarray,
 
 
 def likely_pairs(cell: int, node: np.ndarray, root: np.ndarray, f: np.ndarray, own: np.ndarray, width: int) -> Iterator[Links]:
-    """Of a cell: all pairs of different roots within MOST bits that the longer fingerprints leave.
+    """Of a cell: all pairs of different roots within MOST bits that the longer fingerprints and the maps beside their pivot leave.
+
+    f has LONG words of fingerprints, then the columns of beside_pivot.
 
     Two of one bit's difference in a part meet at each one's home: the smaller node's
     names them, in the first such part.
     """
     part = cell >> 48
+    f, (pivot, weight, most, hidden), mapped = f[:LONG], f[LONG : LONG + 4].view(np.int64), f[LONG + 4 :]
     for todo, rows, d in _open(node, root, f, own):
         a, j = np.nonzero(d <= MOST)
         a, j = todo[a], rows[j]
@@ -257,6 +266,10 @@ def likely_pairs(cell: int, node: np.ndarray, root: np.ndarray, f: np.ndarray, o
         for x in f:
             far += np.bitwise_count(x[a] ^ x[j])
         left = np.flatnonzero(far <= most_long())
+        same = left[(pivot[a[left]] == pivot[j[left]]) & (pivot[a[left]] >= 0)]
+        u, v = a[same], j[same]
+        shared = np.minimum(hidden[u], hidden[v]) + sum(np.bitwise_count(x[u] & x[v]).astype(np.int64) for x in mapped)
+        left = np.setdiff1d(left, same[weight[u] + weight[v] > most[u] + (LEAST + OF) * shared], assume_unique=True)
         for k in (left[i : i + PAIRS] for i in range(0, len(left), PAIRS)):
             u, v = a[k], j[k]
             bits = np.unpackbits(np.ascontiguousarray((f[:, u] ^ f[:, v]).T).view(np.uint8), axis=1, bitorder="little")
@@ -341,35 +354,96 @@ def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one("u"), "u").join(one("v"), "v").filter(far <= most_long()).select("u", "v")
 
 
+def _remembering() -> Callable[[int, pa.StringScalar], np.ndarray]:
+    """The shingles of a node's text; up to KEPT of them are kept for later calls."""
+    kept: dict[int, np.ndarray] = {}
+    size = 0
+
+    def of(node: int, text: pa.StringScalar) -> np.ndarray:
+        nonlocal size
+        found = kept.get(node)
+        if found is None:
+            found = shingles(text.as_py())
+            if size > KEPT:
+                kept.clear()
+                size = 0
+            kept[node] = found
+            size += len(found) + 16
+        return found
+
+    return of
+
+
+def _few_chars(texts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts what is selected of texts if that is of BROADCAST_CHARS at most."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
+
+
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose texts(node, text) are similar."""
+    """Those of pairs(u, v), a written table, whose texts(node, text) are similar."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        size = 0
-
-        def of(node: int, text: pa.StringScalar) -> np.ndarray:
-            nonlocal size
-            found = kept.get(node)
-            if found is None:
-                found = shingles(text.as_py())
-                if size > KEPT:
-                    kept.clear()
-                    size = 0
-                kept[node] = found
-                size += len(found) + 16
-            return found
-
+        of = _remembering()
         for b in batches:
             u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
             ok = [similar(of(i, x), of(j, y)) for i, j, x, y in zip(u, v, b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    sent = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
+    sent = _few_chars(texts)
     one = lambda c: sent(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")))
-    some = written(likely(pairs, texts), "likely")
-    return some.join(one("u"), "u").join(one("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
+
+def pivots(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, pivot) of the nodes of pairs(u, v): one node of the largest component that labelled(node, root) has among a node's own, its neighbours' and theirs.
+
+    The pivot of a component is the node of it that most pairs have; any choice is right,
+    one that a crowd shares spares its pairs.
+    """
+    both = pairs.union(pairs.select("v", "u")).toDF("node", "other")
+    sizes = labelled.groupBy("root").agg(F.count("*").alias("size"))
+    middle = labelled.join(both.groupBy("node").agg(F.count("*").alias("n")), "node").groupBy("root").agg(F.max(F.struct("n", -F.col("node"))).alias("top"))
+    rank = F.struct("size", (-F.col("root")).alias("place"), (-F.col("top.col2")).alias("pivot"))
+    best = written(labelled.join(small(written(middle.join(sizes, "root"), "middle")), "root").select("node", rank.alias("best")), "best")
+    for _ in range(2):
+        theirs = both.join(best.withColumnRenamed("node", "other"), "other").select("node", "best")
+        best = written(theirs.union(best).groupBy("node").agg(F.max("best").alias("best")), "best")
+    return best.select("node", F.col("best.pivot").alias("pivot"))
+
+
+def beside_pivot(texts: DataFrame, pivot: DataFrame) -> DataFrame:
+    """node, pivot, weight, most, hidden, m0, m1 and on of texts(node, text): what bounds the similarity of two texts of one pivot.
+
+    Of a text's shingles A and its pivot's P, those of one alone are D; two texts share
+    P but for A's and B's missing ones, and what D and D have in common. A map of bits
+    shows all of D but for `hidden` ones whose bit another has. weight is (LEAST + OF) *
+    |P - A| + LEAST * |A|, most is (LEAST + OF) * |P|: two texts are similar where
+    weight + weight is at most most + (LEAST + OF) * |what D and D have in common|.
+    Nodes without a pivot have -1.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _remembering()
+        for b in batches:
+            out = np.zeros((b.num_rows, 4 + MAPPED), np.int64)
+            for i, (node, text, other) in enumerate(zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)):
+                if node is None:
+                    out[i, 0] = -1
+                    continue
+                a, p = shingles(text.as_py()), of(node, other)
+                apart = np.setxor1d(a, p, assume_unique=True)
+                bits = np.zeros(64 * MAPPED, np.uint8)
+                bits[_mix(apart) % np.uint64(64 * MAPPED)] = 1
+                missing = (len(apart) + len(p) - len(a)) // 2
+                out[i, :4] = node, (LEAST + OF) * missing + LEAST * len(a), (LEAST + OF) * len(p), len(apart) - int(bits.sum())
+                out[i, 4:] = np.packbits(bits, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(out.T))], ["node", *BESIDE])
+
+    known = written(texts.select(F.col("node").alias("pivot"), "text").join(small(pivot.select("pivot").distinct()), "pivot", "left_semi"), "pivots")
+    other = _few_chars(known)(known.withColumnRenamed("text", "other"))
+    rows = texts.select("node", "text").join(small(pivot), "node", "left").join(other, "pivot", "left")
+    return rows.select("node", "pivot", "text", "other").mapInArrow(run, ", ".join(["node long", *(f"{c} long" for c in BESIDE)]))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", homes: int = HOMES) -> DataFrame:
@@ -388,15 +462,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(seen.filter("u = v").select(F.col("u").alias("node")), "near")
     texts = written(with_long(rows.select(F.col("row").alias("node"), "text").join(small(near), "node", "left_semi")), "texts")
     few = written(classes.join(small(near), "node", "left_semi").select("node", "fp"), "few")
-    links = written(checked(seen.filter("u < v"), texts), "checked")
-    roots = written(connected_components(links), "roots")
+    label = lambda nodes: nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = lambda found: written(connected_components(roots.toDF("u", "v").union(found)), "roots")
+    sure = written(likely(seen.filter("u < v"), texts), "likely")
+    roots = written(connected_components(written(checked(sure, texts), "checked")), "roots")
+    nearest = written(at_cells(cells(label(few), width, parts, homes), nearest_pairs), "nearest")
+    found = written(likely(nearest, texts), "likely")
+    roots = joined(written(checked(found, texts), "checked"))
+    beside = written(beside_pivot(texts, written(pivots(label(few.select("node")), found), "pivot")), "beside")
     long = F.array(*[f"l{i}" for i in range(LONG)])
     longer = few.join(texts.select("node", long.alias("long")), "node").select("node", F.when(F.size("fp") < LONG, F.col("long")).otherwise(F.col("fp")).alias("fp"))
-    for nodes, words, look in ((few, COMPARED, nearest_pairs), (longer, LONG, partial(likely_pairs, width=width))):
-        labelled = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-        found = written(at_cells(cells(labelled, width, parts, homes, words), look), "open")
-        links = links.union(written(checked(found, texts), "checked"))
-        roots = written(connected_components(links), "roots")
+    last = cells(label(longer.join(beside, "node")), width, parts, homes, LONG, BESIDE)
+    roots = joined(written(checked(written(at_cells(last, partial(likely_pairs, width=width)), "open"), texts), "checked"))
     member = classes.join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows"))
     component = written(join_counted(member, least, "root", "rows").select("fp", "n", "component_id"), "components")

@@ -177,6 +177,54 @@ def test_a_crowd_beside_texts_below_the_similarity_is_not_laid_out_in_pairs(make
     assert made[-1][0] == made[-1][1] < 40 * 70 / 4
 
 
+def test_a_crowd_just_below_the_similarity_is_told_apart_by_its_pivot(make, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(n):
+        return " ".join(f"new{rng.random()}" if i in at else w for at in [set(rng.sample(range(300), n))] for i, w in enumerate(base))
+
+    rows = [(i, changed(1), "en", "a") for i in range(60)] + [(100 + i, changed(7), "en", "a") for i in range(40)]
+    sets = {r[0]: wide_simhash.shingles(r[1]) for r in rows}
+    root, open_pairs = {i: i for i in sets}, 0
+    for a, b in itertools.combinations(sets, 2):
+        if wide_simhash.similar(sets[a], sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+        both = len(np.intersect1d(sets[a], sets[b]))
+        open_pairs += 0.74 <= both / (len(sets[a]) + len(sets[b]) - both) < 0.8
+    made, plain = [], wide_simhash.checked
+    monkeypatch.setattr(wide_simhash, "checked", lambda pairs, texts: made.append(pairs.count()) or plain(pairs, texts))
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.near_components(make(rows)).collect()}
+    assert got == root and sum(r >= 100 for r in root.values()) > 20
+    assert open_pairs > 1500 and made[-1] < 100
+
+
+def test_maps_beside_a_pivot_never_hide_a_similar_pair(make):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(80):  # changes of all sizes, many at places that others change too, some of one and the same new word
+        words = [rng.choice(["same", f"new{i}"]) if j < 60 and rng.random() < i / 700 else w for j, w in enumerate(base)]
+        texts.append(" ".join(words[: 120 - rng.choice([0, 0, 5, 20])]))
+    texts += [" ".join(f"z{i % 7}{j}" for j in range(400)) for i in range(3)] + ["", "one"]
+    rows = make([(i, t, "en", "a") for i, t in enumerate(texts)]).select(F.col("doc_id").alias("node"), "text")
+    pivot = rows.filter("node <> 5").select("node", F.lit(0).cast("long").alias("pivot"))
+    found = {r["node"]: r for r in wide_simhash.beside_pivot(rows, pivot).collect()}
+    assert found.pop(5)["pivot"] == -1 and len(found) == len(texts) - 1
+    maps = {n: [r[f"m{i}"] & (1 << 64) - 1 for i in range(wide_simhash.MAPPED)] for n, r in found.items()}
+    sets = [wide_simhash.shingles(t) for t in texts]
+    near = apart = 0
+    for a, b in itertools.combinations(found, 2):
+        x, y = found[a], found[b]
+        shared = min(x["hidden"], y["hidden"]) + sum((p & q).bit_count() for p, q in zip(maps[a], maps[b], strict=True))
+        possible = x["weight"] + y["weight"] <= x["most"] + 9 * shared
+        assert possible or not wide_simhash.similar(sets[a], sets[b])
+        near += wide_simhash.similar(sets[a], sets[b])
+        apart += not possible
+    assert near > 100 and apart > 1000
+
+
 @pytest.mark.parametrize("n", [1, 300_000, 10_000_000, 10**10])
 def test_parts_bring_near_fingerprints_together(n):
     width, parts = wide_simhash.plan(n)
