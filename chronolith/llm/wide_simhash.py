@@ -12,8 +12,8 @@ the nearest one of another component at its anchor; and what is left then, in fu
 there the longer fingerprints come along, and a map of the shingles that a text doesn't
 share with the middle of its crowd, its pivot. Two texts of one pivot are as similar as
 what they have in common beyond it, which their maps bound; so a crowd's pairs that
-can't be similar are never rows. A pair's longer fingerprints are compared before its
-texts are.
+can't be similar are never rows. The longer fingerprints of the pairs of these two
+rounds are compared before the texts are.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.store import written
-from .common import join_counted, small
-from .simhash import home, nearest_codeword
+from .common import BROADCAST_ROWS, join_counted, small, small_or_none
+from .simhash import _forest, home, nearest_codeword
 
 #: Words of a shingle; least similarity of near copies (Jaccard index), as a fraction.
 SHINGLE, LEAST, OF = 5, 4, 5
@@ -49,6 +49,8 @@ EACH, HOMES = 1 << 10, 1 << 16
 AT_ONCE, PAIRS, PIECE, KEPT = 1 << 18, 1 << 13, 1 << 20, 1 << 22
 #: Characters of texts that are broadcast in all.
 BROADCAST_CHARS = 1 << 24
+#: Links that a task joins to stars at once.
+STARS = 1 << 18
 BESIDE = ["pivot", "weight", "most", "hidden", *(f"m{i}" for i in range(MAPPED))]
 _ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -147,10 +149,10 @@ def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "id long, text string, fp array<long>")
 
 
-def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: int = COMPARED, more: Sequence[str] = ()) -> DataFrame:
+def cells(nodes: DataFrame, many: int, width: int, parts: int, homes: int = HOMES, words: int = COMPARED, more: Sequence[str] = ()) -> DataFrame:
     """nodes(node, root, fp) at all their anchors: (cell, salt, node, root, f0, f1, home), each cell in one task, in order.
 
-    So many `words` of fp come along, f0, f1 and on, and the columns `more`, of longs.
+    nodes has `many` rows at most. So many `words` of fp come along, f0, f1 and on, and the columns `more`, of longs.
 
     A cell that is home to more than `homes` fingerprints is split: its homes go to
     several tasks, its replicas to each of them.
@@ -177,10 +179,14 @@ def cells(nodes: DataFrame, width: int, parts: int, homes: int = HOMES, words: i
 
     shown = [*(f"f{i}" for i in range(words)), *more]
     at = nodes.select("node", "root", *more, "fp").mapInArrow(run, f"cell long, node long, root long, {', '.join(f'{c} long' for c in shown)}, home boolean")
-    hot = at.filter("home").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > homes)
-    hot = written(hot.select("cell", F.ceil(F.col("n") / homes).cast("int").alias("salts")), "hot")
+    if many > homes:
+        hot = at.filter("home").groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > homes)
+        hot = written(hot.select("cell", F.ceil(F.col("n") / homes).cast("int").alias("salts")), "hot")
+        split = not hot.isEmpty()
+    else:  # a node has one home of a part, so that no cell has more
+        split = False
     at = at.withColumn("salt", F.lit(0))
-    if not hot.isEmpty():
+    if split:
         at = at.join(small(hot), "cell", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
         at = at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("home", F.col("home") & (F.col("salt") == own))
@@ -330,15 +336,40 @@ def at_cells(dealt: DataFrame, look: Callable[..., Iterator[Links]]) -> DataFram
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def stars(pairs: DataFrame) -> DataFrame:
+    """(u, v) pairs that connect what pairs(u, v) do: of those that a task has, up to STARS at once, each node with the smallest it reaches.
+
+    Few pairs come to one task, which leaves connected_components nothing to do in rounds.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined() -> pa.RecordBatch:
+            u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(2))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(u, v)], ["u", "v"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= STARS:
+                yield joined()
+        if held:
+            yield joined()
+
+    return pairs.select("u", "v").distinct().mapInArrow(run, "u long, v long")
+
+
 def with_long(rows: DataFrame) -> DataFrame:
-    """rows(node, text) with their longer fingerprint."""
+    """rows(node, text, fp) with their longer fingerprint, an array of LONG longs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(shingles(t.as_py()), LONG) for t in b.column(1)], np.uint64).view(np.int64).reshape(-1, LONG)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, np.ascontiguousarray(fp.T))], ["node", "text", *(f"l{i}" for i in range(LONG))])
+            fp = np.array([fingerprint(shingles(t.as_py()), LONG) for t in b.column(1)], np.uint64).reshape(-1).view(np.int64)
+            ends = pa.array(np.arange(0, len(fp) + 1, LONG), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(fp))], ["node", "text", "fp", "long"])
 
-    return rows.mapInArrow(run, ", ".join(["node long, text string", *(f"l{i} long" for i in range(LONG))]))
+    return rows.mapInArrow(run, "node long, text string, fp array<long>, long array<long>")
 
 
 def most_long() -> int:
@@ -349,8 +380,9 @@ def most_long() -> int:
 
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs(u, v) whose longer fingerprints leave the least similarity possible."""
-    one = lambda c: small(texts.select(F.col("node").alias(c), *[F.col(f"l{i}").alias(f"{c}{i}") for i in range(LONG)]))
-    far = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(LONG)), F.lit(0))
+    longer = small(texts.select("node", "long"))
+    one = lambda c: longer.select(F.col("node").alias(c), F.col("long").alias(f"long_{c}"))
+    far = F.aggregate(F.zip_with("long_u", "long_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return pairs.join(one("u"), "u").join(one("v"), "v").filter(far <= most_long()).select("u", "v")
 
 
@@ -381,7 +413,7 @@ def _few_chars(texts: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(u, v), a written table, whose texts(node, text) are similar."""
+    """Those of pairs(u, v), a written table, whose texts(node, text), with or without a hint to broadcast them, are similar."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _remembering()
@@ -390,8 +422,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = [similar(of(i, x), of(j, y)) for i, j, x, y in zip(u, v, b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    sent = _few_chars(texts)
-    one = lambda c: sent(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")))
+    one = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
@@ -399,7 +430,8 @@ def pivots(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, pivot) of the nodes of pairs(u, v): one node of the largest component that labelled(node, root) has among a node's own, its neighbours' and theirs.
 
     The pivot of a component is the node of it that most pairs have; any choice is right,
-    one that a crowd shares spares its pairs.
+    one that a crowd shares spares its pairs. labelled and pairs are written tables, as is
+    what comes back.
     """
     both = pairs.union(pairs.select("v", "u")).toDF("node", "other")
     sizes = labelled.groupBy("root").agg(F.count("*").alias("size"))
@@ -440,9 +472,10 @@ def beside_pivot(texts: DataFrame, pivot: DataFrame) -> DataFrame:
                 out[i, 4:] = np.packbits(bits, bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(out.T))], ["node", *BESIDE])
 
-    known = written(texts.select(F.col("node").alias("pivot"), "text").join(small(pivot.select("pivot").distinct()), "pivot", "left_semi"), "pivots")
+    sent = F.broadcast if small_or_none(pivot) is not None else (lambda df: df)
+    known = written(texts.select(F.col("node").alias("pivot"), "text").join(sent(pivot.select("pivot").distinct()), "pivot", "left_semi"), "pivots")
     other = _few_chars(known)(known.withColumnRenamed("text", "other"))
-    rows = texts.select("node", "text").join(small(pivot), "node", "left").join(other, "pivot", "left")
+    rows = texts.select("node", "text").join(sent(pivot), "node", "left").join(other, "pivot", "left")
     return rows.select("node", "pivot", "text", "other").mapInArrow(run, ", ".join(["node long", *(f"{c} long" for c in BESIDE)]))
 
 
@@ -455,27 +488,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one node. Very long texts count whole. An empty table gives no rows; other
     columns, and their names, have no effect. Ids are integers.
     """
-    width, parts = plan(docs.count())
+    rows_all = docs.count()
+    width, parts = plan(rows_all)
     rows = written(fingerprints(docs, words_of(width, parts), id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min("id").alias("first"), F.count("*").alias("n")), "classes")
-    seen = written(at_cells(cells(classes.withColumn("root", F.lit(0).cast("long")), width, parts, homes), sure_links), "links")
-    near = written(seen.filter("u = v").select(F.col("u").alias("node")), "near")
-    texts = written(with_long(rows.select(F.col("row").alias("node"), "text").join(small(near), "node", "left_semi")), "texts")
-    few = written(classes.join(small(near), "node", "left_semi").select("node", "fp"), "few")
+    seen = written(at_cells(cells(classes.withColumn("root", F.lit(0).cast("long")), rows_all, width, parts, homes), sure_links), "links")
+    near = seen.filter("u = v").select(F.col("u").alias("node"))
+    many = near.count()
+    near = F.broadcast(near) if many <= BROADCAST_ROWS else near
+    texts = written(with_long(rows.select(F.col("row").alias("node"), "text", "fp").join(near, "node", "left_semi")), "texts")
+    sent = _few_chars(texts)(texts)
     label = lambda nodes: nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = lambda found: written(connected_components(roots.toDF("u", "v").union(found)), "roots")
-    sure = written(likely(seen.filter("u < v"), texts), "likely")
-    roots = written(connected_components(written(checked(sure, texts), "checked")), "roots")
-    nearest = written(at_cells(cells(label(few), width, parts, homes), nearest_pairs), "nearest")
-    found = written(likely(nearest, texts), "likely")
-    roots = joined(written(checked(found, texts), "checked"))
-    beside = written(beside_pivot(texts, written(pivots(label(few.select("node")), found), "pivot")), "beside")
-    long = F.array(*[f"l{i}" for i in range(LONG)])
-    longer = few.join(texts.select("node", long.alias("long")), "node").select("node", F.when(F.size("fp") < LONG, F.col("long")).otherwise(F.col("fp")).alias("fp"))
-    last = cells(label(longer.join(beside, "node")), width, parts, homes, LONG, BESIDE)
-    roots = joined(written(checked(written(at_cells(last, partial(likely_pairs, width=width)), "open"), texts), "checked"))
-    member = classes.join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows"))
+    joined = lambda found: written(connected_components(stars(found)), "roots")
+    roots = joined(written(checked(seen.filter("u < v"), sent), "checked"))
+    nearest = written(at_cells(cells(label(texts.select("node", "fp")), many, width, parts, homes), nearest_pairs), "nearest")
+    found = written(likely(nearest, sent), "likely")
+    roots = joined(roots.toDF("u", "v").union(written(checked(found, sent), "checked")))
+    labelled = written(label(texts.select("node")), "labelled")
+    beside = written(beside_pivot(texts, pivots(labelled, found)), "beside")
+    fp = F.when(F.size("fp") < LONG, F.col("long")).otherwise(F.col("fp")).alias("fp")
+    last = cells(texts.select("node", fp).join(beside, "node").join(labelled, "node"), many, width, parts, homes, LONG, BESIDE)
+    open_pairs = written(at_cells(last, partial(likely_pairs, width=width)), "open")
+    roots = joined(roots.toDF("u", "v").union(written(checked(open_pairs, sent), "checked")))
+    member = written(classes.join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root")), "member")
+    least = written(member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows")), "least")
     component = written(join_counted(member, least, "root", "rows").select("fp", "n", "component_id"), "components")
     return join_counted(rows.select("id", "fp"), component, "fp", "n").select(F.col("id").alias(id_col), "component_id")
 

@@ -271,3 +271,29 @@ def test_copies_where_keys_are_not_broadcast(make, monkeypatch):
     assert max(n for _, n in want.values()) == 100
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
     assert by_id(exact_dedup.exact_dedup(make(rows))) == want
+
+
+def test_near_copies_of_few_texts_take_few_jobs(spark, make):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, last = [], []
+    for i in range(40):  # a chain of near copies, each one of the last one: components by rounds alone would take many
+        last = [*last[10:], *(word() for _ in range(10 if last else 200))]
+        rows.append((i, " ".join(last), "en", "a"))
+    rows += [(100 + i, f"copy {i % 2} " + " ".join(f"w{j}" for j in range(60)), "en", "a") for i in range(20)] + [(200 + i, " ".join(word() for _ in range(50)), "en", "a") for i in range(20)]
+    docs = make(rows)
+    spark.sparkContext.setJobGroup("near", "jobs of near_components")
+    got = {r["doc_id"]: r["component_id"] for r in wide_simhash.near_components(docs).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [got[i] for i in range(40)] == [0] * 40 and {got[i] for i in range(100, 120)} == {100} and all(got[i] == i for i in range(200, 220))
+    assert jobs <= 160
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 3])
+def test_stars_connect_what_the_pairs_do(spark, monkeypatch, at_once):
+    monkeypatch.setattr(wide_simhash, "STARS", at_once)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7), (300, 300), (-5, 400)], "u long, v long")
+    got = {r["node"]: r["root"] for r in connected_components(wide_simhash.stars(pairs)).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: -5, 400: -5, -5: -5}
+    assert wide_simhash.stars(pairs.limit(0)).collect() == []
