@@ -166,18 +166,23 @@ def _generated(words: DataFrame, symbols: int, there: np.ndarray) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, key long")
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left join right by shuffle: Spark, which sees files and one row of neighbours a word, would size either too low and broadcast it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_words(words: DataFrame, symbols: int = SYMBOLS, crowd: int = CROWD) -> DataFrame:
     """(word, near, near_n) of every two words(word, n) that differ by one edit, in both directions; words is a written table of different words."""
     keyed = written(_hashed(words, symbols), "reduced")
     crowded = written(keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > crowd), "crowded")
     generated = _generated(words, symbols, _existing(keyed))
     apart = keyed if crowded.isEmpty() else keyed.join(small(crowded.select("key")), "key", "left_anti")
-    found = generated.join(apart.withColumnsRenamed({"word": "near", "n": "near_n"}), "key").select("word", "near", "near_n")
+    found = _met(generated, apart.withColumnsRenamed({"word": "near", "n": "near_n"}), "key").select("word", "near", "near_n")
     if not crowded.isEmpty():
         close = keyed.join(small(crowded.select("key")), "key", "left_semi").select("word", "n")
         reach = generated.join(small(crowded.select("key")), "key", "left_semi").select("word").distinct()
         exact = written(_hashed(close, 0), "exact")
-        found = found.unionByName(_generated(reach, 0, _existing(exact)).join(exact.withColumnsRenamed({"word": "near", "n": "near_n"}), "key").select("word", "near", "near_n"))
+        found = found.unionByName(_met(_generated(reach, 0, _existing(exact)), exact.withColumnsRenamed({"word": "near", "n": "near_n"}), "key").select("word", "near", "near_n"))
     edit = F.levenshtein("word", "near", 1) == 1
     return found.filter(edit)
 
@@ -189,11 +194,11 @@ def roots(forms: DataFrame) -> DataFrame:
     """
     steps = written(forms.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "steps")
     while True:
-        on = steps.groupBy("root").agg(F.count("*").alias("rows")).join(steps.select(F.col("word").alias("root"), F.col("root").alias("next")), "root")
+        on = _met(steps.groupBy("root").agg(F.count("*").alias("rows")), steps.select(F.col("word").alias("root"), F.col("root").alias("next")), "root")
         on = written(on, "next")
         if on.isEmpty():
             return steps
-        moved = join_counted(steps, on, "root", "rows").select("word", F.col("next").alias("root"))
+        moved = join_counted(steps, on.hint("merge"), "root", "rows").select("word", F.col("next").alias("root"))
         steps = written(moved.unionByName(steps.join(small(on.select("root")), "root", "left_anti").select("word", "root")), "steps")
 
 
@@ -214,4 +219,4 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     takes = -F.col("best.less") >= RATIO * F.col("n")
     forms = written(full.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, F.col("best.form")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(forms)
-    return forms.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _met(forms, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

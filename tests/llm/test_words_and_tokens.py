@@ -14,7 +14,7 @@ from oracle import DATA
 from tokenizers import Tokenizer
 
 from chronolith.llm import alignment, packing, queries, spelling, tokens
-from chronolith.llm.common import table
+from chronolith.llm.common import table, written
 
 WORD = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 BYTE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -114,6 +114,23 @@ def test_variants_of_the_given_table(spark):
     assert found(queries.op11_spelling_variants(spark, DATA)) == variants([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def broadcast(df):
+    """What Spark would broadcast for df: the lines of its plan below each exchange of this kind."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+@pytest.mark.parametrize(("symbols", "crowd"), [(8, 64), (1, 1)])
+def test_neighbours_are_not_broadcast_however_few_the_words(make, symbols, crowd):
+    words = written(spelling.count_words(make(vary(40))), "words")
+    assert not any("MapInArrow" in x for x in broadcast(spelling.near_words(words, symbols, crowd)))
+    assert not list(broadcast(spelling.spelling_variants(make(vary(40)))))
+
+
 def test_no_variants_without_words(odd, empty):
     assert found(spelling.spelling_variants(empty)) == []
     assert found(spelling.spelling_variants(odd)) == variants([(r["doc_id"], r["text"]) for r in odd.collect()])
