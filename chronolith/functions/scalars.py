@@ -85,6 +85,11 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def natural_log(x: Column) -> Column:
+    """Natural logarithm: minus infinity at 0, where Spark's is null; null below."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def ordinal_binary(score: Column, threshold: int = 2) -> Column:
     return (score >= threshold).cast("int")
 

@@ -103,7 +103,7 @@ def f14_weights(spark, sf):
 def f15_arithmetic(spark, sf):
     v = F.col("value")
     clip = F.least(F.lit(100.0), F.greatest(F.lit(10.0), v))
-    return X.table(spark, sf, "events").select("event_id", S.safe_ratio(v, F.col("event_id") % 5).alias("ratio"), clip.alias("clipped"), F.sqrt(v).alias("root"), F.log(v).alias("log"), F.bround(v, 0).alias("even"))
+    return X.table(spark, sf, "events").select("event_id", S.safe_ratio(v, F.col("event_id") % 5).alias("ratio"), clip.alias("clipped"), F.sqrt(v).alias("root"), S.natural_log(v).alias("log"), F.bround(v, 0).alias("even"))
 
 
 @query("SELECT event_id, CAST(event_id % 7 - 1 AS BIGINT) AS score, CAST(event_id % 7 - 1 >= 2 AS INTEGER) AS reacted FROM events")
