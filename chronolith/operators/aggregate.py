@@ -81,9 +81,18 @@ def with_group(frames: DataFrame, targets: Sequence[int] = (2, 4, 5), trial: str
     return frames.withColumn("grp", F.when(F.col(trial).isin(*targets), "A").otherwise("B"))
 
 
-def mean_traces(frames: DataFrame, subject: str = "subject", frame: str = "frame", value: str = "value") -> DataFrame:
-    """(subject, grp, frame, mean_value, n) of frames with a group."""
-    return frames.groupBy(subject, "grp", frame).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))
+def mean_traces(frames: DataFrame, subject: str = "subject", frame: str = "frame", value: str = "value", order: Sequence[str] = ()) -> DataFrame:
+    """(subject, grp, frame, mean_value, n) of frames with a group.
+
+    With `order` values are added up in this order, not as the shuffle brings them: sums in
+    another order differ in their last bits, and so do the signs of differences of equal means.
+    """
+    by = [subject, "grp", frame]
+    if not order:
+        return frames.groupBy(*by).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))
+    so_far = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = frames.select(*by, F.sum(value).over(so_far).alias("__sum"), F.count(value).over(so_far).alias("__n"))
+    return sums.groupBy(*by).agg(F.max_by("__sum", "__n").alias("__sum"), F.max("__n").alias("n")).select(*by, F.try_divide("__sum", "n").alias("mean_value"), "n")
 
 
 def difference_matrix(means: DataFrame, subject: str = "subject", frame: str = "frame") -> DataFrame:

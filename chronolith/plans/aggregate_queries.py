@@ -55,7 +55,7 @@ DIFFS = "diffs AS (SELECT a.subject, a.frame, a.mean_value AS a, b.mean_value AS
 
 
 def means(spark, sf):
-    return A.mean_traces(A.with_group(X.frames(spark, sf)))
+    return A.mean_traces(A.with_group(X.frames(spark, sf)), order=["trial"])
 
 
 def diffs(spark, sf):

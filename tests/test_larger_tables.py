@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 
 import duckdb
 import pytest
@@ -41,3 +42,19 @@ def test_logarithms_of_zeros(spark, given):
     got = QUERIES["f15_arithmetic"](spark, sf_dir).toPandas()
     assert (got["log"] == float("-inf")).sum() == 2
     assert_same(got, wanted(sf_dir, "f15_arithmetic"))
+
+
+def test_means_are_added_up_in_the_order_of_trials(spark, given):
+    draw, rows, up, down = random.Random(4), [], 0, 0
+    for user in range(400):
+        a = [draw.randrange(1, 9999) / 100 for _ in range(3)]
+        b = draw.sample(a, 3)
+        rows += [(user, day, v) for day, v in zip((6, 16, 21, 1, 11, 26), a + b, strict=True)]
+        a, b = ((x[0] + x[1] + x[2]) / 3 for x in (a, b))
+        up, down = up + (a > b), down + (a < b)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a table as small as this comes in order
+    try:
+        got = QUERIES["h04_sign_test"](spark, given(rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert up > 20 and down > 20 and [(r["up"], r["down"]) for r in got] == [(up, down)]
