@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str | Column], out: str = "rank") -> DataFrame:
     """1, 2, ... over the whole table in order, without one task for all rows.
 
     Rows are range-partitioned and sorted, counted by partition, and numbered within
@@ -137,8 +137,16 @@ def lag_embedding(trace: str, length: int) -> Column:
     return F.transform(starts, lambda i: F.slice(F.col(trace), i + 1, F.lit(length)))
 
 
+def ordered_sums(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """(keys, out): sums of value, added up in order: equal rows have equal sums, to the last bit, wherever they lie."""
+    so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    sums = df.select(*keys, F.sum(value).over(so_far).alias("__sum"), F.row_number().over(W.partitionBy(*keys).orderBy(order)).alias("__n"))
+    return sums.groupBy(*keys).agg(F.max_by("__sum", "__n").alias(out))
+
+
 def rank_by(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
-    return global_rank(df.withColumn("__down", -F.col(value)), ["__down", tie], out).drop("__down")
+    """df with ranks from the largest value, equal ones by tie; NaN come first and nulls last, as in SQL."""
+    return global_rank(df, [F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_last()], out)
 
 
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

@@ -78,8 +78,8 @@ def w10_lag_embedding(spark, sf):
 
 @query(with_(FRAMES) + f", s AS (SELECT dataset || '/' || subject || '/' || trial AS id, sum(value) AS total FROM frames GROUP BY {_K}) SELECT id, {R('total', 'total')}, row_number() OVER (ORDER BY total DESC, id) AS rank FROM s")
 def w11_rank_trials(spark, sf):
-    s = X.frames(spark, sf).groupBy(*X.KEYS).agg(F.sum("value").alias("total"))
-    s = s.select(F.concat_ws("/", "dataset", F.col("subject").cast("string"), F.col("trial").cast("string")).alias("id"), "total")
+    s = W_.ordered_sums(X.frames(spark, sf), X.KEYS, "frame", "value", "total")
+    s = s.select(F.concat("dataset", F.lit("/"), F.col("subject").cast("string"), F.lit("/"), F.col("trial").cast("string")).alias("id"), "total")
     return W_.rank_by(s, "total", "id")
 
 

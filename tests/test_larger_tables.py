@@ -18,13 +18,13 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 def given(spark, tmp_path):
     """Folder of the given tables with events (user_id, day, value) of its own, in time's order."""
 
-    def build(rows):
+    def build(rows, files=1):
         start = datetime.datetime(2024, 1, 1)
         full = [(i, start + datetime.timedelta(days=day - 1, seconds=i), user, "view", value, "{}") for i, (user, day, value) in enumerate(sorted(rows, key=lambda r: r[1]))]
         for t in TABLES:
             if t != "events":
                 os.symlink(f"{DATA}/{t}.parquet", tmp_path / f"{t}.parquet")
-        spark.createDataFrame(full, EVENTS).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+        spark.createDataFrame(full, EVENTS).repartitionByRange(files, "event_id").sortWithinPartitions("event_id").write.parquet(str(tmp_path / "events.parquet"))
         return str(tmp_path)
 
     return build
@@ -58,3 +58,12 @@ def test_means_are_added_up_in_the_order_of_trials(spark, given):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert up > 20 and down > 20 and [(r["up"], r["down"]) for r in got] == [(up, down)]
+
+
+def test_trials_of_equal_rows_rank_by_their_names(spark, given):
+    draw = random.Random(5)
+    values = [draw.randrange(1, 9999) / 100 for _ in range(60)]
+    rows = [(user, 1 + i // 13, v) for user in range(90) for i, v in enumerate(values)]
+    rows += [(200, 3, None), (201, 3, float("nan")), (202, 3, -1.0), (203, 3, 0.0), (204, 3, -0.0)]
+    sf_dir = given(rows, files=4)
+    assert_same(QUERIES["w11_rank_trials"](spark, sf_dir).toPandas(), wanted(sf_dir, "w11_rank_trials"))
