@@ -160,8 +160,11 @@ def randomization_test(diffs: DataFrame, perms: int = 200, seed: int = 67, frame
     """(frame, effect, p, q): share of sign-flipped means, or medians, as far from 0 as the observed, Benjamini-Hochberg.
 
     A median is found by ranks in cells of values, so that no task holds a list of a
-    permutation's values.
+    permutation's values. Its rounds read the differences again, which are written first:
+    worked out anew they may differ in their last bits and fall out of the brackets.
     """
+    if statistic == "median":
+        diffs = written(diffs, "diffs")
     flips = flipped(diffs, perms, seed)
     if statistic == "median":
         means = written(percentile_columns(flips, value, {"m": 0.5}, ["perm", frame], keep=False), "medians")

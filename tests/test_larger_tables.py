@@ -1,13 +1,17 @@
 """Queries against their SQL on events that the smallest tables lack: zeros, and values whose sums depend on the order."""
 
 import datetime
+import hashlib
 import os
 import random
+import statistics
 
 import duckdb
 import pytest
 from oracle import DATA, TABLES, assert_same
+from pyspark.sql import functions as F
 
+from chronolith.operators.stats import randomization_test
 from chronolith.plans import queries as plans
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
@@ -67,3 +71,17 @@ def test_trials_of_equal_rows_rank_by_their_names(spark, given):
     rows += [(200, 3, None), (201, 3, float("nan")), (202, 3, -1.0), (203, 3, 0.0), (204, 3, -0.0)]
     sf_dir = given(rows, files=4)
     assert_same(QUERIES["w11_rank_trials"](spark, sf_dir).toPandas(), wanted(sf_dir, "w11_rank_trials"))
+
+
+def test_medians_hold_when_differences_come_out_anew_in_their_last_bits(spark):
+    draw, perms = random.Random(6), 20
+    values = {(s, f): draw.randrange(-900, 1100) / 600 for s in range(41) for f in range(12)}
+    anew = F.udf(lambda x: x + int.from_bytes(os.urandom(2)) * 1e-18, "double").asNondeterministic()
+    diffs = spark.createDataFrame([(s, f, v) for (s, f), v in values.items()], "subject long, frame int, diff double").withColumn("diff", anew("diff"))
+    got = {r["frame"]: (round(r["effect"], 9), round(r["p"], 9)) for r in randomization_test(diffs, perms, statistic="median").collect()}
+    up = {(p, s): p == 0 or hashlib.md5(f"67|{p}|{s}".encode()).hexdigest()[0] < "8" for p in range(perms + 1) for s in range(41)}
+    want = {}
+    for f in range(12):
+        effect, *flips = (statistics.median(v if up[p, s] else -v for (s, g), v in values.items() if g == f) for p in range(perms + 1))
+        want[f] = (round(effect, 9), round((1 + sum(abs(m) >= abs(effect) - 1e-12 for m in flips)) / (perms + 1), 9))
+    assert got == want
